@@ -126,7 +126,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
     frames = {dep: fixture(spark, sf_dir, dep) for dep in dependencies(name)}
-    return spark.sql(FIXTURES[name], TS="TIMESTAMP_NTZ", **frames)
+    return spark.sql(FIXTURES[name].replace("{TS}", "TIMESTAMP_NTZ"), **frames)
 
 
 @lru_cache(maxsize=None)
