@@ -80,6 +80,31 @@ FROM {events}""",
 SELECT * FROM {fx_run_events}
 UNION ALL
 SELECT * FROM {fx_run_events} WHERE CAST(event_id AS BIGINT) % 4 = 0""",
+    # Raw event payloads as delivered (JSON text), with malformed ones injected:
+    # not JSON, no id, data not an object, status event without a run id; key case varies.
+    "fx_raw_events": """
+SELECT event_id, event_ts,
+  CASE
+    WHEN CAST(event_id AS BIGINT) % 97 = 0 THEN 'not json'
+    WHEN CAST(event_id AS BIGINT) % 89 = 0 THEN '{"eventType":"' || event_type || '","data":{}}'
+    WHEN CAST(event_id AS BIGINT) % 83 = 0 THEN '{"id":"' || event_id || '","eventType":"' || event_type || '","data":"' || run_id || '"}'
+    WHEN CAST(event_id AS BIGINT) % 79 = 0 THEN '{"id":"' || event_id || '","eventType":"' || event_type || '","data":{"runStatus":"' || run_status || '"}}'
+    ELSE '{"id":"' || event_id || '","' || CASE WHEN CAST(event_id AS BIGINT) % 2 = 0 THEN 'eventType' ELSE 'EventType' END
+         || '":"' || event_type || '","subject":"runs/' || run_id || '","data":{"'
+         || CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN 'RunId' ELSE 'runId' END || '":"' || run_id
+         || '","runStatus":"' || run_status || '","runTags":{"azureml_modelmonitor_threshold_breached":"' || breach_tag || '"}}}'
+  END AS body
+FROM {fx_run_events}""",
+    # Deliveries of the event bus (at least once): every event once within minutes, a
+    # quarter once more up to 39 hours later (past the 24-hour lifetime when late).
+    "fx_deliveries": """
+SELECT event_id, event_ts, event_type, run_id, run_status, breach_tag,
+       event_ts + INTERVAL 1 MINUTE * (CAST(event_id AS BIGINT) % 7) AS delivered_ts, 1 AS attempt
+FROM {fx_run_events}
+UNION ALL
+SELECT event_id, event_ts, event_type, run_id, run_status, breach_tag,
+       event_ts + INTERVAL 1 HOUR * (CAST(event_id AS BIGINT) % 40) AS delivered_ts, 2 AS attempt
+FROM {fx_run_events} WHERE CAST(event_id AS BIGINT) % 4 = 0""",
     "fx_job_status": """
 SELECT DISTINCT CAST(user_id AS STRING) AS run_id,
        CASE user_id % 3 WHEN 0 THEN 'Failed' WHEN 1 THEN 'Completed' ELSE 'FAILED' END AS status
@@ -126,7 +151,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
     frames = {dep: fixture(spark, sf_dir, dep) for dep in dependencies(name)}
-    return spark.sql(FIXTURES[name].replace("{TS}", "TIMESTAMP_NTZ"), **frames)
+    # spark.sql formats the text: keep the placeholders, double every other brace.
+    text = FIXTURES[name].replace("{TS}", "TIMESTAMP_NTZ").replace("{", "{{").replace("}", "}}")
+    for dep in frames:
+        text = text.replace("{{" + dep + "}}", "{" + dep + "}")
+    return spark.sql(text, **frames)
 
 
 @lru_cache(maxsize=None)

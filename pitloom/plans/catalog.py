@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitloom.plans import join_queries, metric_queries, publication_queries, quality_queries  # noqa: F401
+from pitloom.plans import event_queries, join_queries, metric_queries, publication_queries, quality_queries  # noqa: F401
 from pitloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
