@@ -37,6 +37,14 @@ SELECT CAST(o_custkey AS STRING) AS entity_id, MIN(l_shipdate) AS event_ts,
        CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS correlation_id
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 GROUP BY o_custkey, l_orderkey, l_linenumber""",
+    # Actuals of the order itself: line count per order, known 30 days after the order.
+    # Every label has the feature row of its own order at the same time (exact match).
+    "fx_order_actuals": """
+SELECT CAST(o_custkey AS STRING) AS entity_id, o_orderdate AS event_ts,
+       o_orderdate + INTERVAL 30 DAY AS label_available_ts, CAST(COUNT(*) AS DOUBLE) AS actual_quantity,
+       CAST(o_orderkey AS STRING) AS correlation_id
+FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey
+GROUP BY o_custkey, o_orderdate, o_orderkey""",
     "fx_actuals_raw": """
 SELECT CAST(o_custkey AS STRING) AS entity_id, l_shipdate AS event_ts, l_quantity AS actual_quantity,
        CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS correlation_id

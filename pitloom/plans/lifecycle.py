@@ -187,18 +187,17 @@ def _constant_metrics(spine: DataFrame, cls: str) -> DataFrame:
     return f1.unionByName(ll)
 
 
-def fixture_sources(spark: SparkSession, sf_dir: str) -> Populations:
+def fixture_sources(spark: SparkSession, sf_dir: str, actuals: str = "fx_actuals") -> Populations:
     return Populations(
         scoring=fixture(spark, sf_dir, "fx_scoring"),
         training=fixture(spark, sf_dir, "fx_features"),
-        actuals=fixture(spark, sf_dir, "fx_actuals"),
+        actuals=fixture(spark, sf_dir, actuals),
     )
 
 
 # ---------------------------------------------------------------- registered queries
 from pitloom.plans.quality_queries import _decision_sql  # noqa: E402
 from pitloom.plans.registry import (  # noqa: E402
-    CONTRACT,
     CUTOFF,
     NARROW_CONTRACT,
     SCORING_BATCH,
@@ -209,14 +208,13 @@ from pitloom.plans.registry import (  # noqa: E402
 
 @register("l1_lifecycle")
 def l1_lifecycle(spark, sf_dir):
-    """End to end on the fixtures. Order to ship takes at most 121 days in these tables, so a
-    121-day tolerance gives every label its own order's features and the run passes the
-    data contract; a constant class-"1" model stands as champion. Rows-only check."""
+    """End to end with the reference's settings (30-day tolerance, quantity domain 0-20) on
+    order-level actuals, which pass the data contract; a constant class-"1" model is the
+    champion. Rows-only check (model metrics decide the gate)."""
     cfg = LifecycleConfig(
-        batch_id=SCORING_BATCH, cutoff=CUTOFF, scoring_cutoff=SCORING_CUTOFF, tolerance="121 days",
-        contract=CONTRACT, champion_class="1",
+        batch_id=SCORING_BATCH, cutoff=CUTOFF, scoring_cutoff=SCORING_CUTOFF, champion_class="1"
     )
-    return run_lifecycle(spark, fixture_sources(spark, sf_dir), cfg)
+    return run_lifecycle(spark, fixture_sources(spark, sf_dir, "fx_order_actuals"), cfg)
 
 
 @register(
