@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitloom.operators.metrics import accuracy, confusion, log_loss, stratified_split
+from pitloom.session import ensure_checkpoint_dir
 
 MODEL_IMPLEMENTATION = "random-forest-v1"
 
@@ -60,9 +61,14 @@ def train_classifier(
     if support["k"] < 2:
         raise ValueError("training data requires at least two quantity classes")
     labelled = training.withColumn(label, F.col(label).cast("string"))
-    split = stratified_split(labelled, label, list(key), seed=seed)
+    # Tree induction passes over its input many times: cut the lineage once, into the
+    # shared checkpoint folder (survives executor loss, unlike a local checkpoint).
+    ensure_checkpoint_dir(training.sparkSession)
+    split = stratified_split(labelled, label, list(key), seed=seed).checkpoint(eager=True)
     frame, stages = _feature_vector(split, features)
-    indexer = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc")
+    # The label index is fitted on every labelled row, so a class that the hold-out puts
+    # only in validation (a class of one row) still has an index; the forest gives it 0.
+    indexer = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc").fit(frame)
     forest = RandomForestClassifier(
         featuresCol="__features",
         labelCol="__label",
@@ -70,13 +76,16 @@ def train_classifier(
         maxDepth=max_depth,
         minInstancesPerNode=1,
         seed=seed,
+        maxMemoryInMB=1024,  # larger node groups: fewer passes per tree level
+        cacheNodeIds=True,
+        checkpointInterval=10,
         probabilityCol="__probability",
         rawPredictionCol="__raw",
         predictionCol="__prediction",
     )
     train = frame.where(F.col("split") == "train")
     model = Pipeline(stages=[*stages, indexer, forest]).fit(train)
-    labels = model.stages[-2].labels
+    labels = indexer.labels
     decoded = IndexToString(inputCol="__prediction", outputCol="prediction_class", labels=labels)
     validation = decoded.transform(model.transform(frame.where(F.col("split") == "validation")))
     p_true = F.element_at(vector_to_array(F.col("__probability")), F.col("__label").cast("int") + 1)

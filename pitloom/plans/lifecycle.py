@@ -79,11 +79,26 @@ def _evidence(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, EVIDENCE)
 
 
-def run_lifecycle(spark: SparkSession, sources: Populations, cfg: LifecycleConfig) -> DataFrame:
-    """Run every stage; returns the stage evidence (L2)."""
+def run_lifecycle(
+    spark: SparkSession, sources: Populations, cfg: LifecycleConfig, timings: dict | None = None
+) -> DataFrame:
+    """Run every stage; returns the stage evidence (L2). ``timings`` receives seconds per stage."""
+    import time
+
     configure(spark)
     run_dir = scratch_path(spark, "lifecycle")
     ev: list[tuple] = []
+    started = [time.perf_counter()]
+
+    class _Evidence(list):
+        def append(self, row):  # stamp the time spent since the previous stage
+            now = time.perf_counter()
+            if timings is not None:
+                timings[row[1]] = round(now - started[0], 3)
+            started[0] = now
+            super().append(row)
+
+    ev = _Evidence()
     stages = ["pull", "build_features", "train", "register_select", "invoke_batch", "publish", "prepare_monitor_data"]
 
     def skip_rest(from_no: int, reason: str) -> DataFrame:

@@ -52,7 +52,7 @@ def frame_digest(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
     cols = sorted(pdf.columns)
     rows = []
     for rec in pdf[cols].astype(object).itertuples(index=False, name=None):
-        rows.append("\x1f".join(_cell(None if (isinstance(x, float) and math.isnan(x) and False) else x) for x in rec))
+        rows.append("\x1f".join(_cell(x) for x in rec))
     rows.sort()
     h = hashlib.sha256("\n".join(rows).encode()).hexdigest()
     return len(pdf), cols, h
