@@ -11,14 +11,17 @@ Plan (two levels, public DataFrame API only, no pairs are ever formed):
   ``last(..., ignorenulls)`` window over ``(key, slice)`` ordered by time finds the
   match inside the left row's own slice. A window group holds one key's rows of a
   single slice, so a key with a third of all rows is spread over all its slices.
-* Level B. For matches in earlier slices, the right side is reduced to its last
-  row per ``(key, slice)`` (partial aggregation, skew-safe), the left side to its
-  distinct ``(key, slice)``; a running window per key over these summaries carries
-  the latest earlier right row forward. A group holds one row per slice of a key,
-  which is bounded by the time span divided by the slice width, not by data volume.
-
-The final left join of level A's output with level B's table is on ``(key, slice)``,
-the partitioning level A already has, so only the small table moves.
+* Level B. For matches in earlier slices, both sides are reduced to one summary row
+  per ``(key, slice)`` (its last right row, and whether left rows fall in it) by a
+  partial-then-final aggregate, so only partial summaries are shuffled; a running
+  window per key over the summaries carries the latest earlier right row forward. A
+  group holds one row per slice of a key, which is bounded by the time span divided
+  by the slice width, not by data volume.
+
+The full rows are shuffled once (level A). The final left join of level A's output
+with level B's table is on ``(key, slice)``, the partitioning level A already has,
+so only the summary moves. Level B re-reads the inputs with only the key, time and
+right-row columns, which is cheaper than shuffling full rows a second time.
 """
 
 from __future__ import annotations
@@ -142,29 +145,21 @@ def asof_join(
         F.col(_SIDE) == 1
     )
 
-    # Level B: the latest right row of an earlier slice, per (key, slice) of the left side.
-    right_last = (
-        both.where(F.col(_SIDE) != 1)
-        .groupBy(*keys, _SLICE)
-        .agg(F.max_by(F.col(_RROW), F.struct(F.col(_KEY_TS), F.col(_RROW))).alias(_RROW))
-        .withColumn(_SIDE, F.lit(1))
-    )
-    left_slices = (
-        both.where(F.col(_SIDE) == 1)
-        .select(*keys, _SLICE)
-        .distinct()
-        .withColumn(_SIDE, F.lit(0))
-        .withColumn(_RROW, F.lit(None).cast(right_last.schema[_RROW].dataType))
+    # Level B: one summary row per (key, slice): its last right row and whether left rows
+    # fall in it. Aggregated map-side first, so only partial summaries are shuffled.
+    is_right = F.col(_SIDE) != 1
+    summary = both.groupBy(*keys, _SLICE).agg(
+        F.max_by(F.col(_RROW), F.when(is_right, F.struct(F.col(_KEY_TS), F.col(_RROW)))).alias(_RROW),
+        F.max((~is_right).cast("int")).alias("__pl_has_left"),
     )
     w_b = (
         Window.partitionBy(*[F.col(k) for k in keys])
-        .orderBy(F.col(_SLICE), F.col(_SIDE))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .orderBy(F.col(_SLICE))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     level_b = (
-        left_slices.unionByName(right_last)
-        .withColumn(_PREV, F.last(F.col(_RROW), ignorenulls=True).over(w_b))
-        .where(F.col(_SIDE) == 0)
+        summary.withColumn(_PREV, F.last(F.col(_RROW), ignorenulls=True).over(w_b))
+        .where(F.col("__pl_has_left") == 1)
         .select(*keys, _SLICE, _PREV)
     )
 
