@@ -14,9 +14,9 @@ from pitloom.functions.identity import (
     row_hash,
     version_slug,
 )
-from pitloom.functions.quantity import QuantityContract
+from pitloom.functions.quantity import QUANTITY_RULES, QuantityContract
 from pitloom.operators import contracts as C
-from pitloom.operators.asof import asof_coverage
+from pitloom.operators.asof import asof_coverage, asof_join
 from pitloom.operators.digest import snapshot_digest
 from pitloom.plans import sqltext as Q
 from pitloom.plans.join_queries import training_spine
@@ -29,6 +29,7 @@ from pitloom.plans.registry import (
     RUN_TS,
     SCORING_BATCH,
     SCORING_CUTOFF,
+    TOLERANCE,
     fx,
     register,
 )
@@ -213,17 +214,37 @@ def p9_mapping_mismatch(spark, sf_dir):
 
 # ---------------------------------------------------------------- P10 decision
 def data_rules(scoring, training, actuals, spine, contract: QuantityContract):
-    """Every rule of the build-features stage, in the reference's order of checks."""
+    """Every rule of the build-features stage, with the reference's order of checks as
+    ordinals. Row rules of one population share one aggregate pass; uniqueness rules
+    are one grouped pass each."""
     keys = ["entity_id", "feature_ts"]
     feats = ["signal_a", "signal_b"]
+    empty = C.EMPTY
+    frame_rules = C.null_key_rules(keys) + C.null_feature_rules(feats)
+    scoring_rules = [(empty, None), ("blank_correlation_id", is_blank(F.col("correlation_id")))] + frame_rules
+    contract.check_type(actuals, "actual_quantity")
+    q = contract.violation(F.col("actual_quantity"))
+    quantity = [(r, q == F.lit(r)) for r in QUANTITY_RULES]
+    ordinals = {
+        ("scoring", empty): 1, ("training_features", empty): 2, ("actuals", empty): 3,
+        ("scoring", "blank_correlation_id"): 4,
+        **{("scoring", n): 6 + i for i, (n, _) in enumerate(frame_rules)},
+        **{("training_features", n): 11 + i for i, (n, _) in enumerate(frame_rules)},
+        **{("actuals", n): 16 + i for i, (n, _) in enumerate(quantity)},
+    }
+
+    def table(frame, population, rules):
+        t = C.rule_table(frame, population, rules, 0)
+        mapping = F.create_map(*[x for (p, n), o in ordinals.items() if p == population for x in (F.lit(n), F.lit(o))])
+        return t.withColumn("ordinal", mapping[F.col("rule")])
+
     return (
-        C.empty_population(scoring, "scoring", 1)
-        .unionByName(C.empty_population(training, "training_features", 2))
-        .unionByName(C.empty_population(actuals, "actuals", 3))
-        .unionByName(C.correlation_rules(scoring, "correlation_id", "scoring", 4))
-        .unionByName(C.feature_frame_rules(scoring, "scoring", keys, feats, 6))
-        .unionByName(C.feature_frame_rules(training, "training_features", keys, feats, 11))
-        .unionByName(C.quantity_rules(actuals, contract, "actual_quantity", "actuals", 16))
+        table(scoring, "scoring", scoring_rules)
+        .unionByName(table(training, "training_features", [(empty, None)] + frame_rules))
+        .unionByName(table(actuals, "actuals", [(empty, None)] + quantity))
+        .unionByName(C.duplicate_keys(scoring, ["correlation_id"], "scoring", "duplicate_correlation_id", 5))
+        .unionByName(C.duplicate_keys(scoring, keys, "scoring", "duplicate_grain", 10))
+        .unionByName(C.duplicate_keys(training, keys, "training_features", "duplicate_grain", 15))
         .unionByName(
             asof_coverage(spine).select(
                 F.lit("spine").alias("population"),
@@ -235,16 +256,23 @@ def data_rules(scoring, training, actuals, spine, contract: QuantityContract):
     )
 
 
-def data_decision(spark, sf_dir, contract: QuantityContract):
+def data_decisions(spark, sf_dir, contracts: dict[str, QuantityContract]):
+    """P10 for several quantity contracts over the same bounded inputs; the as-of spine
+    (coverage does not depend on the class mapping) is built once."""
     scoring = bounded_scoring_read(fx(spark, sf_dir, "fx_scoring"), batch_id=SCORING_BATCH, cutoff=SCORING_CUTOFF)
     training = bounded_feature_read(fx(spark, sf_dir, "fx_features"), cutoff=CUTOFF)
     actuals = bounded_actuals_read(fx(spark, sf_dir, "fx_actuals"), cutoff=CUTOFF)
-    spine = training_spine(spark, sf_dir, contract=contract)
-    rules = data_rules(scoring, training, actuals, spine, contract)
+    spine = asof_join(actuals, training, tolerance=TOLERANCE)
     counts = scoring.agg(F.count(F.lit(1)).alias("feature_rows")).unionByName(
         spine.agg(F.count(F.lit(1)).alias("training_rows")), allowMissingColumns=True
     )
-    return C.decision(rules, mapping_version=contract.mapping_version, counts=counts)
+    out = None
+    for scenario, contract in contracts.items():
+        rules = data_rules(scoring, training, actuals, spine, contract)
+        d = C.decision(rules, mapping_version=contract.mapping_version, counts=counts)
+        d = d.select(F.lit(scenario).alias("scenario"), "*")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def _decision_sql(scenario: str, maximum: int) -> str:
@@ -303,9 +331,7 @@ FROM (SELECT 1) one LEFT JOIN (
     _decision_sql("domain_0_20", 20) + "\nUNION ALL\n" + _decision_sql("domain_0_50", 50),
 )
 def p10_data_decision(spark, sf_dir):
-    narrow = data_decision(spark, sf_dir, NARROW_CONTRACT).select(F.lit("domain_0_20").alias("scenario"), "*")
-    wide = data_decision(spark, sf_dir, CONTRACT).select(F.lit("domain_0_50").alias("scenario"), "*")
-    return narrow.unionByName(wide)
+    return data_decisions(spark, sf_dir, {"domain_0_20": NARROW_CONTRACT, "domain_0_50": CONTRACT})
 
 
 # ---------------------------------------------------------------- P11 / P12 / F2 / A14
