@@ -186,3 +186,45 @@ def asof_coverage(spine: DataFrame, *, right_on: str = FEATURE_TS) -> DataFrame:
         F.count_if(F.col(right_on).isNotNull()).alias("matched"),
         F.count_if(F.col(right_on).isNull()).alias("unmatched"),
     )
+
+
+class FeatureSet:
+    """A feature set definition consumed by point-in-time retrieval.
+
+    ``source`` is a DataFrame (typically a Parquet snapshot) keyed by ``key`` with event
+    time ``timestamp``; a row becomes visible ``source_delay`` after its time and is
+    usable for ``temporal_join_lookback`` back from the label time.
+    """
+
+    def __init__(
+        self,
+        source: DataFrame,
+        *,
+        key: str = ENTITY,
+        timestamp: str = FEATURE_TS,
+        source_delay: str | None = "1 hour",
+        temporal_join_lookback: str | None = "30 days",
+        slice_width: str = "1 day",
+    ):
+        for c in (key, timestamp):
+            if c not in source.columns:
+                raise ValueError(f"feature set source is missing column {c!r}")
+        self.source = source
+        self.key = key
+        self.timestamp = timestamp
+        self.source_delay = source_delay
+        self.temporal_join_lookback = temporal_join_lookback
+        self.slice_width = slice_width
+
+    def retrieve(self, labels: DataFrame, *, label_time: str = LABEL_TS) -> DataFrame:
+        """Every label row with the feature row visible at its time, inside the lookback."""
+        return asof_join(
+            labels,
+            self.source,
+            by=self.key,
+            left_on=label_time,
+            right_on=self.timestamp,
+            delay=self.source_delay,
+            lookback=self.temporal_join_lookback,
+            slice_width=self.slice_width,
+        )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitloom.functions.quantity import label_actuals
-from pitloom.operators.asof import asof_coverage, asof_join
+from pitloom.operators.asof import FeatureSet, asof_coverage, asof_join
 from pitloom.plans.registry import (
     CONTRACT,
     CUTOFF,
@@ -127,8 +127,8 @@ ASOF LEFT JOIN (SELECT *, feature_ts + INTERVAL 1 HOUR AS available_ts FROM fx_f
 def j3_point_in_time_delay(spark, sf_dir):
     """Feature rows become visible one hour after their time; 30-day lookback."""
     labels = fx(spark, sf_dir, "fx_actuals").select("entity_id", "event_ts", "correlation_id")
-    features = fx(spark, sf_dir, "fx_features")
-    return asof_join(labels, features, delay=SOURCE_DELAY, lookback=LOOKBACK)
+    features = FeatureSet(fx(spark, sf_dir, "fx_features"), source_delay=SOURCE_DELAY, temporal_join_lookback=LOOKBACK)
+    return features.retrieve(labels)
 
 
 @register(
