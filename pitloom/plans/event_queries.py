@@ -174,4 +174,9 @@ SELECT date_trunc('day', event_ts - INTERVAL 6 HOUR) + INTERVAL 6 HOUR AS window
 FROM fx_run_events GROUP BY 1, 2""",
 )
 def t8_daily_signals(spark, sf_dir):
-    return E.daily_signals(fx(spark, sf_dir, "fx_run_events"))
+    """The run events as files -> the windowed stream (update mode) -> latest per window."""
+    source = scratch_path(spark, "run-events")
+    fx(spark, sf_dir, "fx_run_events").write.mode("errorifexists").parquet(source)
+    sink = scratch_path(spark, "daily-signals")
+    E.run_daily_signals(spark, source, sink, scratch_path(spark, "checkpoint"))
+    return E.daily_signals_current(spark, sink)

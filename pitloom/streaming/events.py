@@ -234,9 +234,19 @@ class EventReactor:
                 requests.select("job_name"), "job_name", "left_anti"
             )
             new.write.mode("append").parquet(self.requests_path)
-            handled = self._table(self.handled_path, "event_id string")
-            fresh = batch.join(handled, "event_id", "left_anti")
-            fresh.select("event_id", "event_ts", "event_type", "run_id").write.mode("append").parquet(self.handled_path)
+            # An event id always carries the same event time, and deliveries older than the
+            # lifetime are dead letters, so only the batch's event dates can hold a duplicate:
+            # the handled table is partitioned by event date and pruned to that range.
+            span = batch.agg(F.min("event_ts").alias("lo"), F.max("event_ts").alias("hi")).first()
+            if span["lo"] is None:
+                return
+            handled = self._table(self.handled_path, "event_id string, event_date date").where(
+                F.col("event_date").between(F.lit(span["lo"].date()), F.lit(span["hi"].date()))
+            )
+            fresh = batch.join(handled.select("event_id"), "event_id", "left_anti")
+            fresh.select("event_id", "event_ts", "event_type", "run_id").withColumn(
+                "event_date", F.to_date("event_ts")
+            ).write.mode("append").partitionBy("event_date").parquet(self.handled_path)
         finally:
             batch.unpersist()
 
@@ -275,9 +285,78 @@ class EventReactor:
         )
 
     def handled(self) -> DataFrame:
-        return self._table(self.handled_path, "event_id string, event_ts timestamp_ntz, event_type string, run_id string")
+        return self._table(
+            self.handled_path, "event_id string, event_ts timestamp_ntz, event_type string, run_id string, event_date date"
+        ).drop("event_date")
 
     def dead_letters(self) -> DataFrame:
         return self._table(
             self.dead_letter_path, "event_id string, event_ts timestamp_ntz, delivered_ts timestamp_ntz, attempt int, reason string"
         )
+
+
+RUN_EVENT_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.StringType()),
+        T.StructField("event_ts", T.TimestampNTZType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("run_status", T.StringType()),
+        T.StructField("breach_tag", T.StringType()),
+    ]
+)
+
+
+def run_daily_signals(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
+    """T8 as a stream: tumbling days from 06:00, watermark of one lifetime, update mode.
+
+    Each micro-batch appends the windows it updated, tagged with its batch id, to an
+    append-only log; ``daily_signals_current`` keeps the latest row per window. Replaying
+    a micro-batch rewrites identical rows, so the result does not change.
+    """
+    stream = spark.readStream.schema(RUN_EVENT_SCHEMA).parquet(source)
+    timed = stream.withColumn("__t", F.col("event_ts").cast("timestamp")).withWatermark("__t", EVENT_TTL)
+    w = F.window(F.col("__t"), "1 day", "1 day", "6 hours")
+    breach = (F.col("event_type") == STATUS_EVENT) & ~is_blank(F.col("breach_tag"))
+    agg = timed.groupBy(w.alias("w")).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("event_type") == STATUS_EVENT).alias("status_events"),
+        F.count_if(breach).alias("breach_events"),
+    )
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.select(
+            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+            F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+            "events",
+            "status_events",
+            "breach_events",
+            F.lit(batch_id).cast("long").alias("batch_id"),
+        ).write.mode("append").parquet(sink)
+
+    q = (
+        agg.writeStream.outputMode("update")
+        .foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+
+
+def daily_signals_current(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest state of every window in the signal log."""
+    log = spark.read.schema(
+        "window_start timestamp_ntz, window_end timestamp_ntz, events long, status_events long, breach_events long, batch_id long"
+    ).parquet(sink)
+    latest = log.groupBy("window_start", "window_end").agg(
+        F.max_by(F.struct("events", "status_events", "breach_events"), F.col("batch_id")).alias("s")
+    )
+    return latest.select(
+        "window_start",
+        "window_end",
+        "s.events",
+        "s.status_events",
+        "s.breach_events",
+        F.round(F.col("s.breach_events") / F.col("s.events"), 12).alias("breach_share"),
+    )
