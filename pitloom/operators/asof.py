@@ -79,6 +79,42 @@ def interval_micros(text: str) -> int:
     return total
 
 
+_FINE_BITS = 20  # sub-slices live on a common grid of 2^20 per slice
+_HOT_BROADCAST_LIMIT = 1_000_000  # hot-group rows; above it the refinement joins by shuffle
+
+
+def _refine_hot_slices(both: DataFrame, keys: list[str], width: int, max_rows: int) -> DataFrame:
+    """Split (key, slice) groups above ``max_rows`` into 2^k time sub-slices.
+
+    Sub-slice ids stay monotone in time within a key (slice * 2^20 + sub * 2^(20-k)), so
+    level B still orders slices correctly. The hot-group table has at most
+    rows / max_rows entries; it is broadcast only when its counted size is below
+    ``_HOT_BROADCAST_LIMIT``, and joined by shuffle otherwise.
+    """
+    counts = (
+        both.where(F.col(_KEY_TS).isNotNull())
+        .groupBy(*keys, _SLICE)
+        .agg(F.count(F.lit(1)).alias("__pl_n"))
+        .where(F.col("__pl_n") > max_rows)
+    )
+    hot = counts.select(
+        *keys,
+        _SLICE,
+        F.least(F.ceil(F.log2(F.col("__pl_n") / F.lit(float(max_rows)))), F.lit(_FINE_BITS)).cast("int").alias("__pl_k"),
+    )
+    n_hot = hot.count()
+    scale = F.lit(1 << _FINE_BITS).cast("long")
+    if n_hot == 0:
+        return both.withColumn(_SLICE, F.col(_SLICE) * scale)
+    table = F.broadcast(hot) if n_hot <= _HOT_BROADCAST_LIMIT else hot
+    k = F.coalesce(F.col("__pl_k"), F.lit(0))
+    offset = _micros(F.col(_KEY_TS)) - F.col(_SLICE) * F.lit(width)
+    sub = F.floor(offset * F.pow(F.lit(2.0), k) / F.lit(float(width))).cast("long")
+    step = F.pow(F.lit(2.0), F.lit(_FINE_BITS) - k).cast("long")  # exact: at most 2^20
+    refined = F.col(_SLICE) * scale + sub * step
+    return both.join(table, [*keys, _SLICE], "left").withColumn(_SLICE, refined).drop("__pl_k")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -91,9 +127,14 @@ def asof_join(
     lookback: str | None = None,
     allow_exact: bool = True,
     slice_width: str = "1 day",
+    max_slice_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Backward as-of join of ``left`` (labels) to ``right`` (features).
 
+    ``max_slice_rows`` bounds a window group: a ``(key, slice)`` holding more rows (both
+    sides together) is cut into 2^k equal sub-slices, k up to 20. ``None`` turns the
+    check off (it costs one aggregate over the key and time columns).
+
     ``delay`` shifts the right time to its availability time (``right_on + delay``),
     which is the time compared with ``left_on`` and with ``tolerance``;
     ``lookback`` bounds the raw right time (``right_on >= left_on - lookback``).
@@ -133,6 +174,8 @@ def asof_join(
     both = lhs.unionByName(rhs).withColumn(
         _SLICE, F.floor(_micros(F.col(_KEY_TS)) / F.lit(width)).cast("long")
     )
+    if max_slice_rows is not None:
+        both = _refine_hot_slices(both, keys, width, max_slice_rows)
 
     # Level A: matches inside the left row's own slice.
     order = [F.col(_KEY_TS), F.col(_SIDE), *[F.col(f"{_RROW}.{c}") for c in right_cols]]

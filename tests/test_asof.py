@@ -113,3 +113,12 @@ def test_interval_parser():
     assert interval_micros("1 hour") == 3_600_000_000
     with pytest.raises(ValueError):
         interval_micros("1 month")
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_hot_slices_are_refined_exactly(spark, seed):
+    # A tiny bound forces most (key, slice) groups to be cut into sub-slices.
+    l, r = _frames(seed)
+    got = _run(spark, l, r, tolerance="3 days", slice_width="30 days", max_slice_rows=3)
+    assert got == _brute(l, r, tolerance=dt.timedelta(days=3))
+    assert _run(spark, l, r, max_slice_rows=1) == _brute(l, r)
