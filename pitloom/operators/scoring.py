@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pitloom.operators.metrics import accuracy, confusion, log_loss, stratified_split
 from pitloom.session import ensure_checkpoint_dir
 
-MODEL_IMPLEMENTATION = "random-forest-v1"
+MODEL_IMPLEMENTATION = "spark-random-forest-1"
 
 
 @dataclass(frozen=True)

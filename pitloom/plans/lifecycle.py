@@ -62,7 +62,7 @@ class LifecycleConfig:
     seed: int = 17
     num_trees: int = 160
     max_depth: int = 12
-    model_name: str = "exact-quantity-classifier"
+    model_name: str = "quantity-classifier"
     champion_class: str | None = None  # constant-class champion (M2); None: no production model
     run_ts: str = "2026-03-01 00:00:00"
 

@@ -338,11 +338,11 @@ def p10_data_decision(spark, sf_dir):
 RUN = {
     "AML_PIPELINE_JOB_ID": "local",
     "MLFLOW_RUN_ID": "run-local",
-    "FEATURE_SET_NAME": "exact_quantity_features",
+    "FEATURE_SET_NAME": "quantity_features",
     "FEATURE_SET_VERSION": "1",
     "MODEL_NAME": MODEL_NAME,
     "MODEL_VERSION": "7",
-    "BATCH_ENDPOINT_NAME": "exact-quantity-batch",
+    "BATCH_ENDPOINT_NAME": "quantity-batch",
 }
 
 
@@ -550,7 +550,7 @@ ACTUALS_QUERY = (
     "SELECT entity_id, event_ts, label_available_ts, actual_quantity, correlation_id FROM delayed_actuals "
     "WHERE label_available_ts <= :source_cutoff"
 )
-MODEL_IMPLEMENTATION = "random-forest-v1"
+MODEL_IMPLEMENTATION = "spark-random-forest-1"
 RANDOM_SEED = 17
 
 

@@ -25,7 +25,7 @@ LOOKBACK = "30 days"
 MAPPING_VERSION = "quantity-v1"
 CONTRACT = QuantityContract(MAPPING_VERSION, 0, 50)  # every fixture quantity in domain
 NARROW_CONTRACT = QuantityContract(MAPPING_VERSION, 0, 20)  # many out of domain
-MODEL_NAME = "exact-quantity-classifier"
+MODEL_NAME = "quantity-classifier"
 RUN_TS = "2026-03-01 00:00:00"
 
 
