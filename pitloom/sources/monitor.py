@@ -37,6 +37,11 @@ def write_monitor_tables(tables: Mapping[str, DataFrame], root: str, *, publishe
 
     if not published:
         return {"status": "SKIPPED", "reason": "no published batch"}
+    from pitloom.operators.contracts import require_unique_ids
+
+    # The monitor joins outputs and ground truth on the business id: both must be unique.
+    require_unique_ids(tables["model_outputs"], "correlation_id", population="model outputs")
+    require_unique_ids(tables["ground_truth"], "correlation_id", population="ground truth")
     manifest: dict[str, object] = {"status": "READY"}
     for name in MONITOR_TABLES:
         obs = Observation(name)
