@@ -52,6 +52,8 @@ def main() -> int:
             f"{'OK ' if ok else 'BAD'} {name}: rows={r['rows']} schema={r['schema_match']} "
             f"hash={r['hash_match']} ({time.time() - t:.1f}s)"
         )
+        if r["dtype_diff"]:
+            print("  dtype differences (spark, oracle):", r["dtype_diff"])
         if not ok:
             s, o = r["spark"], r["oracle"]
             print("  spark cols:", list(s.columns), s.dtypes.tolist())

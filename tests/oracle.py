@@ -66,7 +66,16 @@ def compare(spark, name: str, sf_dir: str, con: duckdb.DuckDBPyConnection | None
     odf = con.sql(ORACLE[name]).df()
     sn, scols, sh = frame_digest(sdf)
     on, ocols, oh = frame_digest(odf)
+    def kinds(df):
+        out = {}
+        for c in sorted(df.columns):
+            k = df[c].dtype.kind if hasattr(df[c].dtype, "kind") else "O"
+            out[c] = str(df[c].dtype) if df[c].dtype.kind in "iufb" else {"M": "time", "O": "object"}.get(k, k)
+        return out
+
+    sk, ok = kinds(sdf), kinds(odf)
     return {
+        "dtype_diff": {c: (sk[c], ok.get(c)) for c in sk if sk[c] != ok.get(c)},
         "name": name,
         "rows": (sn, on),
         "rows_match": sn == on,
