@@ -89,7 +89,8 @@ SELECT * FROM {fx_run_events}
 UNION ALL
 SELECT * FROM {fx_run_events} WHERE CAST(event_id AS BIGINT) % 4 = 0""",
     # Raw event payloads as delivered (JSON text), with malformed ones injected:
-    # not JSON, no id, data not an object, status event without a run id; key case varies.
+    # not JSON, no id, data not an object, status event without a run id, a numeric id;
+    # key case varies.
     "fx_raw_events": """
 SELECT event_id, event_ts,
   CASE
@@ -97,6 +98,7 @@ SELECT event_id, event_ts,
     WHEN CAST(event_id AS BIGINT) % 89 = 0 THEN '{"eventType":"' || event_type || '","data":{}}'
     WHEN CAST(event_id AS BIGINT) % 83 = 0 THEN '{"id":"' || event_id || '","eventType":"' || event_type || '","data":"' || run_id || '"}'
     WHEN CAST(event_id AS BIGINT) % 79 = 0 THEN '{"id":"' || event_id || '","eventType":"' || event_type || '","data":{"runStatus":"' || run_status || '"}}'
+    WHEN CAST(event_id AS BIGINT) % 73 = 0 THEN '{"id":' || event_id || ',"eventType":"' || event_type || '","data":{}}'
     ELSE '{"id":"' || event_id || '","' || CASE WHEN CAST(event_id AS BIGINT) % 2 = 0 THEN 'eventType' ELSE 'EventType' END
          || '":"' || event_type || '","subject":"runs/' || run_id || '","data":{"'
          || CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN 'RunId' ELSE 'runId' END || '":"' || run_id

@@ -23,7 +23,7 @@ _PARSED_SQL = f"""
              WHEN event_type = '{E.STATUS_EVENT}' AND (run_status IS NULL OR run_status = '') THEN 'missing_run_status'
         END AS dead_letter
  FROM (SELECT event_id, ok,
-              CASE WHEN ok THEN json_extract_string(body, '$.id') END AS pid,
+              CASE WHEN ok AND json_type(body, '$.id') = 'VARCHAR' THEN json_extract_string(body, '$.id') END AS pid,
               CASE WHEN ok THEN COALESCE(NULLIF(json_extract_string(body, '$.eventType'), ''),
                                          NULLIF(json_extract_string(body, '$.EventType'), ''),
                                          NULLIF(json_extract_string(body, '$.type'), '')) END AS event_type,

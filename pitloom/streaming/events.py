@@ -54,32 +54,49 @@ def _folded(m: Column) -> Column:
     return F.transform_keys(m, lambda k, _: F.lower(k))
 
 
+def _text(v: Column) -> Column:
+    """The value when it is a JSON string, else null (a number is not a string)."""
+    return F.when(F.schema_of_variant(v) == F.lit("STRING"), F.variant_get(v, "$", "string"))
+
+
+def _object(v: Column) -> Column:
+    """The value as a map when it is a JSON object, else null."""
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.variant_get(v, "$", "map<string,variant>"))
+
+
 def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Adds event_id, event_type, run_id, run_status, breach_tag and ``dead_letter`` (reason or null)."""
-    top = F.from_json(F.col(body), "map<string,string>")
+    """Adds event_id, event_type, run_id, run_status, breach_tag and ``dead_letter`` (reason or null).
+
+    Values are parsed as variants, so a required field must be a non-empty JSON string
+    (a number is refused) and ``data`` must be a JSON object.
+    """
+    top = F.from_json(F.col(body), "map<string,variant>")
     folded = _folded(top)
-    data = F.from_json(top["data"], "map<string,string>")
+    data = _object(top["data"])
     dfold = _folded(data)
-    tags = _folded(F.from_json(dfold["runtags"], "map<string,string>"))
+    tags = _folded(_object(dfold["runtags"]))
+    event_id = _text(folded["id"])
     event_type = F.coalesce(
-        F.when(_present(folded["eventtype"]), folded["eventtype"]), F.when(_present(folded["type"]), folded["type"])
+        F.when(_present(_text(folded["eventtype"])), _text(folded["eventtype"])),
+        F.when(_present(_text(folded["type"])), _text(folded["type"])),
     )
+    run_id, run_status = _text(dfold["runid"]), _text(dfold["runstatus"])
     is_status = event_type == F.lit(STATUS_EVENT)
     reason = (
         F.when(top.isNull(), F.lit("invalid_json"))
-        .when(~_present(folded["id"]), F.lit("missing_id"))
+        .when(~_present(event_id), F.lit("missing_id"))
         .when(event_type.isNull(), F.lit("missing_event_type"))
         .when(data.isNull(), F.lit("data_not_object"))
-        .when(is_status & ~_present(dfold["runid"]), F.lit("missing_run_id"))
-        .when(is_status & ~_present(dfold["runstatus"]), F.lit("missing_run_status"))
+        .when(is_status & ~_present(run_id), F.lit("missing_run_id"))
+        .when(is_status & ~_present(run_status), F.lit("missing_run_status"))
     )
     return raw.select(
         "*",
-        folded["id"].alias("parsed_id"),
+        event_id.alias("parsed_id"),
         event_type.alias("event_type"),
-        dfold["runid"].alias("run_id"),
-        dfold["runstatus"].alias("run_status"),
-        tags[BREACH_TAG].alias("breach_tag"),
+        run_id.alias("run_id"),
+        run_status.alias("run_status"),
+        _text(tags[BREACH_TAG]).alias("breach_tag"),
         reason.alias("dead_letter"),
     )
 

@@ -120,3 +120,14 @@ def test_daily_signal_stream_equals_batch(spark):
     E.run_daily_signals(spark, f"{root}/source", f"{root}/sink", f"{root}/ckpt2")  # replayed from scratch
     got = sorted(E.daily_signals_current(spark, f"{root}/sink").collect())
     assert got == sorted(E.daily_signals(df).collect())
+
+
+def test_required_fields_must_be_strings(spark):
+    bodies = [
+        json.dumps({"id": 5, "eventType": "x", "data": {}}),
+        json.dumps({"id": "6", "eventType": 7, "data": {}}),
+        json.dumps({"id": "8", "eventType": E.STATUS_EVENT, "data": {"runId": 9, "runStatus": "Failed"}}),
+        json.dumps({"id": "10", "eventType": "x", "data": [1]}),
+    ]
+    by_body = {r["body"]: r["dead_letter"] for r in _events(spark, bodies).collect()}
+    assert [by_body[b] for b in bodies] == ["missing_id", "missing_event_type", "missing_run_id", "data_not_object"]
