@@ -44,9 +44,9 @@ def main() -> None:
         text = buf.getvalue()
         tree = text.split("\n\n")[0]
         tree = re.sub(r"#\d+", "", tree)
-        exchanges = len(re.findall(r"Exchange \(", tree)) - len(re.findall(r"BroadcastExchange \(", tree))
+        exchanges = len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange \(", tree))
         scans = re.findall(r"\(\d+\) Scan parquet[^\n]*\n(?:[^\n]*\n){0,6}?PushedFilters: ([^\n]*)\n(?:[^\n]*\n){0,2}?ReadSchema: ([^\n]*)", text)
-        out += [f"## {name}", "", note, "", f"Shuffle exchanges: {exchanges}.", "", "```", tree.strip(), "```", ""]
+        out += [f"## {name}", "", note, "", f"Shuffle exchanges in the plan, fixture subtrees included: {exchanges}.", "", "```", tree.strip(), "```", ""]
         if scans:
             out += ["| Pushed filters | Read schema |", "| --- | --- |"]
             out += [f"| `{f}` | `{r}` |" for f, r in scans]
