@@ -64,12 +64,18 @@ def missing_and_extra(matched: DataFrame) -> DataFrame:
 
 
 def require_complete(matched: DataFrame) -> None:
-    """Fail unless every key is on both sides exactly once (one small aggregate)."""
+    """Fail unless every key is on both sides exactly once (one small aggregate).
+
+    Both sides are checked for repeated keys: the reference checks only the predictions.
+    """
     row = matched.agg(
         F.count_if(F.col("side") == LEFT_ONLY).alias("left_only"),
         F.count_if(F.col("side") == RIGHT_ONLY).alias("right_only"),
         F.coalesce(F.sum(F.greatest(F.col("delivered_rows") - 1, F.lit(0))), F.lit(0)).alias("dup"),
+        F.coalesce(F.sum(F.greatest(F.col("expected_rows") - 1, F.lit(0))), F.lit(0)).alias("expected_dup"),
     ).first()
+    if row["expected_dup"]:
+        raise ValueError("scoring features contain duplicate correlation keys")
     if row["dup"]:
         raise ValueError("batch predictions contain duplicate correlation keys")
     if row["left_only"] or row["right_only"]:

@@ -117,9 +117,16 @@ def run_lifecycle(
     actuals = read_snapshot(spark, f"{run_dir}/pull/actuals", ACTUALS)
     ev.append((1, "pull", "PULLED", None, scoring.count()))
 
-    # 2. build_features: rule tables -> PASS/BLOCK.
+    # 2. build_features: rule tables -> PASS/BLOCK (P2-P10, J1, J2). The label-leak rule
+    # looks at the raw scoring source, before the typed projection could drop a label.
+    from pitloom.operators.contracts import label_leak
     from pitloom.plans.quality_queries import data_rules
 
+    leaked = label_leak(sources.scoring.columns)
+    if leaked:
+        ev.append((2, "build_features", "BLOCK", f"scoring:label_leak:{','.join(leaked)}", len(leaked)))
+        return skip_rest(2, "data contract blocked training")
+
     labeled = label_actuals(actuals, cfg.contract)
     spine = asof_join(labeled, training, tolerance=cfg.tolerance)
     write_snapshot(spine, f"{run_dir}/spine")

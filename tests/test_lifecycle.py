@@ -67,3 +67,14 @@ def test_no_champion_and_weak_candidate_halts(spark):
     assert ev["register_select"]["status"] == "HALTED"
     assert ev["register_select"]["reason"].endswith("no_production_deployment")
     assert ev["publish"]["status"] == "SKIPPED"
+
+
+def test_label_in_scoring_source_blocks(spark):
+    pops = _separable(spark)
+    pops.scoring = pops.scoring.withColumn("Actual_Class", F.lit("1"))
+    cfg = LifecycleConfig(
+        batch_id="b1", cutoff="2030-01-01 00:00:00", scoring_cutoff="2030-01-01 00:00:00",
+        contract=QuantityContract("quantity-v1", 0, 5),
+    )
+    rows = run_lifecycle(spark, pops, cfg).orderBy("stage_no").collect()
+    assert (rows[1]["status"], rows[1]["reason"]) == ("BLOCK", "scoring:label_leak:actual_class")

@@ -118,3 +118,15 @@ def test_reconciliation_rejects_other_batch(spark):
     dup = got.unionByName(got)
     with pytest.raises(ValueError, match="duplicate"):
         require_complete(reconcile(exp, dup.withColumn("source_batch_id", F.lit("batch-1"))))
+
+
+def test_reconciliation_rejects_duplicate_expected_keys(spark):
+    import pytest
+
+    from pitloom.operators.reconcile import normalise_keys, reconcile, require_complete
+
+    ddl = "e string, t string, b string, c string"
+    f = spark.createDataFrame([("A", "2026-01-01 00:00:00", "b1", "x")] * 2, ddl)
+    p = spark.createDataFrame([("A", "2026-01-01 00:00:00", "b1", "x")], ddl)
+    with pytest.raises(ValueError, match="scoring features contain duplicate"):
+        require_complete(reconcile(normalise_keys(f, ["e", "t", "b", "c"]), normalise_keys(p, ["e", "t", "b", "c"])))
