@@ -94,7 +94,11 @@ def render(col: Column, kind: str) -> Column:
     reproduce them; timestamps as ISO UTC.
     """
     if kind == "double":
-        text = col.cast("decimal(38,6)").cast("string")
+        # Fixed six-decimal text where decimal(38,6) holds the value; NaN, infinities and
+        # magnitudes from 1e32 up (which that cast refuses under ANSI) keep Spark's text.
+        d = col.cast("double")
+        fits = ~F.isnan(d) & (F.abs(d) < F.lit(1e32))
+        text = F.when(fits, d.cast("decimal(38,6)").cast("string")).otherwise(d.cast("string"))
     elif kind == "timestamp":
         text = iso_utc(col)
     else:
