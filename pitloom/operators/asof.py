@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitloom.schemas import ENTITY, FEATURE_TS, LABEL_TS
+from pitloom.session import ensure_checkpoint_dir
 
 _SIDE = "__pl_side"
 _SLICE = "__pl_slice"
@@ -83,35 +84,20 @@ _FINE_BITS = 20  # sub-slices live on a common grid of 2^20 per slice
 _HOT_BROADCAST_LIMIT = 1_000_000  # hot-group rows; above it the refinement joins by shuffle
 
 
-def _refine_hot_slices(both: DataFrame, keys: list[str], width: int, max_rows: int) -> DataFrame:
-    """Split (key, slice) groups above ``max_rows`` into 2^k time sub-slices.
+def _refine_slices(both: DataFrame, hot: DataFrame, n_hot: int, keys: list[str], width: int) -> DataFrame:
+    """Split the (key, slice) groups of ``hot`` (with their ``__pl_k``) into 2^k time sub-slices.
 
     Sub-slice ids stay monotone in time within a key (slice * 2^20 + sub * 2^(20-k)), so
-    level B still orders slices correctly. The hot-group table has at most
-    rows / max_rows entries; it is broadcast only when its counted size is below
-    ``_HOT_BROADCAST_LIMIT``, and joined by shuffle otherwise.
+    level B still orders slices correctly. The hot table has at most rows / max_slice_rows
+    entries; it is broadcast only when its counted size is below ``_HOT_BROADCAST_LIMIT``,
+    and joined by shuffle otherwise.
     """
-    counts = (
-        both.where(F.col(_KEY_TS).isNotNull())
-        .groupBy(*keys, _SLICE)
-        .agg(F.count(F.lit(1)).alias("__pl_n"))
-        .where(F.col("__pl_n") > max_rows)
-    )
-    hot = counts.select(
-        *keys,
-        _SLICE,
-        F.least(F.ceil(F.log2(F.col("__pl_n") / F.lit(float(max_rows)))), F.lit(_FINE_BITS)).cast("int").alias("__pl_k"),
-    )
-    n_hot = hot.count()
-    scale = F.lit(1 << _FINE_BITS).cast("long")
-    if n_hot == 0:
-        return both.withColumn(_SLICE, F.col(_SLICE) * scale)
     table = F.broadcast(hot) if n_hot <= _HOT_BROADCAST_LIMIT else hot
     k = F.coalesce(F.col("__pl_k"), F.lit(0))
     offset = _micros(F.col(_KEY_TS)) - F.col(_SLICE) * F.lit(width)
     sub = F.floor(offset * F.pow(F.lit(2.0), k) / F.lit(float(width))).cast("long")
     step = F.pow(F.lit(2.0), F.lit(_FINE_BITS) - k).cast("long")  # exact: at most 2^20
-    refined = F.col(_SLICE) * scale + sub * step
+    refined = F.col(_SLICE) * F.lit(1 << _FINE_BITS).cast("long") + sub * step
     return both.join(table, [*keys, _SLICE], "left").withColumn(_SLICE, refined).drop("__pl_k")
 
 
@@ -132,8 +118,8 @@ def asof_join(
     """Backward as-of join of ``left`` (labels) to ``right`` (features).
 
     ``max_slice_rows`` bounds a window group: a ``(key, slice)`` holding more rows (both
-    sides together) is cut into 2^k equal sub-slices, k up to 20. ``None`` turns the
-    check off (it costs one aggregate over the key and time columns).
+    sides together) is cut into 2^k equal sub-slices, k up to 20. The check reads the
+    level-B summary (checkpointed once); ``None`` turns it off.
 
     ``delay`` shifts the right time to its availability time (``right_on + delay``),
     which is the time compared with ``left_on`` and with ``tolerance``;
@@ -174,8 +160,35 @@ def asof_join(
     both = lhs.unionByName(rhs).withColumn(
         _SLICE, F.floor(_micros(F.col(_KEY_TS)) / F.lit(width)).cast("long")
     )
+
+    # Level B summary: one row per (key, slice): its last right row, whether left rows fall
+    # in it, and its size. Aggregated map-side first, so only partial summaries shuffle.
+    def summarise(frame: DataFrame) -> DataFrame:
+        is_right = F.col(_SIDE) != 1
+        return frame.groupBy(*keys, _SLICE).agg(
+            F.max_by(F.col(_RROW), F.when(is_right, F.struct(F.col(_KEY_TS), F.col(_RROW)))).alias(_RROW),
+            F.max((~is_right).cast("int")).alias("__pl_has_left"),
+            F.count(F.lit(1)).alias("__pl_n"),
+        )
+
+    summary = summarise(both)
     if max_slice_rows is not None:
-        both = _refine_hot_slices(both, keys, width, max_slice_rows)
+        # The summary is cut from the lineage into the shared checkpoint folder, so the size
+        # check and level B read it once. Groups above the bound are split into sub-slices;
+        # only then is a refined summary computed.
+        ensure_checkpoint_dir(left.sparkSession)
+        summary = summary.checkpoint(eager=True)
+        hot = summary.where(F.col("__pl_n") > max_slice_rows).select(
+            *keys,
+            _SLICE,
+            F.least(F.ceil(F.log2(F.col("__pl_n") / F.lit(float(max_slice_rows)))), F.lit(_FINE_BITS))
+            .cast("int")
+            .alias("__pl_k"),
+        )
+        n_hot = hot.count()
+        if n_hot:
+            both = _refine_slices(both, hot, n_hot, keys, width)
+            summary = summarise(both)
 
     # Level A: matches inside the left row's own slice.
     order = [F.col(_KEY_TS), F.col(_SIDE), *[F.col(f"{_RROW}.{c}") for c in right_cols]]
@@ -188,13 +201,6 @@ def asof_join(
         F.col(_SIDE) == 1
     )
 
-    # Level B: one summary row per (key, slice): its last right row and whether left rows
-    # fall in it. Aggregated map-side first, so only partial summaries are shuffled.
-    is_right = F.col(_SIDE) != 1
-    summary = both.groupBy(*keys, _SLICE).agg(
-        F.max_by(F.col(_RROW), F.when(is_right, F.struct(F.col(_KEY_TS), F.col(_RROW)))).alias(_RROW),
-        F.max((~is_right).cast("int")).alias("__pl_has_left"),
-    )
     w_b = (
         Window.partitionBy(*[F.col(k) for k in keys])
         .orderBy(F.col(_SLICE))
