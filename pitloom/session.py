@@ -27,7 +27,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, app: str = "pitloom") -> SparkSession:
+def local_session(
+    cores: int | str = "*", partitions: int = 8, app: str = "pitloom", extra: dict[str, str] | None = None
+) -> SparkSession:
     """Local session for tests and the bench; clusters bring their own session."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -38,7 +40,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "pitlo
         .config("spark.driver.memory", os.environ.get("PITLOOM_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in SQL_SETTINGS.items():
+    for key, value in {**SQL_SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
