@@ -144,8 +144,14 @@ def run_lifecycle(
         seed=cfg.seed, num_trees=cfg.num_trees, max_depth=cfg.max_depth,
     )
     metrics = result.metrics.first()
-    digest = snapshot_digest(spine).first()["snapshot_sha256"]
-    ev.append((3, "train", "TRAINED", f"snapshot {digest[:16]}", int(metrics["validation_rows"])))
+    from pitloom.functions.identity import candidate_version
+    from pitloom.plans.quality_queries import candidate_material
+
+    digest_row = snapshot_digest(spine).select(
+        "snapshot_sha256", candidate_version(candidate_material(F.col("snapshot_sha256"))).alias("version")
+    ).first()
+    version = digest_row["version"]
+    ev.append((3, "train", "TRAINED", f"candidate {version}", int(metrics["validation_rows"])))
 
     # 4. register_select: gate the candidate against the champion.
     cand_metrics = spark.createDataFrame(
@@ -157,6 +163,18 @@ def run_lifecycle(
         champ_metrics = _constant_metrics(spine, cfg.champion_class)
         champ = champ_metrics.select(F.lit(0).alias("segment"), "metric", "value")
     cands = cand_metrics.select("model_version", "segment").distinct()
+    # M4: every candidate is registered with its metrics and mapping before the gate.
+    from pitloom.operators.registry import append_registry, registry_rows
+
+    append_registry(
+        registry_rows(
+            cands.withColumn("mapping_version", F.lit(cfg.contract.mapping_version)),
+            cand_metrics.withColumn("model_version", F.lit(version)),
+            cfg.model_name,
+            [r.name for r in cfg.rules],
+        ).withColumn("model_version", F.lit(version)),
+        f"{run_dir}/registry",
+    )
     reasons = gate_reasons(cands, cand_metrics, champ, cfg.rules)
     outcome = gate_outcome(cands, reasons, champ).first()
     if outcome["outcome"] == "HALT":
@@ -182,7 +200,7 @@ def run_lifecycle(
     expected = normalise_keys(scoring, ["entity_id", "feature_ts", "source_batch_id", "correlation_id"])
     delivered = normalise_keys(predictions, ["entity_id", "prediction_ts", "source_batch_id", "correlation_id"])
     require_complete(reconcile(expected, delivered))
-    run = dict(RUN, MODEL_NAME=cfg.model_name, MODEL_VERSION=digest[:16] if outcome["outcome"] == "PROMOTE" else "champion")
+    run = dict(RUN, MODEL_NAME=cfg.model_name, MODEL_VERSION=version if outcome["outcome"] == "PROMOTE" else "champion")
     frame = provenance(predictions, run, run_ts=cfg.run_ts, mapping_version=cfg.contract.mapping_version)
     published = PredictionTable(spark, f"{run_dir}/published").publish(frame)
     ev.append((6, "publish", "PUBLISHED", None, int(published["published_rows"])))
