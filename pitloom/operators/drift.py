@@ -122,6 +122,21 @@ def chi2_p_value_ml(frame: DataFrame, side: str, cls: str) -> DataFrame:
     )
 
 
+def chi_squared_p_value(frame: DataFrame, side: str, cls: str) -> DataFrame:
+    """(statistic, df, p_value). Closed form for even df; Spark ML's test for odd df.
+
+    Deciding between the two reads one scalar (df) of the one-row statistic table.
+    """
+    chi = chi_squared(frame, side, cls)
+    df_value = chi.select("df").first()[0]
+    if df_value and df_value % 2 == 1:
+        ml = chi2_p_value_ml(frame, side, cls)
+        return chi.unionByName(ml.select("p_value"), allowMissingColumns=True).agg(
+            F.max("statistic").alias("statistic"), F.max("df").alias("df"), F.max("p_value").alias("p_value")
+        )
+    return chi.withColumn("p_value", chi2_survival_even(F.col("statistic"), F.col("df")))
+
+
 def signal_rows(signals: Mapping[str, DataFrame]) -> DataFrame:
     """Union of ``(signal, subject, value)`` rows from each signal frame."""
     out = None

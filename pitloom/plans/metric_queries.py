@@ -189,10 +189,10 @@ def monitor_signals(spark, sf_dir):
     tv = M.total_variation(d, "side", "prediction_class").select(
         F.lit("total_variation").alias("signal"), F.lit("prediction_class").alias("subject"), F.col("total_variation").alias("value")
     )
-    chi = D.chi_squared(d, "side", "prediction_class").select(
+    chi = D.chi_squared_p_value(d, "side", "prediction_class").select(
         F.lit("chi_squared_p_value").alias("signal"),
         F.lit("prediction_class").alias("subject"),
-        D.chi2_survival_even(F.col("statistic"), F.col("df")).alias("value"),
+        F.col("p_value").alias("value"),
     )
     j = _scored_truth(spark, sf_dir)
     acc = j.agg(M.accuracy(j, "prediction_class", "actual_class").alias("value")).select(

@@ -65,7 +65,8 @@ def _object(v: Column) -> Column:
 
 
 def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Adds event_id, event_type, run_id, run_status, breach_tag and ``dead_letter`` (reason or null).
+    """Adds parsed_id, event_type, event_time (text, the retraining cutoff), run_id,
+    run_status, breach_tag and ``dead_letter`` (reason or null).
 
     Values are parsed as variants, so a required field must be a non-empty JSON string
     (a number is refused) and ``data`` must be a JSON object.
@@ -94,6 +95,7 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
         "*",
         event_id.alias("parsed_id"),
         event_type.alias("event_type"),
+        _text(folded["eventtime"]).alias("event_time"),
         run_id.alias("run_id"),
         run_status.alias("run_status"),
         _text(tags[BREACH_TAG]).alias("breach_tag"),

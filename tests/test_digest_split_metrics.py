@@ -87,3 +87,11 @@ def test_row_hash_accepts_extreme_doubles(spark):
     hashes = [r[0] for r in df.select(row_hash(kinds(df.schema))).collect()]
     assert len(set(hashes)) == 5
     assert snapshot_digest(df).first()["rows"] == 5
+
+
+def test_chi_squared_p_value_odd_df_uses_ml(spark):
+    rows = [("r", "a")] * 30 + [("r", "b")] * 10 + [("c", "a")] * 15 + [("c", "b")] * 25
+    df = spark.createDataFrame(rows, "side string, cls string")
+    r = D.chi_squared_p_value(df, "side", "cls").first()
+    ml = D.chi2_p_value_ml(df, "side", "cls").first()
+    assert r["df"] == 1 and math.isclose(r["p_value"], ml["p_value"])
