@@ -84,6 +84,16 @@ def hash_fraction(keys: Sequence[Column], seed: int) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
+def hash_split(frame: DataFrame, keys: Sequence[str], *, seed: int, fraction: float = 0.25) -> DataFrame:
+    """W2, approximate form: ``validation`` when the key's hash fraction is below ``fraction``.
+
+    Map-only (no shuffle, no window); per-class shares are close to ``fraction`` for large
+    classes but not exact. The exact form is ``stratified_split``.
+    """
+    frac = hash_fraction([F.col(k) for k in keys], seed)
+    return frame.withColumn("split", F.when(frac < F.lit(fraction), F.lit("validation")).otherwise(F.lit("train")))
+
+
 def stratified_split(
     frame: DataFrame, label: str, keys: Sequence[str], *, seed: int, fraction_num: int = 1, fraction_den: int = 4
 ) -> DataFrame:

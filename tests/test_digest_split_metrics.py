@@ -95,3 +95,11 @@ def test_chi_squared_p_value_odd_df_uses_ml(spark):
     r = D.chi_squared_p_value(df, "side", "cls").first()
     ml = D.chi2_p_value_ml(df, "side", "cls").first()
     assert r["df"] == 1 and math.isclose(r["p_value"], ml["p_value"])
+
+
+def test_hash_split_is_map_only_and_close(spark):
+    df = spark.range(20000).select(F.col("id").cast("string").alias("key"))
+    out = M.hash_split(df, ["key"], seed=17)
+    share = out.where(F.col("split") == "validation").count() / 20000
+    assert abs(share - 0.25) < 0.02
+    assert sorted(out.collect()) == sorted(M.hash_split(df.repartition(7), ["key"], seed=17).collect())
