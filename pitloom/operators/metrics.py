@@ -99,9 +99,8 @@ def stratified_split(
 ) -> DataFrame:
     """Exact stratified hold-out; adds ``split`` = 'validation' | 'train'.
 
-    Rows of a class are ordered by SHA-256(seed, keys); the first
-    ``(n + den - num) div den * num``-style ceiling share (ceil(n * num / den)) goes to
-    validation. Skew-safe: rows are bucketed by a 16-bit hash prefix; cumulative
+    Rows of a class are ordered by SHA-256(seed, keys); the first ceil(n * num / den) of
+    them go to validation. Skew-safe: rows are bucketed by a 16-bit hash prefix; cumulative
     bucket counts per class (a table of at most 65,536 rows per class) decide whole
     buckets, and a window runs only inside the one bucket per class that straddles
     the cut, i.e. over about 1/65,536 of a class.

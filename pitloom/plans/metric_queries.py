@@ -154,10 +154,17 @@ def a9_chi_squared(spark, sf_dir):
     return D.chi_squared(d, "side", "prediction_class").withColumn("statistic", F.round("statistic", 6))
 
 
-@register("a9_chi_squared_p")
+@register(
+    "a9_chi_squared_p",
+    f"""
+SELECT ROUND(CASE WHEN df = 4 THEN exp(-statistic / 2) * (1 + statistic / 2) END, 9) AS p_value,
+       ROUND(statistic, 6) AS statistic, df
+FROM {_CHI_SQL}""",
+)
 def a9_chi_squared_p(spark, sf_dir):
-    """p-value by Spark ML's ChiSquareTest (any degrees of freedom); rows-only check."""
-    return D.chi2_p_value_ml(fx(spark, sf_dir, "fx_drift"), "side", "prediction_class")
+    """p-value by Spark ML's ChiSquareTest (any df); the oracle uses the closed form for df 4."""
+    r = D.chi2_p_value_ml(fx(spark, sf_dir, "fx_drift"), "side", "prediction_class")
+    return r.select(F.round("p_value", 9).alias("p_value"), F.round("statistic", 6).alias("statistic"), "df")
 
 
 @register(
