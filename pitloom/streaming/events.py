@@ -215,6 +215,7 @@ class EventReactor:
     status: DataFrame
     enable_auto_retrain: bool = True
     retraining_batch: str | None = None
+    max_files_per_trigger: int | None = None  # bounds one micro-batch
 
     @property
     def requests_path(self) -> str:
@@ -271,7 +272,10 @@ class EventReactor:
 
     def run(self, checkpoint: str) -> None:
         """Process everything available now, then stop (``trigger(availableNow=True)``)."""
-        stream = self.spark.readStream.schema(DELIVERY_SCHEMA).parquet(self.source)
+        reader = self.spark.readStream.schema(DELIVERY_SCHEMA)
+        if self.max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
+        stream = reader.parquet(self.source)
         routed = stream.withColumn("dead_letter", route_expired(stream))
         dead = (
             routed.where(F.col("dead_letter").isNotNull())
@@ -326,14 +330,19 @@ RUN_EVENT_SCHEMA = T.StructType(
 )
 
 
-def run_daily_signals(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
+def run_daily_signals(
+    spark: SparkSession, source: str, sink: str, checkpoint: str, max_files_per_trigger: int | None = None
+) -> None:
     """T8 as a stream: tumbling days from 06:00, watermark of one lifetime, update mode.
 
     Each micro-batch appends the windows it updated, tagged with its batch id, to an
     append-only log; ``daily_signals_current`` keeps the latest row per window. Replaying
     a micro-batch rewrites identical rows, so the result does not change.
     """
-    stream = spark.readStream.schema(RUN_EVENT_SCHEMA).parquet(source)
+    reader = spark.readStream.schema(RUN_EVENT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source)
     timed = stream.withColumn("__t", F.col("event_ts").cast("timestamp")).withWatermark("__t", EVENT_TTL)
     w = F.window(F.col("__t"), "1 day", "1 day", "6 hours")
     breach = (F.col("event_type") == STATUS_EVENT) & ~is_blank(F.col("breach_tag"))

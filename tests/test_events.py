@@ -131,3 +131,20 @@ def test_required_fields_must_be_strings(spark):
     ]
     by_body = {r["body"]: r["dead_letter"] for r in _events(spark, bodies).collect()}
     assert [by_body[b] for b in bodies] == ["missing_id", "missing_event_type", "missing_run_id", "data_not_object"]
+
+
+def test_stream_over_many_micro_batches(spark):
+    # One file per micro-batch: the dedupe state and the idempotent sink span batches.
+    root = tempfile.mkdtemp(prefix="pitloom-events-mb-")
+    rows = [
+        ("e1", T0, E.STATUS_EVENT, "run-42", "Failed", E.BREACH_PHRASE, T0, 1),
+        ("e2", T0 + dt.timedelta(hours=1), E.STATUS_EVENT, "run-42", "Failed", E.BREACH_PHRASE, T0 + dt.timedelta(hours=1), 1),
+        ("e1", T0, E.STATUS_EVENT, "run-42", "Failed", E.BREACH_PHRASE, T0 + dt.timedelta(hours=3), 2),
+    ]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], E.DELIVERY_SCHEMA).write.parquet(f"{root}/source/part{i}")
+    status = spark.createDataFrame([("run-42", "Failed")], "run_id string, status string")
+    r = E.EventReactor(spark, f"{root}/source/*", f"{root}/sink", status, True, "b1", max_files_per_trigger=1)
+    r.run(f"{root}/ckpt")
+    assert sorted(x["source_event_id"] for x in r.requests().collect()) == ["e1", "e2"]
+    assert sorted(x["event_id"] for x in r.handled().collect()) == ["e1", "e2"]
