@@ -31,6 +31,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitloom.schemas import ENTITY, FEATURE_TS, LABEL_TS
 from pitloom.session import ensure_checkpoint_dir
@@ -49,9 +50,15 @@ def interval(text: str) -> Column:
     return F.expr(f"INTERVAL {text}")
 
 
-def _micros(col: Column) -> Column:
-    # Only the ordering of slices matters for correctness; the session zone is UTC.
-    return F.unix_micros(col.cast("timestamp"))
+def _micros(col: Column, ntz: bool = True) -> Column:
+    """Microseconds since the epoch, independent of the session time zone.
+
+    Slice ids must be monotone in time: a zone-less timestamp is measured against the
+    zone-less epoch (no daylight-saving gaps), a zoned one with ``unix_micros``.
+    """
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+    return F.unix_micros(col)
 
 
 _UNIT_MICROS = {
@@ -84,7 +91,9 @@ _FINE_BITS = 20  # sub-slices live on a common grid of 2^20 per slice
 _HOT_BROADCAST_LIMIT = 1_000_000  # hot-group rows; above it the refinement joins by shuffle
 
 
-def _refine_slices(both: DataFrame, hot: DataFrame, n_hot: int, keys: list[str], width: int) -> DataFrame:
+def _refine_slices(
+    both: DataFrame, hot: DataFrame, n_hot: int, keys: list[str], width: int, ntz: bool
+) -> DataFrame:
     """Split the (key, slice) groups of ``hot`` (with their ``__pl_k``) into 2^k time sub-slices.
 
     Sub-slice ids stay monotone in time within a key (slice * 2^20 + sub * 2^(20-k)), so
@@ -94,7 +103,7 @@ def _refine_slices(both: DataFrame, hot: DataFrame, n_hot: int, keys: list[str],
     """
     table = F.broadcast(hot) if n_hot <= _HOT_BROADCAST_LIMIT else hot
     k = F.coalesce(F.col("__pl_k"), F.lit(0))
-    offset = _micros(F.col(_KEY_TS)) - F.col(_SLICE) * F.lit(width)
+    offset = _micros(F.col(_KEY_TS), ntz) - F.col(_SLICE) * F.lit(width)
     sub = F.floor(offset * F.pow(F.lit(2.0), k) / F.lit(float(width))).cast("long")
     step = F.pow(F.lit(2.0), F.lit(_FINE_BITS) - k).cast("long")  # exact: at most 2^20
     refined = F.col(_SLICE) * F.lit(1 << _FINE_BITS).cast("long") + sub * step
@@ -157,9 +166,9 @@ def asof_join(
     )
     for k in keys:
         rhs = rhs.where(F.col(k).isNotNull())
-    both = lhs.unionByName(rhs).withColumn(
-        _SLICE, F.floor(_micros(F.col(_KEY_TS)) / F.lit(width)).cast("long")
-    )
+    both = lhs.unionByName(rhs)
+    ntz = isinstance(both.schema[_KEY_TS].dataType, T.TimestampNTZType)
+    both = both.withColumn(_SLICE, F.floor(_micros(F.col(_KEY_TS), ntz) / F.lit(width)).cast("long"))
 
     # Level B summary: one row per (key, slice): its last right row, whether left rows fall
     # in it, and its size. Aggregated map-side first, so only partial summaries shuffle.
@@ -187,7 +196,7 @@ def asof_join(
         )
         n_hot = hot.count()
         if n_hot:
-            both = _refine_slices(both, hot, n_hot, keys, width)
+            both = _refine_slices(both, hot, n_hot, keys, width, ntz)
             summary = summarise(both)
 
     # Level A: matches inside the left row's own slice.

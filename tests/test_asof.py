@@ -122,3 +122,14 @@ def test_hot_slices_are_refined_exactly(spark, seed):
     got = _run(spark, l, r, tolerance="3 days", slice_width="30 days", max_slice_rows=3)
     assert got == _brute(l, r, tolerance=dt.timedelta(days=3))
     assert _run(spark, l, r, max_slice_rows=1) == _brute(l, r)
+
+
+def test_slices_do_not_depend_on_the_session_zone(spark):
+    l, r = _frames(10)
+    want = _brute(l, r, tolerance=dt.timedelta(days=3))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert _run(spark, l, r, tolerance="3 days", slice_width="1 hour") == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
