@@ -65,6 +65,7 @@ class LifecycleConfig:
     model_name: str = "quantity-classifier"
     champion_class: str | None = None  # constant-class champion (M2); None: no production model
     run_ts: str = "2026-03-01 00:00:00"
+    event_id: str = "manual"
 
 
 @dataclass
@@ -106,6 +107,17 @@ def run_lifecycle(
             ev.append((i + 1, stages[i], "SKIPPED", reason, 0))
         return _evidence(spark, ev)
 
+    # Every job of the run carries a tag naming the run's batch, cutoff and event (S1's
+    # query tag), so the run can be found in the event log or stopped with interruptTag.
+    tag = f"pitloom-run:{cfg.batch_id}:{cfg.cutoff}:{cfg.event_id}".replace(",", ";")
+    spark.addTag(tag)
+    try:
+        return _run_stages(spark, sources, cfg, run_dir, ev, skip_rest)
+    finally:
+        spark.removeTag(tag)
+
+
+def _run_stages(spark, sources, cfg, run_dir, ev, skip_rest):
     # 1. pull: bounded reads, immutable snapshots.
     scoring = bounded_scoring_read(sources.scoring, batch_id=cfg.batch_id, cutoff=cfg.scoring_cutoff)
     training = bounded_feature_read(sources.training, cutoff=cfg.cutoff)
