@@ -33,7 +33,7 @@ from pitloom.plans.registry import (
     fx,
     register,
 )
-from pitloom.session import scratch_path
+from pitloom.session import ensure_checkpoint_dir, scratch_path
 from pitloom.sources.snapshot import (
     batch_membership,
     bounded_actuals_read,
@@ -259,10 +259,15 @@ def data_rules(scoring, training, actuals, spine, contract: QuantityContract):
 def data_decisions(spark, sf_dir, contracts: dict[str, QuantityContract]):
     """P10 for several quantity contracts over the same bounded inputs; the as-of spine
     (coverage does not depend on the class mapping) is built once."""
-    scoring = bounded_scoring_read(fx(spark, sf_dir, "fx_scoring"), batch_id=SCORING_BATCH, cutoff=SCORING_CUTOFF)
-    training = bounded_feature_read(fx(spark, sf_dir, "fx_features"), cutoff=CUTOFF)
-    actuals = bounded_actuals_read(fx(spark, sf_dir, "fx_actuals"), cutoff=CUTOFF)
-    spine = asof_join(actuals, training, tolerance=TOLERANCE)
+    # The pulled populations and the spine feed every rule branch: materialise them once in
+    # the shared checkpoint folder (as the lifecycle does after its pull).
+    ensure_checkpoint_dir(spark)
+    scoring = bounded_scoring_read(
+        fx(spark, sf_dir, "fx_scoring"), batch_id=SCORING_BATCH, cutoff=SCORING_CUTOFF
+    ).checkpoint(eager=True)
+    training = bounded_feature_read(fx(spark, sf_dir, "fx_features"), cutoff=CUTOFF).checkpoint(eager=True)
+    actuals = bounded_actuals_read(fx(spark, sf_dir, "fx_actuals"), cutoff=CUTOFF).checkpoint(eager=True)
+    spine = asof_join(actuals, training, tolerance=TOLERANCE).checkpoint(eager=True)
     counts = scoring.agg(F.count(F.lit(1)).alias("feature_rows")).unionByName(
         spine.agg(F.count(F.lit(1)).alias("training_rows")), allowMissingColumns=True
     )
