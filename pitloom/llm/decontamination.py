@@ -232,6 +232,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
             found = pa.Table.from_batches(scanner(iter([pa.RecordBatch.from_arrays(arrays, names=["key", "text"])])))
             return pd.DataFrame({"n_words": found["n_words"].to_pylist(), "spans": found["spans"].to_pylist()})
 
+        hit = hit.asNondeterministic()  # once a row: a filter on it stays above it
+
         if action == "documents":
             out = _collected(out, hit)
         else:

@@ -92,6 +92,11 @@ _BASE, _ESTIMATE, _KEPT = "__pitloom_base", "__pitloom_estimate", "__pitloom_kep
 _GROUP = ("__pitloom_everything", "lang", "source")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once a row: a filter on it is not moved below, where each use would repeat it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_counts(docs: DataFrame, text_col: str = "text", name: str = _BASE) -> DataFrame:
     """``docs`` with a struct column ``name`` of the five counts.
 
@@ -101,11 +106,11 @@ def with_counts(docs: DataFrame, text_col: str = "text", name: str = _BASE) -> D
     text = text_or_empty(text_col)
     bare = _without(text, _WHITE)
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, _WHITE) != "")
-    split = docs.withColumn(w, F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != ""))
-    hashed = split.withColumn(b, F.length(F.bin(F.size(w).cast("long")))).withColumn(
-        s, F.expr(_WINDOWS.format(w=f"`{w}`", b=f"`{b}`"))
-    )
-    counted = hashed.withColumn(
+    split = _once(docs, w, F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != ""))
+    sized = split.withColumn(b, F.length(F.bin(F.size(w).cast("long"))))
+    hashed = _once(sized, s, F.expr(_WINDOWS.format(w=f"`{w}`", b=f"`{b}`")))
+    counted = _once(
+        hashed,
         name,
         F.struct(
             F.size(w).cast("long").alias("n_words"),
