@@ -10,9 +10,11 @@ are filled by doubling the bound. Two sets agree at a coordinate with the chance
 Documents that agree on a whole band of coordinates are candidates, and every link that counts is checked exactly on
 the texts: weighted Jaccard similarity of the shingles of ``SIMILARITY`` or more. 32 bands of 5 coordinates miss a pair
 at 0.8 with a chance of 3 in a million. Pairs within a band are not emitted: members are checked against the band's
-pivot, the member that shares most; what is then linked is one class, and only bands that still hold several classes
-go on with their next 1, 2, 4, ... pivots against members of other classes. So no link between different texts is
-lost, and a group of any number of copies costs one check a copy. Exact copies are folded before, by their digest.
+pivot, the member that shares most, and what is then linked is one class. Only bands that still hold several classes go
+on, with their next 8, 64, ... pivots against members of other classes, and only with pairs that can reach the
+similarity: the weight of a text's shingles that no other open text has bounds what it shares with any of them. So no
+link between different texts is lost, and a group of any number of copies costs a few checks a copy. Exact copies are
+folded before, by their digest.
 
 Defined results: null texts, and texts without words, are linked to equal texts only (null to none); texts of fewer
 than five words are one shingle; a null doc_id is a member of its class but never its id, unless all ids are null;
@@ -162,9 +164,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = np.concatenate([w for _, w in sets]).astype(np.float64) if sets else np.empty(0)
             keys = band_keys(signatures(elements, weights, owner, len(sets)))
             has = np.array(sizes) > 0
+            totals = np.bincount(owner, weights, len(sets)).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
             bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("digest"), bands], names=["digest", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(totals), bands], names=["digest", "total", "bands"])
 
 
 def _similar(threshold: float):
@@ -227,14 +230,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     keyed = source.withColumn("digest", _digest(F.col("text")))
-    sketches = keyed.select("digest", "text").mapInArrow(_sketch, "digest binary, bands array<long>")
+    sketches = keyed.select("digest", "text").mapInArrow(_sketch, "digest binary, total long, bands array<long>")
     ids = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
-    bands = sketches.groupBy("digest").agg(F.first("bands").alias("bands"))
+    bands = sketches.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("total").alias("total"))
     # Numbered once and written: a second evaluation could number otherwise.
     texts = materialise(ids.join(bands, "digest").withColumn("node", F.monotonically_increasing_id()))
     members = _shared_bands(texts.select("node", F.explode("bands").alias("band")))
-    holders = texts.select("node", "digest").join(members.select("node").distinct(), "node")
-    wanted = materialise(keyed.select("digest", "text").join(holders, "digest").dropDuplicates(["node"]).select("node", "text"))
+    holders = texts.select("node", "digest", "total").join(members.select("node").distinct(), "node")
+    wanted = materialise(keyed.select("digest", "text").join(holders, "digest").dropDuplicates(["node"]).select("node", "total", "text"))
     links = _links(members, wanted, similarity)
     classes = connected(texts, links)
     degree = (
@@ -263,41 +266,79 @@ def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return materialise(both.mapInArrow(_similar(similarity), "a long, b long"))
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle, weight) rows of (node, text) batches."""
+    for batch in batches:
+        for part in batches_by_bytes(batch, "text", 1 << 20):
+            sets = [weighted_set(words_of(t), _numbers()) for t in part.column("text").to_pylist()]
+            nodes = np.repeat(np.asarray(part.column("node")), [len(e) for e, _ in sets])
+            elements = np.concatenate([e for e, _ in sets]).view(np.int64)
+            weights = np.concatenate([w for _, w in sets]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(elements), pa.array(weights)], names=["node", "shingle", "weight"])
+
+
+def _reachable(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, total, common): a text's weight, and its weight in shingles that another of ``nodes`` has too.
+
+    What two texts share is at most either's common weight, so a text whose common weight is below ``similarity`` of
+    its own has no link to any of ``nodes`` and is left out.
+    """
+    rows = texts.join(nodes, "node").mapInArrow(_elements, "node long, shingle long, weight long")
+    alone = (
+        rows.groupBy("shingle")
+        .agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("weight").alias("weight"))
+        .groupBy(F.when(F.col("node") == F.col("other"), F.col("node")).alias("node"))
+        .agg(F.sum("weight").alias("own"))
+    )
+    sizes = texts.join(nodes, "node").select("node", "total")
+    found = sizes.join(alone, "node", "left").withColumn("common", F.col("total") - F.coalesce("own", F.lit(0)))
+    return found.filter(F.col("common") >= similarity * F.col("total")).select("node", "total", "common")
+
+
 def _links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """All links needed for the classes: rounds of pivots until every band holds one class or all pairs are checked."""
+    """All links needed for the classes: rounds of pivots until no band can hold a link between two classes."""
     # The pivot of a band by a grouped maximum: no window over a hot band.
     pivot = members.groupBy("band").agg(F.max(F.struct("reach", "node")).alias("top")).select("band", F.col("top.node").alias("b"))
     pairs = members.join(pivot, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    checked = materialise(pairs)
-    links = _checked(checked, texts, similarity)
-    first, last = 1, 2  # pivots done in every band, and the last of the next round
+    links = _checked(pairs, texts, similarity)
+    classes = connected(members.select("node").distinct(), links)
+    left = materialise(_open(members.join(classes, "node")))
+    if left.isEmpty():
+        return links
+    # Every pivot was checked against all of its bands; what follows needs no pair without enough in common.
+    bounds = _reachable(left.select("node").distinct(), texts, similarity)
+    left = materialise(left.join(bounds, "node"))
+    first, last = 0, 8  # pivots done in every band, and the last of the next round
     while True:
-        classes = materialise(connected(members.select("node").distinct(), links))
-        placed = members.join(classes, "node")
-        open_bands = placed.groupBy("band").agg(
-            F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
-        )
-        open_bands = open_bands.filter((F.col("low") != F.col("high")) & (F.col("size") > first))
-        left = materialise(placed.join(open_bands.select("band"), "band"))
-        if left.isEmpty():
-            return links
         order = Window.partitionBy("band").orderBy(F.col("reach").desc(), F.col("node").desc())
-        ranked = left.withColumn("nth", F.row_number().over(order))
+        ranked = _open(left).withColumn("nth", F.row_number().over(order))
         pivots = ranked.filter((F.col("nth") > first) & (F.col("nth") <= last)).select(
-            "band", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("nth").alias("nth_b")
+            "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "nth", "total", "common")]
         )
-        pairs = (
-            ranked.join(pivots, "band")
-            .filter((F.col("nth") > F.col("nth_b")) & (F.col("class") != F.col("class_b")))
-            .select(F.col("node").alias("a"), "b")
-            .distinct()
-            .join(checked, ["a", "b"], "left_anti")
-            .join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        enough = similarity / (1 + similarity) * (F.col("total") + F.col("total_b"))
+        may_link = (
+            (F.col("nth") > F.col("nth_b"))
+            & (F.col("class") != F.col("class_b"))
+            & (F.least("common", "common_b") >= enough - 1e-6)
         )
-        fresh = materialise(pairs)
-        links = materialise(links.unionAll(_checked(fresh, texts, similarity)))
-        checked = materialise(checked.unionAll(fresh))
-        first, last = last, 2 * last
+        pairs = materialise(
+            ranked.join(pivots, "band").filter(may_link).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+        )
+        if not pairs.isEmpty():
+            links = materialise(links.unionAll(_checked(pairs, texts, similarity)))
+        more = ranked.filter(F.col("nth") > last).select("band").limit(1)
+        if more.isEmpty():
+            return links
+        if not pairs.isEmpty():
+            classes = connected(members.select("node").distinct(), links)
+            left = materialise(left.drop("class").join(classes, "node"))
+        first, last = last, 8 * last
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of bands that hold more than one class."""
+    several = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    return placed.join(several.select("band"), "band")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
