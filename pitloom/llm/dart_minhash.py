@@ -12,7 +12,8 @@ the texts: weighted Jaccard similarity of the shingles of ``SIMILARITY`` or more
 at 0.8 with a chance of 3 in a million. Pairs within a band are not emitted: members are checked against the band's
 pivot, the member that shares most, and what is then linked is one class. Only bands that still hold several classes go
 on, with their next 8, 64, ... pivots against members of other classes, and only with pairs that can reach the
-similarity: the weight of a text's shingles that no other open text has bounds what it shares with any of them. So no
+similarity: the weight of a text's shingles that no other open text has bounds what it shares with any of them, and
+one-bit signatures of 1,024 coordinates must agree to within five standard errors. So no
 link between different texts is lost, and a group of any number of copies costs a few checks a copy. Exact copies are
 folded before, by their digest.
 
@@ -38,6 +39,9 @@ BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 #: Darts looked at per document: with so many, a coordinate stays empty with a chance of 1 in 10,000.
 DARTS = int(K * 9.2)
+#: Coordinates of the one-bit signatures that later rounds compare before any text.
+BITS = 1024
+_WORDS = [f"bits{i}" for i in range(BITS // 64)]
 _SEED = np.uint64(0x5DEECE66D)
 _FRACTION = np.uint64(44)
 #: Cumulated Poisson chances (mean 1) as unsigned 64-bit thresholds.
@@ -238,8 +242,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     members = _shared_bands(texts.select("node", F.explode("bands").alias("band")))
     holders = texts.select("node", "digest", "total").join(members.select("node").distinct(), "node")
     wanted = materialise(keyed.select("digest", "text").join(holders, "digest").dropDuplicates(["node"]).select("node", "total", "text"))
-    links = _links(members, wanted, similarity)
-    classes = connected(texts, links)
+    links, found = _links(members, wanted, similarity)
+    classes = texts.select("node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     )
@@ -277,8 +281,24 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(elements), pa.array(weights)], names=["node", "shingle", "weight"])
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, words) rows of (node, text) batches: one bit of each of ``BITS`` signature coordinates, in 64-bit words."""
+    for batch in batches:
+        for part in batches_by_bytes(batch, "text", 1 << 18):
+            sets = [weighted_set(words_of(t), _numbers()) for t in part.column("text").to_pylist()]
+            owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+            elements = np.concatenate([e for e, _ in sets])
+            weights = np.concatenate([w for _, w in sets]).astype(np.float64)
+            bits = (mix64(signatures(elements, weights, owner, len(sets), BITS)) & np.uint64(1)).astype(np.uint8)
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            offsets = pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32())
+            words = pa.ListArray.from_arrays(offsets, pa.array(packed.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), words], names=["node", "bits"])
+
+
 def _reachable(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, total, common): a text's weight, and its weight in shingles that another of ``nodes`` has too.
+    """(node, total, common, bits0, ...): a text's weight, its weight in shingles that another of ``nodes`` has too, and
+    one bit of each of ``BITS`` signature coordinates.
 
     What two texts share is at most either's common weight, so a text whose common weight is below ``similarity`` of
     its own has no link to any of ``nodes`` and is left out.
@@ -292,19 +312,22 @@ def _reachable(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     )
     sizes = texts.join(nodes, "node").select("node", "total")
     found = sizes.join(alone, "node", "left").withColumn("common", F.col("total") - F.coalesce("own", F.lit(0)))
-    return found.filter(F.col("common") >= similarity * F.col("total")).select("node", "total", "common")
+    able = found.filter(F.col("common") >= similarity * F.col("total")).select("node", "total", "common")
+    bits = texts.join(able.select("node"), "node").select("node", "text").mapInArrow(_bits, "node long, bits array<long>")
+    return able.join(bits, "node").select("node", "total", "common", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)])
 
 
-def _links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """All links needed for the classes: rounds of pivots until no band can hold a link between two classes."""
+def _links(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """All links needed for the classes, and the classes (node, class) of members: rounds of pivots until no band can hold a link between two classes."""
     # The pivot of a band by a grouped maximum: no window over a hot band.
     pivot = members.groupBy("band").agg(F.max(F.struct("reach", "node")).alias("top")).select("band", F.col("top.node").alias("b"))
     pairs = members.join(pivot, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = _checked(pairs, texts, similarity)
-    classes = connected(members.select("node").distinct(), links)
+    nodes = members.select("node").distinct()
+    classes = materialise(connected(nodes, links))
     left = materialise(_open(members.join(classes, "node")))
     if left.isEmpty():
-        return links
+        return links, classes
     # Every pivot was checked against all of its bands; what follows needs no pair without enough in common.
     bounds = _reachable(left.select("node").distinct(), texts, similarity)
     left = materialise(left.join(bounds, "node"))
@@ -313,28 +336,35 @@ def _links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         order = Window.partitionBy("band").orderBy(F.col("reach").desc(), F.col("node").desc())
         ranked = _open(left).withColumn("nth", F.row_number().over(order))
         pivots = ranked.filter((F.col("nth") > first) & (F.col("nth") <= last)).select(
-            "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "nth", "total", "common")]
+            "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "nth", "total", "common", *_WORDS)]
         )
         enough = similarity / (1 + similarity) * (F.col("total") + F.col("total_b"))
         may_link = (
             (F.col("nth") > F.col("nth_b"))
             & (F.col("class") != F.col("class_b"))
             & (F.least("common", "common_b") >= enough - 1e-6)
+            & (sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _WORDS) <= most_differing(similarity))
         )
         pairs = materialise(
             ranked.join(pivots, "band").filter(may_link).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
         )
-        if not pairs.isEmpty():
-            links = materialise(links.unionAll(_checked(pairs, texts, similarity)))
-        more = ranked.filter(F.col("nth") > last).select("band").limit(1)
-        if more.isEmpty():
-            return links
-        if not pairs.isEmpty():
-            classes = connected(members.select("node").distinct(), links)
-            left = materialise(left.drop("class").join(classes, "node"))
+        more = not ranked.filter(F.col("nth") > last).select("band").limit(1).isEmpty()
+        fresh = _checked(pairs, texts, similarity) if not pairs.isEmpty() else None
+        if fresh is not None and not fresh.isEmpty():
+            links = materialise(links.unionAll(fresh))
+            classes = materialise(connected(nodes, links))
+            left = left.drop("class").join(classes, "node")
+        if not more:
+            return links, classes
         first, last = last, 8 * last
 
 
+def most_differing(similarity: float) -> int:
+    """Differing bits of two texts of this similarity, at most: five standard errors (3 in 10 million) above the mean."""
+    p = (1 - similarity) / 2
+    return int(BITS * p + 5 * (BITS * p * (1 - p)) ** 0.5) + 1
+
+
 def _open(placed: DataFrame) -> DataFrame:
     """The rows of bands that hold more than one class."""
     several = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")

@@ -29,6 +29,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, order_by: str = "doc_id")
         (F.octet_length(text_or_empty()).cast("long") + 1).alias("size"),
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
     ).withColumn("row", F.monotonically_increasing_id())
+    narrow = materialise(narrow)  # the text is read once, not again to find the ranges
     order = [F.col(order_by).asc_nulls_first(), F.col("text_crc32"), F.col("size"), F.col("row")]
     # Written once: the ranges of a second evaluation could be cut elsewhere.
     ranged = materialise(
