@@ -94,19 +94,22 @@ def chi_squared(frame: DataFrame, side: str, cls: str) -> DataFrame:
 def chi2_survival_even(stat: Column, df: Column) -> Column:
     """Upper tail of chi-squared for even df: exp(-x/2) * sum_{i<df/2} (x/2)^i / i!.
 
-    Null for odd df (use ``chi2_p_value_ml`` there).
+    Each term is taken as exp(i ln(x/2) - ln i! - x/2), so no factor leaves the range of a double, however
+    large x and df are. Null for odd df (use ``chi2_p_value_ml`` there).
     """
     half = stat / 2
+    log_half = F.log(F.greatest(half, F.lit(1e-300)))
     terms = F.aggregate(
-        F.sequence(F.lit(1), F.greatest((df / 2).cast("int") - 1, F.lit(0))),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+        F.sequence(F.lit(1), F.greatest((df / 2).cast("int") - 1, F.lit(1))),
+        F.struct(F.lit(0.0).alias("log_term"), F.exp(-half).alias("total")),
         lambda acc, i: F.struct(
-            (acc["term"] * half / i).alias("term"), (acc["total"] + acc["term"] * half / i).alias("total")
+            (acc["log_term"] + log_half - F.log(i.cast("double"))).alias("log_term"),
+            (acc["total"] + F.exp(acc["log_term"] + log_half - F.log(i.cast("double")) - half)).alias("total"),
         ),
         lambda acc: acc["total"],
     )
-    total = F.when(df == 2, F.lit(1.0)).otherwise(terms)
-    return F.when((df > 0) & (df % 2 == 0), F.exp(-half) * total)
+    total = F.when(df == 2, F.exp(-half)).otherwise(terms)
+    return F.when((df > 0) & (df % 2 == 0), F.least(total, F.lit(1.0)))
 
 
 def chi2_p_value_ml(frame: DataFrame, side: str, cls: str) -> DataFrame:
@@ -148,7 +151,8 @@ def signal_rows(signals: Mapping[str, DataFrame]) -> DataFrame:
 def verdict(signals: DataFrame, thresholds: Mapping[str, tuple[float, str]]) -> DataFrame:
     """One row per signal with ``alert``. ``thresholds``: signal -> (value, 'above'|'below').
 
-    Thresholds are configuration (a handful of rows), applied as a literal map.
+    Thresholds are configuration (a handful of rows), applied as a literal map. A signal without a value or
+    without a threshold alerts: what is not known to be well is not well.
     """
     limit = F.create_map(*[x for k, (v, _) in thresholds.items() for x in (F.lit(k), F.lit(float(v)))])
     above = F.create_map(*[x for k, (_, d) in thresholds.items() for x in (F.lit(k), F.lit(d == "above"))])
@@ -158,7 +162,10 @@ def verdict(signals: DataFrame, thresholds: Mapping[str, tuple[float, str]]) ->
         "subject",
         "value",
         t.alias("threshold"),
-        F.when(above[F.col("signal")], F.col("value") >= t).otherwise(F.col("value") < t).alias("alert"),
+        F.when(F.col("value").isNull() | F.isnan(F.col("value").cast("double")) | t.isNull(), True)
+        .when(above[F.col("signal")], F.col("value") >= t)
+        .otherwise(F.col("value") < t)
+        .alias("alert"),
     )
 
 

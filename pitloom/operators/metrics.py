@@ -100,7 +100,7 @@ def stratified_split(
     """Exact stratified hold-out; adds ``split`` = 'validation' | 'train'.
 
     Rows of a class are ordered by SHA-256(seed, keys); the first ceil(n * num / den) of
-    them go to validation. Skew-safe: rows are bucketed by a 16-bit hash prefix; cumulative
+    them go to validation (none of a class of one row); rows without a label are one class. Skew-safe: rows are bucketed by a 16-bit hash prefix; cumulative
     bucket counts per class (a table of at most 65,536 rows per class) decide whole
     buckets, and a window runs only inside the one bucket per class that straddles
     the cut, i.e. over about 1/65,536 of a class.
@@ -115,11 +115,18 @@ def stratified_split(
         "__b",
         F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"),
         "__n",
-        ((F.sum("__n").over(per_class) * fraction_num + (fraction_den - 1)) / fraction_den)
-        .cast("long")
+        # A class of one row is for training: a validation class without training rows says nothing.
+        F.when(
+            F.sum("__n").over(per_class) > 1,
+            ((F.sum("__n").over(per_class) * fraction_num + (fraction_den - 1)) / fraction_den).cast("long"),
+        )
+        .otherwise(0)
         .alias("__k"),
     )
-    joined = hashed.join(cuts, [label, "__b"], "inner")
+    # Rows without a label are a class of their own.
+    cuts = cuts.select(F.col(label).alias("__label"), F.col("__b").alias("__bucket"), "__before", "__n", "__k")
+    same = hashed[label].eqNullSafe(F.col("__label")) & (F.col("__b") == F.col("__bucket"))
+    joined = hashed.join(cuts, same, "inner")
     straddle = (F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__n") > F.col("__k"))
     in_bucket = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
     validation = F.when(F.col("__before") + F.col("__n") <= F.col("__k"), True).when(

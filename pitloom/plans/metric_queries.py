@@ -276,11 +276,11 @@ def a12_gate_reasons(spark, sf_dir):
 _ART_MAPPING = "CASE WHEN segment = 3 THEN 'quantity-v2' WHEN segment = 4 THEN NULL ELSE 'quantity-v1' END"
 _OUTCOME_SQL = f"""
 (SELECT c.model_version, c.segment,
-        CASE WHEN hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}' THEN 'HALT'
+        CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}') THEN 'HALT'
              WHEN r.n IS NULL THEN 'PROMOTE' WHEN hc.segment IS NOT NULL THEN 'RETAIN' ELSE 'HALT' END AS outcome,
-        CAST(CASE WHEN hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}' THEN 1
+        CAST(CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}') THEN 1
              WHEN r.n IS NULL THEN 0 WHEN hc.segment IS NOT NULL THEN r.n ELSE r.n + 1 END AS BIGINT) AS n_reasons,
-        CASE WHEN hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}' THEN 'mapping_version_mismatch'
+        CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}') THEN 'mapping_version_mismatch'
              WHEN r.n IS NULL THEN '' WHEN hc.segment IS NOT NULL THEN r.reasons
              ELSE r.reasons || ';no_production_deployment' END AS reasons
  FROM (SELECT DISTINCT model_version, segment FROM fx_candidate_metrics) c
@@ -348,7 +348,8 @@ def m2_constant_baseline(spark, sf_dir):
     """
 SELECT correlation_id, quantity_class,
        CASE WHEN row_number() OVER (PARTITION BY quantity_class ORDER BY sha256('17|' || correlation_id))
-                 <= (COUNT(*) OVER (PARTITION BY quantity_class) + 3) // 4 THEN 'validation' ELSE 'train' END AS split
+                 <= (COUNT(*) OVER (PARTITION BY quantity_class) + 3) // 4
+                 AND COUNT(*) OVER (PARTITION BY quantity_class) > 1 THEN 'validation' ELSE 'train' END AS split
 FROM (SELECT a.correlation_id, CAST(CAST(a.actual_quantity AS BIGINT) AS VARCHAR) AS quantity_class
       FROM (SELECT * FROM fx_actuals WHERE label_available_ts <= TIMESTAMP '2000-06-30 00:00:00') a
       ASOF JOIN (SELECT * FROM fx_features WHERE feature_ts <= TIMESTAMP '2000-06-30 00:00:00') f

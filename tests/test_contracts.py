@@ -75,7 +75,7 @@ def test_correlation_ids(spark, ids, blank, dup):
 
 def test_required_columns(spark):
     df = spark.createDataFrame([], "a int")
-    with pytest.raises(ContractViolation, match="missing columns: b"):
+    with pytest.raises(ContractViolation, match="no such columns: b"):
         C.require_columns(df, ["a", "b"], population="scoring")
 
 
