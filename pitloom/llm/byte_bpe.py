@@ -9,7 +9,8 @@ Long words use the same rule in a second recursive query that contracts, in one
 minimum rank (left to right) where no pair made with the merged token can have a lower rank; else the leftmost only.
 Both give tiktoken's ids. A whole piece that is itself a token takes that id at once, as in tiktoken.
 
-Defined results: a null text is encoded as an empty one (no ids); null ids decode to null, no ids to no bytes; unknown
+Defined results: a null text is encoded as an empty one (no ids); null ids decode to null (and have no id bytes), no ids
+to no bytes; unknown
 ids raise; other columns are kept or ignored, never read.
 """
 
@@ -33,8 +34,8 @@ from pitloom.llm.common import batches_by_bytes, ship
 
 #: Words up to so many bytes go through the one-contraction-a-step query.
 SHORT = 64
-#: Bytes of new pieces in one recursive query, distinct pieces that a task remembers, ids in one decoding query.
-QUERY_BYTES, REMEMBERED, QUERY_IDS = 1 << 19, 1_000_000, 1 << 19
+#: Bytes of new pieces in one recursive query, ids in one decoding query, distinct pieces and units a task remembers.
+QUERY_BYTES, QUERY_IDS, PIECES, UNITS = 1 << 18, 1 << 18, 700_000, 250_000
 
 _SHORT_SQL = """
 WITH RECURSIVE bpe(w, pos, tok, npos, ntok, live) AS (
@@ -126,6 +127,20 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.bytes_of = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.db.execute("SET enable_progress_bar = false")
+        self.pieces, self.piece_ids = Numbering(), Lists()
+        #: Units by their string behind the leading space; those without one by a tuple of their string.
+        self.units, self.unit_ids = Numbering(), Lists()
+        self.tables: set[str] = set()
+
+    def _need(self, name: str) -> None:
+        """Make the merge table or the vocabulary when it is first used."""
+        if name not in self.tables:
+            self.tables.add(name)
+            getattr(self, f"_make_{name}")()
+
+    def _make_merges(self) -> None:
         rows = []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -135,10 +150,10 @@ class Codec:
         left, right, rank = (np.array(x, np.int32) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int32)] * 3
         # A merged token is safe if it is no part of a token of lower rank.
         unsafe = np.union1d(left[rank < left], right[rank < right])
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.db.execute("SET enable_progress_bar = false")
         self._put("m", pa.table({"l": left, "r": right, "rank": rank, "safe": ~np.isin(rank, unsafe)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
+
+    def _make_vocab(self) -> None:
         self._put(
             "v",
             pa.table(
@@ -149,18 +164,13 @@ class Codec:
             ),
         )
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
-        self.forget()
-
-    def forget(self) -> None:
-        self.pieces, self.piece_ids = Numbering(), Lists()
-        #: Units by their string behind the leading space; those without one by a tuple of their string.
-        self.units, self.unit_ids = Numbering(), Lists()
 
     def _put(self, name: str, data: pa.Table) -> None:
         self.db.register(name, data)
 
     def _contract(self, words: list[bytes], long: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words end to end, and the number of each word's ids."""
+        self._need("merges")
         lengths = np.array([len(x) for x in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         stops = np.cumsum(lengths)
@@ -201,8 +211,10 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text's ids."""
-        if len(self.pieces) > REMEMBERED or len(self.units) > REMEMBERED:
-            self.forget()
+        if len(self.pieces) > PIECES:
+            self.pieces, self.piece_ids = Numbering(), Lists()
+        if len(self.units) > UNITS:
+            self.units, self.unit_ids = Numbering(), Lists()
         codes: list[int] = []
         stops: list[int] = []
         number = self.units.__getitem__
@@ -227,13 +239,14 @@ class Codec:
 
     def decode(self, ids: pa.Array) -> list[bytes | None]:
         """The bytes of each list of ids; null for null."""
+        self._need("vocab")
         out: list[bytes | None] = [None if null else b"" for null in ids.is_null().to_pylist()]
         lengths = np.asarray(list_lengths(ids), np.int64)
         start = 0
         while start < len(lengths):
             n = max(1, int(np.searchsorted(np.cumsum(lengths[start:]), QUERY_IDS, side="right")))
             part = ids.slice(start, n)
-            self._put("coded", pa.table({"d": np.arange(n), "ids": part}))
+            self._put("coded", pa.table({"d": np.arange(len(part)), "ids": part}))
             got = self.db.sql(_DECODE_SQL).to_arrow_table()
             for d, chars in zip(got["d"].to_pylist(), got["chars"].to_pylist(), strict=True):
                 if d is not None and out[start + d] is not None:
@@ -294,7 +307,8 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_i
 
 
 def decode(coded: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(``id_col``, ids, decoded binary) for every row of ids; bytes, as ids may cut a character."""
+    """(``id_col``, ids_bytes, decoded) for every row of ids: the ids as little-endian unsigned 32-bit integers, and the
+    bytes they stand for (bytes, as ids may cut a character)."""
     ship(coded.sparkSession)
     kept = coded.select(F.col(id_col).alias("key"), F.col(ids_col).cast("array<int>").alias("ids"))
     shared = coded.sparkSession.sparkContext.broadcast(rank_file)
@@ -302,30 +316,27 @@ def decode(coded: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern)
         for batch in batches:
-            decoded = pa.array(coder.decode(batch.column("ids")), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ids"), decoded], names=["key", "ids", "decoded"])
-
-    schema = f"key {kept.schema['key'].dataType.simpleString()}, ids array<int>, decoded binary"
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                ids = part.column("ids")
+                lengths = np.asarray(list_lengths(ids), np.int64)
+                raw, stops = np.asarray(ids.flatten()).astype("<u4").tobytes(), 4 * np.cumsum(lengths)
+                bytes_of = [raw[e - 4 * n : e] for e, n in zip(stops.tolist(), lengths.tolist(), strict=True)]
+                decoded = pa.array(coder.decode(ids), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array(bytes_of, pa.binary()), decoded], names=["key", "ids_bytes", "decoded"]
+                )
+
+    schema = f"key {kept.schema['key'].dataType.simpleString()}, ids_bytes binary, decoded binary"
     out = kept.mapInArrow(run, schema)
-    return out.select(F.col("key").alias(id_col), "ids", "decoded")
+    return out.select(F.col("key").alias(id_col), "ids_bytes", "decoded")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 per row."""
-    ship(decoded.sparkSession)
-    kept = decoded.select(F.col(id_col).alias("key"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            flat = np.asarray(lists.flatten()).astype("<u4")
-            lengths = np.asarray(list_lengths(lists), np.int64)
-            stops = np.cumsum(lengths)
-            shas = [hashlib.sha256(flat[e - n : e].tobytes()).hexdigest() for e, n in zip(stops, lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(lengths), pa.array(shas), batch.column("decoded_sha256")],
-                names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    schema = f"key {kept.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return kept.mapInArrow(run, schema).withColumnRenamed("key", id_col)
+    """n_tokens, ids_sha256 and decoded_sha256 per decoded row."""
+    return decoded.select(
+        F.col(id_col),
+        F.expr("cast(octet_length(ids_bytes) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids_bytes", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -128,7 +128,7 @@ def _tiktoken():
 def test_byte_bpe_equals_tiktoken_and_round_trips(spark, docs):
     enc, ranks, pattern = _tiktoken(), rank_file(), public_tokenizers.PATTERN
     decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern)
-    got = Counter((tuple(r.ids), bytes(r.decoded)) for r in decoded.collect())
+    got = Counter((tuple(np.frombuffer(r.ids_bytes, "<u4").tolist()), bytes(r.decoded)) for r in decoded.collect())
     want = Counter((tuple(enc.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in docs.collect())
     assert got == want
     for r in byte_bpe.digests(decoded).join(docs.select("doc_id", "text"), "doc_id").collect():
