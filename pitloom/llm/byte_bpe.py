@@ -35,7 +35,7 @@ from pitloom.llm.common import batches_by_bytes, ship
 #: Words up to so many bytes go through the one-contraction-a-step query.
 SHORT = 64
 #: Bytes of new pieces in one recursive query, ids in one decoding query, distinct pieces and units a task remembers.
-QUERY_BYTES, QUERY_IDS, PIECES, UNITS = 1 << 18, 1 << 18, 700_000, 250_000
+QUERY_BYTES, QUERY_IDS, PIECES, UNITS = 1 << 18, 1 << 18, 600_000, 200_000
 
 _SHORT_SQL = """
 WITH RECURSIVE bpe(w, pos, tok, npos, ntok, live) AS (
@@ -296,7 +296,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern)
         for batch in batches:
-            for part in batches_by_bytes(batch, "text", 4 << 20):
+            for part in batches_by_bytes(batch, "text", 2 << 20):
                 flat, counts = coder.encode(part.column("text").to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 ids = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))

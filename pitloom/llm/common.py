@@ -28,11 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application; the driver's file server hands it out."""
+    """Give the Python workers this package, once per application; the driver's file server hands it out.
+
+    Batches to them hold ``ROWS_PER_BATCH`` rows where the session says nothing else: whole texts are long rows.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(_BATCH_ROWS, str(ROWS_PER_BATCH))
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
