@@ -330,13 +330,15 @@ def _links(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[Dat
         return links, classes
     # Every pivot was checked against all of its bands; what follows needs no pair without enough in common.
     bounds = _reachable(left.select("node").distinct(), texts, similarity)
-    left = materialise(left.join(bounds, "node"))
+    # A pair is taken up in the first of the bands it shares, and in no other.
+    bands_of = left.groupBy("node").agg(F.collect_set("band").alias("bands"))  # ``BANDS`` at most
+    left = materialise(left.join(bounds, "node").join(bands_of, "node"))
     first, last = 0, 8  # pivots done in every band, and the last of the next round
     while True:
         order = Window.partitionBy("band").orderBy(F.col("reach").desc(), F.col("node").desc())
         ranked = _open(left).withColumn("nth", F.row_number().over(order))
         pivots = ranked.filter((F.col("nth") > first) & (F.col("nth") <= last)).select(
-            "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "nth", "total", "common", *_WORDS)]
+            "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "nth", "total", "common", "bands", *_WORDS)]
         )
         enough = similarity / (1 + similarity) * (F.col("total") + F.col("total_b"))
         may_link = (
@@ -344,9 +346,10 @@ def _links(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[Dat
             & (F.col("class") != F.col("class_b"))
             & (F.least("common", "common_b") >= enough - 1e-6)
             & (sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _WORDS) <= most_differing(similarity))
+            & (F.col("band") == F.array_min(F.array_intersect("bands", "bands_b")))
         )
         pairs = materialise(
-            ranked.join(pivots, "band").filter(may_link).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+            ranked.join(pivots, "band").filter(may_link).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
         )
         more = not ranked.filter(F.col("nth") > last).select("band").limit(1).isEmpty()
         fresh = _checked(pairs, texts, similarity) if not pairs.isEmpty() else None
