@@ -153,7 +153,7 @@ _NUMBERS: dict[bytes, int] = {}
 
 def _numbers() -> dict[bytes, int]:
     """Word hashes this process has worked out already; bounded."""
-    if len(_NUMBERS) > 500_000:
+    if len(_NUMBERS) > 100_000:
         _NUMBERS.clear()
     return _NUMBERS
 
