@@ -45,9 +45,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, proven by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ranks = rank_file()
-    coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(coded, ranks, public_tokenizers.PATTERN))
+    return byte_bpe.digests(byte_bpe.round_trip(docs, rank_file(), public_tokenizers.PATTERN))
 
 
 STAGES = [

@@ -287,6 +287,12 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _id_lists(coder: Codec, texts: pa.Array) -> pa.Array:
+    flat, counts = coder.encode(texts.to_pylist())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+
+
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, ids array<int>) for every row; ``rank_file`` holds lines of base64 token and rank."""
     ship(docs.sparkSession)
@@ -297,9 +303,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_i
         coder = codec(shared.value, pattern)
         for batch in batches:
             for part in batches_by_bytes(batch, "text", 2 << 20):
-                flat, counts = coder.encode(part.column("text").to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                ids = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+                ids = _id_lists(coder, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), ids], names=["key", "ids"])
 
     schema = f"key {kept.schema['key'].dataType.simpleString()}, ids array<int>"
@@ -316,16 +320,36 @@ def decode(coded: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids = part.column("ids")
-                lengths = np.asarray(list_lengths(ids), np.int64)
-                raw, stops = np.asarray(ids.flatten()).astype("<u4").tobytes(), 4 * np.cumsum(lengths)
-                bytes_of = [raw[e - 4 * n : e] for e, n in zip(stops.tolist(), lengths.tolist(), strict=True)]
-                decoded = pa.array(coder.decode(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(bytes_of, pa.binary()), decoded], names=["key", "ids_bytes", "decoded"]
-                )
+            yield from _decoded(coder, batch.column("key"), batch.column("ids"))
+
+    schema = f"key {kept.schema['key'].dataType.simpleString()}, ids_bytes binary, decoded binary"
+    out = kept.mapInArrow(run, schema)
+    return out.select(F.col("key").alias(id_col), "ids_bytes", "decoded")
+
+
+def _decoded(coder: Codec, keys: pa.Array, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(key, ids_bytes, decoded) batches of lists of ids, some rows at a time."""
+    for start in range(0, len(ids), 500):
+        part = ids.slice(start, 500)
+        lengths = np.asarray(list_lengths(part), np.int64)
+        raw, stops = np.asarray(part.flatten()).astype("<u4").tobytes(), 4 * np.cumsum(lengths)
+        bytes_of = [raw[e - 4 * n : e] for e, n in zip(stops.tolist(), lengths.tolist(), strict=True)]
+        columns = [keys.slice(start, 500), pa.array(bytes_of, pa.binary()), pa.array(coder.decode(part), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "ids_bytes", "decoded"])
+
+
+def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``decode`` returns for ``encode``'s rows, in one pass: a task then needs one Python worker instead of two
+    in a row, each with its own database, and the ids need not go back and forth. Decoding reads the ids alone."""
+    ship(docs.sparkSession)
+    kept = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(rank_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(shared.value, pattern)
+        for batch in batches:
+            for part in batches_by_bytes(batch, "text", 2 << 20):
+                yield from _decoded(coder, part.column("key"), _id_lists(coder, part.column("text")))
 
     schema = f"key {kept.schema['key'].dataType.simpleString()}, ids_bytes binary, decoded binary"
     out = kept.mapInArrow(run, schema)

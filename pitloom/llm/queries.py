@@ -51,9 +51,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = rank_file()
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(coded, ranks, public_tokenizers.PATTERN))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN))
 
 
 @query("op3_revisits", revisits.ORACLE_SQL)

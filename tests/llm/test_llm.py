@@ -131,6 +131,9 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(spark, docs):
     got = Counter((tuple(np.frombuffer(r.ids_bytes, "<u4").tolist()), bytes(r.decoded)) for r in decoded.collect())
     want = Counter((tuple(enc.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in docs.collect())
     assert got == want
+    assert byte_bpe.round_trip(docs, ranks, pattern).exceptAll(decoded).isEmpty()
+    assert decoded.exceptAll(byte_bpe.round_trip(docs, ranks, pattern)).isEmpty()
+    assert byte_bpe.round_trip(empty(spark, docs), ranks, pattern).count() == 0
     for r in byte_bpe.digests(decoded).join(docs.select("doc_id", "text"), "doc_id").collect():
         raw = np.array(enc.encode_ordinary(r.text or ""), "<u4").tobytes()
         assert (r.ids_sha256, r.n_tokens) == (hashlib.sha256(raw).hexdigest(), len(raw) // 4)
