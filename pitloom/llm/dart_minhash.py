@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitloom.llm.common import batches_by_bytes, materialise, mix64, ship, words_of
+from pitloom.llm.common import batches_by_bytes, mix64, ship, stored, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -203,7 +203,7 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Each step is a grouped minimum and a join on a node; hot nodes are pre-aggregated and skew joins split them.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-dedup")
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -211,7 +211,7 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
         large = large.filter(F.col("u") != F.col("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialise(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        after = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "near-dedup")
         marks = [
             x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, after)
         ]
@@ -238,10 +238,10 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     ids = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
     bands = sketches.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("total").alias("total"))
     # Numbered once and written: a second evaluation could number otherwise.
-    texts = materialise(ids.join(bands, "digest").withColumn("node", F.monotonically_increasing_id()))
+    texts = stored(ids.join(bands, "digest").withColumn("node", F.monotonically_increasing_id()), "near-dedup")
     members = _shared_bands(texts.select("node", F.explode("bands").alias("band")))
     holders = texts.select("node", "digest", "total").join(members.select("node").distinct(), "node")
-    wanted = materialise(keyed.select("digest", "text").join(holders, "digest").dropDuplicates(["node"]).select("node", "total", "text"))
+    wanted = stored(keyed.select("digest", "text").join(holders, "digest").dropDuplicates(["node"]).select("node", "total", "text"), "near-dedup")
     links, found = _links(members, wanted, similarity)
     classes = texts.select("node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
     degree = (
@@ -257,9 +257,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 def _shared_bands(rows: DataFrame) -> DataFrame:
     """(band, node, rank) of bands that several texts share; rank 1 is the band's pivot, who shares most."""
     several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialise(rows.join(several, "band"))
+    members = stored(rows.join(several, "band"), "near-dedup")
     reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
-    return materialise(members.join(reach, "node").select("band", "node", "reach"))
+    return stored(members.join(reach, "node").select("band", "node", "reach"), "near-dedup")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -267,7 +267,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "text_a", "b", "text_b")
-    return materialise(both.mapInArrow(_similar(similarity), "a long, b long"))
+    return stored(both.mapInArrow(_similar(similarity), "a long, b long"), "near-dedup")
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,19 +324,24 @@ def _links(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[Dat
     pairs = members.join(pivot, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = _checked(pairs, texts, similarity)
     nodes = members.select("node").distinct()
-    classes = materialise(connected(nodes, links))
-    left = materialise(_open(members.join(classes, "node")))
+    classes = stored(connected(nodes, links), "near-dedup")
+    left = stored(_open(members.join(classes, "node")), "near-dedup")
     if left.isEmpty():
         return links, classes
     # Every pivot was checked against all of its bands; what follows needs no pair without enough in common.
-    bounds = _reachable(left.select("node").distinct(), texts, similarity)
     # A pair is taken up in the first of the bands it shares, and in no other.
+    bounds = stored(_reachable(left.select("node").distinct(), texts, similarity), "near-dedup")
+    left = left.join(bounds.select("node"), "node").select("band", "node", "reach", "class")
     bands_of = left.groupBy("node").agg(F.collect_set("band").alias("bands"))  # ``BANDS`` at most
-    left = materialise(left.join(bounds, "node").join(bands_of, "node"))
+    bounds = stored(bounds.join(bands_of, "node"), "near-dedup")
     first, last = 0, 8  # pivots done in every band, and the last of the next round
     while True:
+        # Bands without a member behind the next pivot are done. What is compared joins the rows of the others only.
+        left = stored(_open(left, first + 2), "near-dedup")
+        if left.isEmpty():
+            return links, classes
         order = Window.partitionBy("band").orderBy(F.col("reach").desc(), F.col("node").desc())
-        ranked = _open(left).withColumn("nth", F.row_number().over(order))
+        ranked = left.join(bounds, "node").withColumn("nth", F.row_number().over(order))
         pivots = ranked.filter((F.col("nth") > first) & (F.col("nth") <= last)).select(
             "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "nth", "total", "common", "bands", *_WORDS)]
         )
@@ -348,17 +353,15 @@ def _links(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[Dat
             & (sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _WORDS) <= most_differing(similarity))
             & (F.col("band") == F.array_min(F.array_intersect("bands", "bands_b")))
         )
-        pairs = materialise(
-            ranked.join(pivots, "band").filter(may_link).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+        pairs = stored(
+            ranked.join(pivots, "band").filter(may_link).select(F.col("node").alias("a"), F.col("node_b").alias("b")),
+            "near-dedup",
         )
-        more = not ranked.filter(F.col("nth") > last).select("band").limit(1).isEmpty()
         fresh = _checked(pairs, texts, similarity) if not pairs.isEmpty() else None
         if fresh is not None and not fresh.isEmpty():
-            links = materialise(links.unionAll(fresh))
-            classes = materialise(connected(nodes, links))
+            links = stored(links.unionAll(fresh), "near-dedup")
+            classes = stored(connected(nodes, links), "near-dedup")
             left = left.drop("class").join(classes, "node")
-        if not more:
-            return links, classes
         first, last = last, 8 * last
 
 
@@ -368,10 +371,12 @@ def most_differing(similarity: float) -> int:
     return int(BITS * p + 5 * (BITS * p * (1 - p)) ** 0.5) + 1
 
 
-def _open(placed: DataFrame) -> DataFrame:
-    """The rows of bands that hold more than one class."""
-    several = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    return placed.join(several.select("band"), "band")
+def _open(placed: DataFrame, least: int = 2) -> DataFrame:
+    """The rows of bands that hold more than one class and ``least`` members or more."""
+    several = placed.groupBy("band").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
+    )
+    return placed.join(several.filter((F.col("low") != F.col("high")) & (F.col("size") >= least)).select("band"), "band")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
