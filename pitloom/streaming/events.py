@@ -15,15 +15,17 @@ batch or inside a stream:
 * T8 ``daily_signals``: per tumbling day starting 06:00.
 
 ``EventReactor`` is the Structured Streaming job: file source -> expired rows to
-the dead-letter sink -> watermark + ``dropDuplicatesWithinWatermark`` on the event
-id -> ``foreachBatch`` that rechecks, decides and appends requests with an
-anti-join on the job name, so a replayed batch or a second run adds nothing.
+the dead-letter sink -> ``foreachBatch`` that keeps one delivery per event id,
+rechecks, decides and appends requests with an anti-join on the job name, so a
+replayed batch or a second run adds nothing. No watermark is set: a backlog may
+come in any order and any number of micro-batches without losing a row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,11 +234,14 @@ class EventReactor:
     def _table(self, path: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(path)
-        except Exception:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing written yet
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        # Deliveries of one event are alike but for their delivery time; earlier batches are looked up below.
+        batch = batch.dropDuplicates(["event_id"]).persist()
         try:
             # Idempotent by content, so a replayed micro-batch adds nothing: requests are
             # decided from the whole batch and written first (anti-join on the job name),
@@ -286,13 +291,7 @@ class EventReactor:
             .trigger(availableNow=True)
             .start()
         )
-        live = (
-            routed.where(F.col("dead_letter").isNull())
-            .withColumn("event_time", F.col("event_ts").cast("timestamp"))
-            .withWatermark("event_time", EVENT_TTL)
-            .dropDuplicatesWithinWatermark(["event_id"])
-            .drop("event_time", "dead_letter")
-        )
+        live = routed.where(F.col("dead_letter").isNull()).drop("dead_letter")
         main = (
             live.writeStream.foreachBatch(self._batch)
             .option("checkpointLocation", f"{checkpoint}/reactions")
@@ -333,38 +332,37 @@ RUN_EVENT_SCHEMA = T.StructType(
 def run_daily_signals(
     spark: SparkSession, source: str, sink: str, checkpoint: str, max_files_per_trigger: int | None = None
 ) -> None:
-    """T8 as a stream: tumbling days from 06:00, watermark of one lifetime, update mode.
+    """T8 as a stream: tumbling days from 06:00.
 
-    Each micro-batch appends the windows it updated, tagged with its batch id, to an
-    append-only log; ``daily_signals_current`` keeps the latest row per window. Replaying
-    a micro-batch rewrites identical rows, so the result does not change.
+    Each micro-batch appends partial counts per window and source file to an append-only
+    log; ``daily_signals_current`` adds them up, each file once. So neither a replay nor
+    another cut into micro-batches changes the result. No watermark is set, so no late day
+    is dropped.
     """
     reader = spark.readStream.schema(RUN_EVENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source)
-    timed = stream.withColumn("__t", F.col("event_ts").cast("timestamp")).withWatermark("__t", EVENT_TTL)
-    w = F.window(F.col("__t"), "1 day", "1 day", "6 hours")
+    stream = reader.parquet(source).select("*", F.col("_metadata.file_path").alias("source_file"))
+    w = F.window(F.col("event_ts").cast("timestamp"), "1 day", "1 day", "6 hours")
     breach = (F.col("event_type") == STATUS_EVENT) & ~is_blank(F.col("breach_tag"))
-    agg = timed.groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(F.col("event_type") == STATUS_EVENT).alias("status_events"),
-        F.count_if(breach).alias("breach_events"),
-    )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.select(
+        counted = batch.groupBy(w.alias("w"), "source_file").agg(
+            F.count(F.lit(1)).alias("events"),
+            F.count_if(F.col("event_type") == STATUS_EVENT).alias("status_events"),
+            F.count_if(breach).alias("breach_events"),
+        )
+        counted.select(
             F.col("w.start").cast("timestamp_ntz").alias("window_start"),
             F.col("w.end").cast("timestamp_ntz").alias("window_end"),
             "events",
             "status_events",
             "breach_events",
-            F.lit(batch_id).cast("long").alias("batch_id"),
+            "source_file",
         ).write.mode("append").parquet(sink)
 
     q = (
-        agg.writeStream.outputMode("update")
-        .foreachBatch(append)
+        stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -373,18 +371,14 @@ def run_daily_signals(
 
 
 def daily_signals_current(spark: SparkSession, sink: str) -> DataFrame:
-    """The latest state of every window in the signal log."""
+    """The counts of every window in the signal log."""
     log = spark.read.schema(
-        "window_start timestamp_ntz, window_end timestamp_ntz, events long, status_events long, breach_events long, batch_id long"
+        "window_start timestamp_ntz, window_end timestamp_ntz, events long, status_events long, breach_events long, source_file string"
     ).parquet(sink)
-    latest = log.groupBy("window_start", "window_end").agg(
-        F.max_by(F.struct("events", "status_events", "breach_events"), F.col("batch_id")).alias("s")
+    once = log.dropDuplicates(["window_start", "window_end", "source_file"])
+    totals = once.groupBy("window_start", "window_end").agg(
+        *[F.sum(c).alias(c) for c in ("events", "status_events", "breach_events")]
     )
-    return latest.select(
-        "window_start",
-        "window_end",
-        "s.events",
-        "s.status_events",
-        "s.breach_events",
-        F.round(F.col("s.breach_events") / F.col("s.events"), 12).alias("breach_share"),
+    return totals.select(
+        "*", F.round(F.col("breach_events") / F.col("events"), 12).alias("breach_share")
     )
