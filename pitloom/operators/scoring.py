@@ -53,7 +53,7 @@ def train_classifier(
     num_trees: int = 160,
     max_depth: int = 12,
     min_rows: int = 12,
-    min_rows_per_partition: int = 10_000,
+    rows_per_partition: int = 10_000,
 ) -> TrainingResult:
     """M1: stratified 25 % hold-out (W2), random forest, metrics on the hold-out."""
     support = training.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k")).first()
@@ -65,13 +65,12 @@ def train_classifier(
     # Tree induction passes over its input many times: cut the lineage once, into the
     # shared checkpoint folder (survives executor loss, unlike a local checkpoint).
     ensure_checkpoint_dir(training.sparkSession)
-    # Tree induction runs one task per input partition at every level, and each task ships
-    # split statistics for every open node. Spread the rows over the cluster's cores (a
-    # small input is otherwise one Parquet split, or one partition after AQE coalescing),
-    # but keep at least ``min_rows_per_partition`` rows per task.
-    cores = training.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(cores, support["n"] // min_rows_per_partition))
-    split = stratified_split(labelled, label, list(key), seed=seed).repartition(parts).checkpoint(eager=True)
+    # Tree induction runs one task per input partition at every level, and draws its samples
+    # per partition. Rows are dealt by their key into partitions of ``rows_per_partition`` on
+    # average and sorted there, so the model depends on the rows alone, not on the cluster.
+    parts = -(-support["n"] // rows_per_partition)
+    dealt = stratified_split(labelled, label, list(key), seed=seed).repartition(parts, *key).sortWithinPartitions(*key)
+    split = dealt.checkpoint(eager=True)
     frame, stages = _feature_vector(split, features)
     # The label index is fitted on every labelled row, so a class that the hold-out puts
     # only in validation (a class of one row) still has an index; the forest gives it 0.

@@ -228,8 +228,9 @@ def data_rules(scoring, training, actuals, spine, contract: QuantityContract):
     ordinals = {
         ("scoring", empty): 1, ("training_features", empty): 2, ("actuals", empty): 3,
         ("scoring", "blank_correlation_id"): 4,
-        **{("scoring", n): 6 + i for i, (n, _) in enumerate(frame_rules)},
-        **{("training_features", n): 11 + i for i, (n, _) in enumerate(frame_rules)},
+        # Null keys, then the grain (8 and 13, below), then null features.
+        **{("scoring", n): o for o, (n, _) in zip((6, 7, 9, 10), frame_rules, strict=True)},
+        **{("training_features", n): o for o, (n, _) in zip((11, 12, 14, 15), frame_rules, strict=True)},
         **{("actuals", n): 16 + i for i, (n, _) in enumerate(quantity)},
     }
 
@@ -243,8 +244,8 @@ def data_rules(scoring, training, actuals, spine, contract: QuantityContract):
         .unionByName(table(training, "training_features", [(empty, None)] + frame_rules))
         .unionByName(table(actuals, "actuals", [(empty, None)] + quantity))
         .unionByName(C.duplicate_keys(scoring, ["correlation_id"], "scoring", "duplicate_correlation_id", 5))
-        .unionByName(C.duplicate_keys(scoring, keys, "scoring", "duplicate_grain", 10))
-        .unionByName(C.duplicate_keys(training, keys, "training_features", "duplicate_grain", 15))
+        .unionByName(C.duplicate_keys(scoring, keys, "scoring", "duplicate_grain", 8))
+        .unionByName(C.duplicate_keys(training, keys, "training_features", "duplicate_grain", 13))
         .unionByName(
             asof_coverage(spine).select(
                 F.lit("spine").alias("population"),
@@ -300,10 +301,12 @@ def _decision_sql(scenario: str, maximum: int) -> str:
         f"SELECT 'actuals', 'empty', 3, CAST(CASE WHEN COUNT(*) = 0 THEN 1 ELSE 0 END AS BIGINT) FROM {ac}",
         _rules_sql("scoring", 4, [("blank_correlation_id", "correlation_id IS NULL OR regexp_matches(correlation_id, '^\\s*$')")], sc),
         _dup_sql("scoring", "duplicate_correlation_id", 5, sc, ["correlation_id"]),
-        _rules_sql("scoring", 6, null_rules, sc),
-        _dup_sql("scoring", "duplicate_grain", 10, sc, ["entity_id", "feature_ts"]),
-        _rules_sql("training_features", 11, null_rules, tr),
-        _dup_sql("training_features", "duplicate_grain", 15, tr, ["entity_id", "feature_ts"]),
+        _rules_sql("scoring", 6, null_rules[:2], sc),
+        _dup_sql("scoring", "duplicate_grain", 8, sc, ["entity_id", "feature_ts"]),
+        _rules_sql("scoring", 9, null_rules[2:], sc),
+        _rules_sql("training_features", 11, null_rules[:2], tr),
+        _dup_sql("training_features", "duplicate_grain", 13, tr, ["entity_id", "feature_ts"]),
+        _rules_sql("training_features", 14, null_rules[2:], tr),
         _rules_sql(
             "actuals", 16,
             [
