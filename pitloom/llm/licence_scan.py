@@ -1,10 +1,13 @@
 """Operator 8: licence families of paragraphs by a trained sparse n-gram classifier, confirmed by templates.
 
-Paragraphs are the newline-separated lines of a text that hold a word. A multinomial logistic regression on sparse
-word unigrams and bigrams tells licence families, an unknown class (licence notices of no known family) and ordinary
-text apart; its probabilities are calibrated by one temperature fitted on paragraphs set aside. A family is reported
-if its calibrated probability reaches ``SURE`` and a template line of that family shares enough of its word trigrams with
-the paragraph; notices that fail either test are ``unknown``.
+A paragraph is a run of consecutive lines that hold a word, so a notice wrapped over lines is one text. A multinomial
+logistic regression on sparse word unigrams and bigrams tells licence families, an unknown class (licence notices of no
+known family) and ordinary text apart; its probabilities are calibrated by one temperature fitted on examples set aside.
+
+Wherever a paragraph holds ``SHARED`` of a template line's word trigrams within twice that line's length, that stretch is
+scored by itself, whatever surrounds it and whatever class wins there; it has the template's family if its calibrated
+probability reaches ``SURE``. What is left of the paragraph is scored by lines and by overlapping windows of ``WINDOW``
+words; notices that fail either test are ``unknown``. Notices do not overlap, and each has the line of its first word.
 
 Training examples are made from the template lines below (words dropped, repeated, framed by words of the corpus) and
 from paragraphs of a bounded sample: the ``SAMPLE`` documents of lowest hash, ``SAMPLE_LINES`` lines of each, spread
@@ -16,19 +19,22 @@ no rows; repeated rows are scanned alike; paragraphs of any length are read whol
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitloom.llm.common import batches_by_bytes, ship, words_of
+from pitloom.llm.common import WORD_BYTES, batches_by_bytes, ship, words_of
 
 SAMPLE, SAMPLE_LINES = 1000, 6
 VARIANTS, EPOCHS, RATE, SEED = 60, 40, 0.5, 11
 #: Least calibrated probability of a family, and least share of a template line's trigrams.
 SURE, SHARED = 0.6, 0.6
+#: Words of a scored window (every half window one begins); a rest of a line of fewer words beside a notice belongs to it.
+WINDOW, REST = 32, 5
 NONE, UNKNOWN = "none", "unknown"
 
 # Wording of public licence notices.
@@ -67,6 +73,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "mit": (
+        "MIT License",
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "Licensed under the MIT license.",
@@ -93,10 +100,20 @@ UNKNOWN_TEMPLATES = (
 CLASSES = (NONE, UNKNOWN, *TEMPLATES)
 
 
-def paragraphs(text: str | None) -> list[tuple[int, list[bytes]]]:
-    """(line number, words) of the lines that hold a word."""
-    lines = (text or "").split("\n")
-    return [(i, words) for i, line in enumerate(lines) if (words := words_of(line))]
+_LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
+
+
+def paragraphs(text: str | None) -> list[list[tuple[int, list[bytes]]]]:
+    """Runs of consecutive lines that hold a word: (line number, words) of each line."""
+    out: list[list[tuple[int, list[bytes]]]] = []
+    last = -2
+    for i, line in enumerate(text.encode("utf-8", "replace").translate(_LINE_BYTES).split(b"\n") if text else ()):
+        if words := line.split():
+            if i != last + 1:
+                out.append([])
+            out[-1].append((i, words))
+            last = i
+    return out
 
 
 def trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -104,20 +121,109 @@ def trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
 
 
-_SHAPES = {family: [trigrams(words_of(line)) for line in lines] for family, lines in TEMPLATES.items()}
-
-
-def likeness(words: list[bytes], family: str) -> float:
-    """The largest share of a template line's trigrams that the paragraph holds."""
-    own = trigrams(words) | {tuple(words[i : i + n]) for n in (1, 2) for i in range(len(words) - n + 1)}
-    return max(len(shape & own) / len(shape) for shape in _SHAPES[family])
+#: Template lines as (class, words, trigrams), numbers of their words, and the lines that hold a trigram.
+_LINES = [(CLASSES.index(f), len(words_of(x)), trigrams(words_of(x))) for f, lines in TEMPLATES.items() for x in lines]
+_WORDS = {w: i + 1 for i, w in enumerate(sorted({w for _, _, shape in _LINES for gram in shape for w in gram}))}
+_HOLDERS: dict[int, list[int]] = {}
+for _line, (_, _, _shape) in enumerate(_LINES):
+    for _gram in _shape:
+        _code = 0
+        for _w in _gram:
+            _code = _code * (len(_WORDS) + 1) + _WORDS[_w]
+        _HOLDERS.setdefault(_code, []).append(_line)
+_GRAM_SIZES = sorted({len(gram) for _, _, shape in _LINES for gram in shape})
+_GRAMS = np.array(sorted(_HOLDERS), np.int64)
+
+#: (position, gram) of template trigrams, by template line.
+Hits = dict[int, list[tuple[int, int]]]
+
+
+def template_hits(codes: np.ndarray, owner: np.ndarray) -> dict[int, Hits]:
+    """Template trigrams inside the paragraphs of words laid end to end: per paragraph and template line, in order."""
+    out: dict[int, Hits] = {}
+    codes = np.where(codes <= len(_WORDS), codes, 0)
+    for size in _GRAM_SIZES:
+        n = len(codes) - size + 1
+        if n <= 0:
+            continue
+        grams, whole = np.zeros(n, np.int64), owner[:n] == owner[size - 1 :]
+        for k in range(size):
+            grams = grams * (len(_WORDS) + 1) + codes[k : k + n]
+            whole = whole & (codes[k : k + n] > 0)
+        at = np.flatnonzero(whole)
+        at = at[_GRAMS[np.minimum(np.searchsorted(_GRAMS, grams[at]), len(_GRAMS) - 1)] == grams[at]]
+        for pos, gram, paragraph in zip(at.tolist(), grams[at].tolist(), owner[at].tolist(), strict=True):
+            for line in _HOLDERS[gram]:
+                out.setdefault(paragraph, {}).setdefault(line, []).append((pos, gram))
+    return out
+
+
+def stretches(hits: list[tuple[int, int]], line: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, trigrams) of the stretches that hold ``SHARED`` of a template line's trigrams."""
+    _, length, shape = _LINES[line]
+    size = len(next(iter(shape)))
+
+    def held(i: int) -> tuple[int, int]:
+        seen: set[int] = set()
+        end = 0
+        for pos, gram in hits[i : i + 2 * length]:
+            if pos >= hits[i][0] + 2 * length:
+                break
+            if gram not in seen:
+                seen.add(gram)
+                end = pos + size
+        return len(seen), end
+
+    i = 0
+    while i < len(hits):
+        count, end = held(i)
+        if count < SHARED * len(shape):
+            i += 1
+            continue
+        first, j = i, i + 1
+        while j < len(hits) and hits[j][0] < hits[i][0] + length:
+            more, other = held(j)
+            if more > count:
+                first, count, end = j, more, other
+            j += 1
+        yield hits[first][0], end, count
+        while i < len(hits) and hits[i][0] < end:
+            i += 1
+
+
+def likeness(hits: Hits, family: int, start: int, end: int) -> float:
+    """The largest share of a template line's trigrams, for a class, that lie in the words from ``start`` to ``end``."""
+    best = 0.0
+    for line, found in hits.items():
+        if _LINES[line][0] == family:
+            shape = _LINES[line][2]
+            size = len(next(iter(shape)))
+            best = max(best, len({g for pos, g in found if start <= pos and pos + size <= end}) / len(shape))
+    return best
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    half = WINDOW // 2
+    return [(a, min(a + WINDOW, end)) for a in range(start, max(end - half, start + 1), half)]
+
+
+def apart(candidates: list[tuple]) -> list[tuple]:
+    """Of candidates (rank, start, end, ...) those that overlap none of a better rank, by start."""
+    starts: list[int] = []
+    taken: list[tuple] = []
+    for c in sorted(candidates, key=lambda c: (c[0], c[1])):
+        i = bisect_right(starts, c[1])
+        if (i == 0 or taken[i - 1][2] <= c[1]) and (i == len(taken) or taken[i][1] >= c[2]):
+            starts.insert(i, c[1])
+            taken.insert(i, c)
+    return taken
 
 
 class Model:
     """Sparse multinomial logistic regression: vocabulary, weights by n-gram and class, and a temperature."""
 
     def __init__(self, examples: list[list[bytes]]):
-        self.words: dict[bytes, int] = {}
+        self.words = dict(_WORDS)  # words of templates have the least numbers
         for e in examples:
             for w in e:
                 self.words.setdefault(w, len(self.words) + 1)
@@ -149,35 +255,126 @@ class Model:
         return sums / np.sqrt(sizes)[:, None]
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.logits(rows) / self.temperature
+        return self._calibrated(self.logits(rows))
+
+    def _calibrated(self, logits: np.ndarray) -> np.ndarray:
+        z = logits / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def classify(self, texts: list[str | None]) -> list[list[tuple[int, str, float, float]]]:
-        """Per text: (line number, family or unknown, calibrated probability, template likeness) of its notices."""
+    def laid_out(self, codes: np.ndarray) -> Callable[[list[tuple[int, int]]], np.ndarray]:
+        """Probabilities of stretches (start, end) of words laid end to end; each depends on its own words only."""
+        pairs = self._pairs_at(codes)
+        word_rows = np.concatenate([self.weights[1 + codes], np.zeros((1, len(CLASSES)), np.float32)])
+        pair_rows = np.where((pairs >= 0)[:, None], self.weights[1 + self.base + pairs], np.float32(0))
+        n_words = np.concatenate([[0], np.cumsum(codes > 0)])
+        n_pairs = np.concatenate([[0], np.cumsum(pairs >= 0)])
+
+        def score(spans: list[tuple[int, int]]) -> np.ndarray:
+            if not spans:
+                return np.empty((0, len(CLASSES)))
+            at = np.array(spans, np.int64)
+            start, end = at[:, 0], at[:, 1]
+            sums = self.weights[0] + np.add.reduceat(word_rows, at.ravel(), axis=0)[::2]
+            last = np.stack([start, end - 1], axis=1)
+            sums = sums + np.where((end - start > 1)[:, None], np.add.reduceat(pair_rows, last.ravel(), axis=0)[::2], 0)
+            sizes = 1 + n_words[end] - n_words[start] + n_pairs[end - 1] - n_pairs[start]
+            return self._calibrated(sums / np.sqrt(sizes)[:, None])
+
+        return score
+
+    def _pairs_at(self, codes: np.ndarray) -> np.ndarray:
+        """The number of the known pair that begins at each word, or -1."""
+        out = np.full(len(codes), -1, np.int64)
+        if len(self.pairs):
+            both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+            pairs = codes[both] * self.base + codes[both + 1]
+            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            out[both] = np.where(self.pairs[at] == pairs, at, -1)
+        return out
+
+    def scan(self, texts: list[str | None]) -> tuple[list[list[tuple[int, str, float, float]]], list[int]]:
+        """Per text its notices, as ``classify`` gives them, and the number of its paragraphs."""
         found: list[list[tuple[int, str, float, float]]] = [[] for _ in texts]
-        owners, kept, rows = [], [], []
+        counts: list[int] = []
+        flat: list[int] = []
+        owners: list[int] = []
+        lines: list[list[tuple[int, int]]] = []  # (first word, line number) of each paragraph
+        ends: list[int] = []
+        number = self.words.get
         for t, text in enumerate(texts):
-            for line, words in paragraphs(text):
-                owners.append((t, line))
-                kept.append(words)
-                rows.append(self.features(self._codes(words)))
-        if rows:
-            p = self.probabilities(rows)
-            for i in np.flatnonzero(p.argmax(axis=1) != 0).tolist():
-                best = 2 + int(p[i, 2:].argmax())
-                like = likeness(kept[i], CLASSES[best])
-                sure = p[i].argmax() == best and p[i, best] >= SURE and like >= SHARED
-                family = CLASSES[best] if sure else UNKNOWN
-                t, line = owners[i]
-                found[t].append((line, family, float(p[i, best] if sure else p[i, 1:].sum()), like))
-        return found
+            made = paragraphs(text)
+            counts.append(len(made))
+            for paragraph in made:
+                begins = []
+                for line, words in paragraph:
+                    begins.append((len(flat), line))
+                    flat += [number(w, 0) for w in words]
+                owners.append(t)
+                lines.append(begins)
+                ends.append(len(flat))
+        if not flat:
+            return found, counts
+        codes = np.array(flat, np.int64)
+        sizes = np.diff(ends, prepend=0)
+        hits = template_hits(codes, np.repeat(np.arange(len(ends)), sizes))
+        score = self.laid_out(codes)
+        located = [
+            (p, line, *span) for p, by_line in sorted(hits.items()) for line, at in by_line.items() for span in stretches(at, line)
+        ]
+        sure: dict[int, list[tuple]] = {}
+        rest: dict[int, list[tuple]] = {}
+        for (p, line, a, b, n), chances in zip(located, score([x[2:4] for x in located]), strict=True):
+            family, like = _LINES[line][0], n / len(_LINES[line][2])
+            if chances.argmax() == family and chances[family] >= SURE:
+                sure.setdefault(p, []).append(((-n, -like), a, b, CLASSES[family], float(chances[family]), like))
+            else:
+                rest.setdefault(p, []).append((-float(chances[1:].sum()), a, b, UNKNOWN, float(chances[1:].sum()), like))
+        sure = {p: apart(c) for p, c in sure.items()}
+        spans: list[tuple[int, int]] = []
+        paragraph_of: list[int] = []
+        for p, end in enumerate(ends):
+            start = ends[p - 1] if p else 0
+            edges = [start, *(x for c in sure.get(p, ()) for x in c[1:3]), end]
+            starts = [a for a, _ in lines[p]]
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                if a == b:
+                    continue
+                some = windows(a, b) if p not in sure or b - a >= REST else []
+                if len(starts) > 1:
+                    first = bisect_right(starts, a) - 1
+                    for i in range(first, len(starts)):
+                        if starts[i] >= b:
+                            break
+                        x, y = max(a, starts[i]), min(b, starts[i + 1] if i + 1 < len(starts) else end)
+                        if y - x <= WINDOW and (x, y) not in some and (y - x == (starts + [end])[i + 1] - starts[i] or y - x >= REST):
+                            some.append((x, y))
+                spans += some
+                paragraph_of += [p] * len(some)
+        chances = score(spans)
+        for i in np.flatnonzero(chances.argmax(axis=1) != 0).tolist():
+            p, (a, b), q = paragraph_of[i], spans[i], chances[i]
+            best = 2 + int(q[2:].argmax())
+            like = likeness(hits.get(p, {}), best, a, b)
+            known = q.argmax() == best and q[best] >= SURE and like >= SHARED
+            chance = float(q[best] if known else q[1:].sum())
+            rest.setdefault(p, []).append((-float(q[1:].sum()), a, b, CLASSES[best] if known else UNKNOWN, chance, like))
+        for p in sorted(sure.keys() | rest.keys()):
+            first = [(-2.0, *c[1:]) for c in sure.get(p, ())]
+            starts = [a for a, _ in lines[p]]
+            for _, a, _, family, chance, like in apart(first + rest.get(p, [])):
+                found[owners[p]].append((lines[p][bisect_right(starts, a) - 1][1], family, chance, like))
+        return found, counts
+
+    def classify(self, texts: list[str | None]) -> list[list[tuple[int, str, float, float]]]:
+        """Per text: (line number, family or unknown, calibrated probability, template likeness) of its notices."""
+        return self.scan(texts)[0]
 
 
 def train(sample: list[list[bytes]], seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """A model from template variants and ordinary paragraphs; deterministic for given paragraphs in given order."""
     rng = np.random.default_rng(seed)
-    known = set().union(*(t for shapes in _SHAPES.values() for t in shapes))
+    known = set().union(*(shape for _, _, shape in _LINES))
     ordinary = [w for w in sample if not (len(w) > 2 and trigrams(w) & known)]
     pool = [w for words in ordinary for w in words] or [b"lorem", b"ipsum", b"dolor"]
 
@@ -200,7 +397,11 @@ def train(sample: list[list[bytes]], seed: int = SEED, epochs: int = EPOCHS) ->
             for v in range(VARIANTS):
                 examples.append(variant(line) if v else words_of(line.format("x")))
                 labels.append(c)
-    for words in ordinary + [filler(int(rng.integers(3, 30))) for _ in range(300)]:
+    # Besides whole lines windows of them, as they are scored, mixed words, and runs of a few words.
+    some = [w for w in ordinary if len(w) > WINDOW][:500]
+    cut = [w[i : i + WINDOW] for w in some for i in [int(rng.integers(len(w) - WINDOW + 1))]]
+    runs = [[w for w in filler(int(rng.integers(1, 4))) for _ in range(WINDOW)][:WINDOW] for _ in range(300)]
+    for words in ordinary + cut + runs + [filler(int(rng.integers(3, 30))) for _ in range(300)]:
         examples.append(words)
         labels.append(0)
     y = np.array(labels)
@@ -262,11 +463,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in batches_by_bytes(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
-                found = [
-                    [dict(zip(("line", "family", "probability", "likeness"), x, strict=True)) for x in notices]
-                    for notices in shared.value.classify(texts)
-                ]
-                counts = [sum(1 for line in (t or "").split("\n") if words_of(line)) for t in texts]
+                notices, counts = shared.value.scan(texts)
+                found = [[dict(zip(("line", "family", "probability", "likeness"), x, strict=True)) for x in some] for some in notices]
                 kind = pa.list_(
                     pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64())])
                 )

@@ -288,6 +288,35 @@ def test_licence_model_finds_families_and_leaves_prose(spark, docs):
     assert licence_scan.scan(empty(spark, docs), licence_scan.fit(empty(spark, docs))).count() == 0
 
 
+def test_licence_notices_wrapped_over_lines_and_inside_long_ones(docs):
+    model = licence_scan.fit(docs)
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:"""
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction"""
+    assert [(x[0], x[1]) for x in model.classify([bsd])[0]] == [(0, "bsd")]
+    found = [(x[0], x[1]) for x in model.classify([mit])[0]]
+    assert (0, "mit") in found and (4, "mit") in found
+    prose = [w for r in docs.limit(20).collect() if r.text for w in r.text.split()]
+    rng = random.Random(6)
+    left, right = (" ".join(rng.choices(prose, k=300)) for _ in range(2))
+    for notice, family in (("Licensed under the Mozilla Public License, version 2.0.", "mpl"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa")):
+        assert family in [x[1] for x in model.classify([f"{left} {notice} {right}"])[0]]
+    twice = model.classify([f"{left}\nAll rights reserved. {right} Released under the\nMIT License."])[0]
+    assert {(1, "reserved"), (1, "mit")} <= {(x[0], x[1]) for x in twice}
+    short = model.classify(["Licensed under the MIT license.\nLicensed under Frobnitz."])[0]
+    assert [(x[0], x[1]) for x in short] == [(0, "mit"), (1, "unknown")]
+    alone = [model.classify([x])[0] for x in (bsd, mit, left)]
+    assert [[y[:2] for y in x] for x in model.classify([bsd, mit, left])] == [[y[:2] for y in x] for x in alone]
+    assert model.scan([mit, None, "a\nb\n \n--\nc"])[1] == [3, 0, 2]
+
+
 def test_quality_network_learns_and_reads_whole_texts(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
