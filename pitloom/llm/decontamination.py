@@ -6,7 +6,8 @@ Document windows are hashed by prefix sums over word ids, looked up in a bitmap
 hit is verified word by word. Words inside any occurrence of a window are hit.
 
 The benchmark travels to the tasks in blocks of at most ``block_bytes`` of text, so what a task holds stays bounded
-for any benchmark; each block scans all documents, and the spans of all blocks are merged per document.
+for any benchmark; each block scans all documents, and the spans of all blocks are merged per row: for more than one
+block ``find_hits`` stores the rows with a number each, as keys may be null or repeated.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items have no windows;
 repeated items keep their own ids; a null item id never counts as an item but its windows still hit;
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitloom.llm.common import WORD_BYTES, batches_by_bytes, mix64, ship, words_of
+from pitloom.llm.common import WORD_BYTES, batches_by_bytes, mix64, ship, stored, words_of
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -32,6 +33,7 @@ _BITS = 22
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+_ROW = "__pitloom_row"
 HITS = "key long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
@@ -161,7 +163,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str | Non
 
 
 def _merged_spans(found: DataFrame) -> DataFrame:
-    """Spans and items of several blocks, merged per row key: the union of intervals as one fold."""
+    """Spans and items of several blocks, merged per row number in ``key``: the union of intervals as one fold."""
     grouped = found.groupBy("key").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -181,13 +183,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_byte
     ship(docs.sparkSession)
     source = docs.select(F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     blocks = _blocks(benchmark, block_bytes)
-    found = [source.mapInArrow(scan(block, n), HITS) for block in blocks]
-    if len(found) == 1:
-        return found[0]
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionAll(more)
-    return _merged_spans(union)
+    if len(blocks) == 1:
+        return source.mapInArrow(scan(blocks[0], n), HITS)
+    # Numbers are fixed once stored: every block sees the same.
+    rows = stored(source.withColumn(_ROW, F.monotonically_increasing_id()), "decontamination-rows")
+    numbered = rows.select(F.col(_ROW).alias("key"), "text")
+    union = numbered.mapInArrow(scan(blocks[0], n), HITS)
+    for block in blocks[1:]:
+        union = union.unionAll(numbered.mapInArrow(scan(block, n), HITS))
+    merged = _merged_spans(union).withColumnRenamed("key", _ROW)
+    return rows.select("key", _ROW).join(merged, _ROW).select("key", "n_words", "spans", "items")
 
 
 def verdict(hits: DataFrame, one_in: int = ONE_IN) -> DataFrame:

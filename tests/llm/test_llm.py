@@ -190,6 +190,18 @@ def test_decontamination_matches_brute_force_in_blocks_too(spark, docs):
     assert decontamination.decontaminate(docs, empty(spark, benchmark)).count() == docs.count()
 
 
+def test_decontamination_keeps_every_row_for_any_number_of_blocks(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (1, f"{b} tail"), (1, a), (None, b), (None, c), (None, None), (2, f"{c} {a}"), (2, "plain")]
+    keyed = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    items = [(7, a), (8, b), (9, "plain")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((k, *brute_hits(t, items)) for k, t in rows), key=repr)
+    for size in (1 << 20, 30):
+        got = decontamination.verdict(decontamination.find_hits(keyed, benchmark, block_bytes=size)).collect()
+        assert sorted(((r.key, r.n_words, r.n_hit, r["items"]) for r in got), key=repr) == want
+
+
 def test_shards_are_contiguous_and_balanced(spark, docs):
     rows = sharding.assign_shards(docs, 4).collect()
     assert len(rows) == docs.count()
