@@ -50,11 +50,11 @@ _SPACE = regex.compile(r"\s+")
 
 class Encoder:
     """A tokenizer that drops white space, with the ids of words met before. White space parts words for good: the
-    tokenizer's pieces never span it, so a text's ids are its words' ids end to end."""
+    tokenizer's pieces never span it, so a text's ids are its words' ids end to end. Special strings, which the library
+    reads as their tokens, hold no white space and are cut out inside a word."""
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.forget()
 

@@ -257,6 +257,23 @@ def test_repair_shards_equal_the_library(spark, docs):
     assert repair_shards.round_trip(empty(spark, docs), definition).count() == 0
 
 
+def test_repair_shards_read_special_strings_as_the_library_does(spark):
+    definition = open(public_tokenizers.path(WORD_BPE), encoding="utf-8").read()
+    whole = Tokenizer.from_str(definition)  # as loaded
+    e = repair_shards.Encoder(definition)
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "'ll", "12", " ", "\n", "\x1c", "\x01", "é", "́"]
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|endoftext|>"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(2000)]
+    flat, counts = e.encode(texts)
+    want = [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [3306, 49407, 1002]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
+    df = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in repair_shards.round_trip(df, definition).collect()}
+    assert got == {i: (len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for i, w in enumerate(want[:40])}
+
+
 def test_repair_random_access():
     rng = np.random.default_rng(1)
     counts = rng.integers(1, 60, 80)
