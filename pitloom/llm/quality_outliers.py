@@ -8,8 +8,9 @@ estimate is beyond a high chi-square quantile.
 
 All of it is grouped sums and joins with one row per group: nothing is collected, and a group of any size is summed
 map-side first. Order statistics of distances come from histograms in steps of 1/64 on the log scale (exact counts,
-mergeable), so the half is known to 1.6 % of a distance. Groups of fewer than ``SMALL`` rows use the estimate of all
-rows: a covariance of few rows means nothing.
+mergeable), so the half is known to 1.6 % of a distance. A covariance of few rows means nothing, so every group's estimate
+is mixed with that of all rows as if the group had ``PRIOR`` more rows that are spread like all rows: its mean, and its
+covariance with the part that lies between the two means. The weight falls smoothly with the group's size.
 
 Defined results: a null or wordless text has no words, all counts are 0, it fails the base rules and takes no part in
 the estimates; null lang or source are groups like any other; repeated rows are judged alike; an empty table gives no
@@ -30,10 +31,11 @@ from pitloom.llm.common import materialise, text_or_empty
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of a group's rows in the estimate, concentration steps, tail beyond which a row is an outlier.
 HALF, STEPS, TAIL = 0.5, 5, 1e-9
-SMALL = 100
+PRIOR = 20
 #: Least standard deviation of each statistic, in its own transformed unit: statistics that are zero for most rows
-#: have no spread in the half, and a single symbol is no outlier.
-FLOORS = (0.5, 0.1, 0.5, 0.75)
+#: have no spread in the half, and a single symbol is no outlier. The cut is 6.92 of them away, and each statistic can
+#: reach it: repetition from none at 31 in 100 words.
+FLOORS = (0.5, 0.1, 0.5, 0.5)
 
 P = len(FLOORS)
 _WHITE = " \t\n\x0b\x0c\r"
@@ -147,14 +149,35 @@ def _distance(x: list[Column], of: Callable[[str], Column]) -> Column:
     return sum((v * v for v in z), F.lit(0.0))
 
 
-def _factored(moments: DataFrame, factor: Column) -> DataFrame:
-    """Mean and inverse Cholesky factor from sums: the covariance times ``factor``, plus the floors' variances."""
+def _covariances(moments: DataFrame, factor: Column) -> DataFrame:
+    """Mean and covariance from sums: the covariance times ``factor``, plus the floors' variances."""
     df = moments.withColumn("f", factor)
     for k in range(P):
         df = df.withColumn(f"m{k}", F.col(f"s{k}") / F.col("h"))
     for r, k in _PAIRS:
         cov = (F.col(f"s{r}{k}") / F.col("h") - F.col(f"m{r}") * F.col(f"m{k}")) * F.col("f")
         df = df.withColumn(f"c{r}{k}", cov + F.lit(FLOORS[r] ** 2 if r == k else 0.0))
+    return df.select(*_GROUP, "n", *[f"m{k}" for k in range(P)], *[f"c{r}{k}" for r, k in _PAIRS])
+
+
+def _mixed(covariances: DataFrame) -> DataFrame:
+    """Means and covariances mixed with those of all rows, which count as ``PRIOR`` rows of each group."""
+    whole = covariances.filter(F.col(_GROUP[0])).first()  # one row
+    if whole is None:
+        return covariances
+    own = F.col("n") / (F.col("n") + F.lit(PRIOR))
+    gap = [F.col(f"m{k}") - F.lit(float(whole[f"m{k}"])) for k in range(P)]
+    mean = [(F.lit(float(whole[f"m{k}"])) + own * gap[k]).alias(f"m{k}") for k in range(P)]
+    cov = [
+        (own * F.col(f"c{r}{k}") + (1 - own) * F.lit(float(whole[f"c{r}{k}"])) + own * (1 - own) * gap[r] * gap[k]).alias(f"c{r}{k}")
+        for r, k in _PAIRS
+    ]
+    return covariances.select(*_GROUP, "n", *mean, *cov)
+
+
+def _factored(covariances: DataFrame) -> DataFrame:
+    """Mean and inverse Cholesky factor from mean and covariance."""
+    df = covariances
     for r in range(P):  # Cholesky, row by row
         for k in range(r + 1):
             rest = F.col(f"c{r}{k}") - sum((F.col(f"l{r}{j}") * F.col(f"l{k}{j}") for j in range(k)), F.lit(0.0))
@@ -230,18 +253,18 @@ def estimate(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     current = materialise(spread.select(*_GROUP, "n", *[f"m{k}" for k in range(P)], *inverse))
     for _ in range(steps):
         half = _nearest(rows, current, F.col("cumulated") < HALF * F.col("n"))
-        current = materialise(_factored(half, _consistency(F.col("h") / F.col("n"))))
+        current = materialise(_factored(_covariances(half, _consistency(F.col("h") / F.col("n")))))
     # One reweighting step over all rows that are no clear outliers.
     edge = chi2_quantile(0.975)
     last = math.floor(math.log2(edge + 2.0**-20) * _BINS)
     kept = _nearest(rows, current, F.col("bin") <= last)
-    return materialise(_factored(kept, F.lit(0.975 / (1 - _tail(edge, P + 2)))))
+    return materialise(_factored(_mixed(materialise(_covariances(kept, F.lit(0.975 / (1 - _tail(edge, P + 2))))))))
 
 
 def with_verdict(docs: DataFrame, estimates: DataFrame, tail: float = TAIL) -> DataFrame:
-    """Adds ``_KEPT``: the base rules hold and the row is no outlier of its group (of all rows if that is small)."""
+    """Adds ``_KEPT``: the base rules hold and the row is no outlier of its group (of all rows if that has no estimate)."""
     everything = estimates.filter(F.col(_GROUP[0])).first()  # one row
-    own = estimates.filter(~F.col(_GROUP[0]) & (F.col("n") >= SMALL))
+    own = estimates.filter(~F.col(_GROUP[0]))
     joined = _with_estimates(docs.withColumn(_GROUP[0], F.lit(False)), own, "left").drop(_GROUP[0])
 
     def of(name: str) -> Column:

@@ -408,6 +408,22 @@ def test_outlier_estimates_resist_contamination(spark):
     assert kept == {i for i in range(600) if i % 4}
 
 
+def test_outliers_of_small_groups_are_judged_by_their_own_rows(spark):
+    rng = random.Random(9)
+    short = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 6))) for _ in range(3000)]
+    long = ["".join(rng.choices("abcdefghij", k=rng.randint(24, 34))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(short, k=rng.randint(80, 400))), "en", "a") for i in range(900)]
+    for size, lang in ((60, "de"), (130, "fi")):  # words of another length, below and above a hundred rows
+        rows += [(len(rows) + i, " ".join(rng.choices(long, k=rng.randint(80, 400))), lang, "a") for i in range(size)]
+    lone = len(rows)
+    rows += [(lone, " ".join(rng.choices(long, k=200)), "en", "a"), (lone + 1, " ".join(rng.choices(short, k=200)), "xx", "a")]
+    words = rng.sample(short, 200)  # half of the words are repeated, which the base rules allow
+    rows.append((lone + 2, " ".join(words[:150] + words[:50]), "en", "a"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dropped = {r.doc_id for r in quality_outliers.outlier_report(df).filter("not kept").collect()}
+    assert dropped == {lone, lone + 2}
+
+
 def test_chi_square_quantile():
     assert abs(quality_outliers.chi2_quantile(0.5) - 3.3567) < 1e-3
     assert abs(quality_outliers.chi2_quantile(0.975) - 11.1433) < 1e-3
