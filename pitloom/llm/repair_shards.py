@@ -37,8 +37,8 @@ from pitloom.session import scratch_path
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-#: Least count of a pair worth a rule, rules of a round, rules of a shard (symbols then fit 16 bits), and rounds.
-MIN_COUNT, ROUND_RULES, RULES, ROUNDS = 8, 6000, 12_000, 2
+#: Least count of a pair worth a rule, rules of a round, and rules of a shard (symbols then fit 16 bits).
+MIN_COUNT, ROUND_RULES, RULES = 8, 6000, 12_000
 REMEMBERED = 1_000_000
 
 _MAGIC = b"RPS1"
@@ -113,9 +113,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int) -> tuple[np.ndarra
     ends = np.cumsum(counts)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or made >= RULES:
-            break
+    while len(symbols) > 1 and made < RULES:  # each round replaces a frequent pair at least
         keys = (symbols[:-1] << np.uint64(32)) | symbols[1:]
         inside = np.ones(len(keys), bool)
         cuts = ends[(ends > 0) & (ends < len(symbols))]
@@ -152,7 +150,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int) -> tuple[np.ndarra
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Ids that each rule stands for; a rule's symbols are ids or earlier rules."""
     out = np.ones(len(rules), np.int64)
-    # Rounds of at most ROUNDS levels: repeat until nothing changes.
+    # One level of rules at a time: repeat until nothing changes.
     while len(rules):
         sizes = np.concatenate([[1], out])
         new = sizes[np.where(rules >= first, rules.astype(np.int64) - first + 1, 0)].sum(axis=1)

@@ -290,6 +290,21 @@ def test_repair_random_access():
         repair_shards.Shard(b"no" + raw[2:])
 
 
+def test_repair_runs_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 5000, 256).astype(np.uint32)
+    ids, counts = np.tile(one, 200), np.full(200, 256)
+    symbols, ends, rules = repair_shards.compress(ids, counts, 5000)
+    keys = Counter()
+    for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        keys.update(zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist(), strict=True))
+    assert len(rules) < repair_shards.RULES and max(keys.values(), default=0) < repair_shards.MIN_COUNT
+    assert len(symbols) <= 2 * 200  # near one symbol a copy
+    shard = repair_shards.Shard(repair_shards.pack(list(range(200)), ids, counts))
+    assert np.array_equal(shard.expand(shard.symbols), ids)
+    assert np.array_equal(shard.document(7, 100, 180), one[100:180])
+
+
 def test_encoder_marks_and_white_space():
     definition = open(public_tokenizers.path(WORD_BPE), encoding="utf-8").read()
     e = repair_shards.Encoder(definition)
