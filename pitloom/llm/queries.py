@@ -14,6 +14,7 @@ from pitloom.llm import (
     dart_minhash,
     decontamination,
     licence_scan,
+    merkle_manifest,
     quality_cnn,
     quality_outliers,
     repair_shards,
@@ -156,3 +157,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_outliers")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_outliers.outlier_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", merkle_manifest.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified_documents(table(spark, sf_dir, "documents"))
