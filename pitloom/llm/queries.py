@@ -13,6 +13,7 @@ from pitloom.llm import (
     chat_windows,
     dart_minhash,
     decontamination,
+    hyperplane_links,
     licence_scan,
     merkle_manifest,
     quality_cnn,
@@ -162,3 +163,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", merkle_manifest.ORACLE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hyperplane_links", hyperplane_links.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplane_links.near_duplicates(table(spark, sf_dir, "embeddings"))
