@@ -21,6 +21,7 @@ from pitloom.llm import (
     repair_shards,
     revisits,
     sharding,
+    tokenizer_alignment,
 )
 from pitloom.llm.common import table
 
@@ -29,6 +30,7 @@ ORACLE: dict[str, str] = {}
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -168,3 +170,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_hyperplane_links", hyperplane_links.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperplane_links.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(BYTE_BPE), encoding="utf-8") as file:
+        definition = file.read()
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), definition, rank_file(public_tokenizers.path(PIECES)))[0]
