@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitloom.functions.identity import utc_ntz
 from pitloom.functions.quantity import ContractViolation
 
 KEYS = ("entity_id", "prediction_ts", "source_batch_id", "correlation_id")
@@ -19,11 +20,11 @@ BOTH, LEFT_ONLY, RIGHT_ONLY = "both", "left_only", "right_only"
 
 
 def normalise_keys(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rename to the four key names; ids as text, the time as a zone-less timestamp."""
+    """Rename to the four key names; ids as text, the time as the instant it names, in zone-less UTC."""
     e, t, b, c = columns
     return frame.select(
         F.col(e).cast("string").alias("entity_id"),
-        F.col(t).cast("timestamp_ntz").alias("prediction_ts"),
+        utc_ntz(F.col(t), frame.schema[t].dataType).alias("prediction_ts"),
         F.col(b).cast("string").alias("source_batch_id"),
         F.col(c).cast("string").alias("correlation_id"),
     )

@@ -28,34 +28,64 @@ def training_spine(spark, sf_dir, *, tolerance=TOLERANCE, cutoff=CUTOFF, contrac
     return asof_join(labeled, features, tolerance=tolerance)
 
 
-@register(
-    "s1_bounded_scoring_read",
-    f"""
+ORACLE_S1 = f"""
 SELECT entity_id, feature_ts, signal_a, signal_b, correlation_id, source_batch_id FROM fx_scoring
-WHERE source_batch_id = '{SCORING_BATCH}' AND feature_ts <= TIMESTAMP '{SCORING_CUTOFF}'""",
-)
+WHERE source_batch_id = '{SCORING_BATCH}' AND feature_ts <= TIMESTAMP '{SCORING_CUTOFF}'"""
+
+
+@register("s1_bounded_scoring_read", ORACLE_S1)
 def s1_bounded_scoring_read(spark, sf_dir):
     return bounded_scoring_read(fx(spark, sf_dir, "fx_scoring"), batch_id=SCORING_BATCH, cutoff=SCORING_CUTOFF)
 
 
-@register(
-    "s2_bounded_feature_read",
-    f"SELECT entity_id, feature_ts, signal_a, signal_b FROM fx_features WHERE feature_ts <= TIMESTAMP '{CUTOFF}'",
-)
+ORACLE_S2 = f"SELECT entity_id, feature_ts, signal_a, signal_b FROM fx_features WHERE feature_ts <= TIMESTAMP '{CUTOFF}'"
+
+
+@register("s2_bounded_feature_read", ORACLE_S2)
 def s2_bounded_feature_read(spark, sf_dir):
     return bounded_feature_read(fx(spark, sf_dir, "fx_features"), cutoff=CUTOFF)
 
 
-@register(
-    "s3_bounded_actuals_read",
-    f"""
+ORACLE_S3 = f"""
 SELECT entity_id, event_ts, label_available_ts, actual_quantity, correlation_id FROM fx_actuals
-WHERE label_available_ts <= TIMESTAMP '{CUTOFF}'""",
-)
+WHERE label_available_ts <= TIMESTAMP '{CUTOFF}'"""
+
+
+@register("s3_bounded_actuals_read", ORACLE_S3)
 def s3_bounded_actuals_read(spark, sf_dir):
     return bounded_actuals_read(fx(spark, sf_dir, "fx_actuals"), cutoff=CUTOFF)
 
 
+ZONED_CUTOFF, ZONED_SCORING_CUTOFF = "2000-06-30T02:00:00+02:00", "1997-06-29T19:00:00-05:00"
+
+
+def zoned_texts(frame, column, key):
+    """``column`` as text: without an offset, with ``Z`` or with ``+02:00``, by a number in ``key``."""
+    ts = F.col(column)
+    later = F.concat(F.date_format(ts + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))
+    plain = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    turn = F.regexp_extract(F.col(key), "([0-9]+)", 1).cast("bigint") % 3
+    return frame.withColumn(column, F.when(turn == 0, plain).when(turn == 1, F.concat(plain, F.lit("Z"))).otherwise(later))
+
+
+@register("s1_zoned_texts", ORACLE_S1)
+def s1_zoned_texts(spark, sf_dir):
+    """S1 over a source whose times are texts with and without offsets, cut off at a time with an offset."""
+    source = zoned_texts(fx(spark, sf_dir, "fx_scoring"), "feature_ts", "entity_id")
+    return bounded_scoring_read(source, batch_id=SCORING_BATCH, cutoff=ZONED_SCORING_CUTOFF)
+
+
+@register("s2_zoned_texts", ORACLE_S2)
+def s2_zoned_texts(spark, sf_dir):
+    return bounded_feature_read(zoned_texts(fx(spark, sf_dir, "fx_features"), "feature_ts", "entity_id"), cutoff=ZONED_CUTOFF)
+
+
+@register("s3_zoned_texts", ORACLE_S3)
+def s3_zoned_texts(spark, sf_dir):
+    actuals = zoned_texts(fx(spark, sf_dir, "fx_actuals"), "event_ts", "entity_id")
+    return bounded_actuals_read(zoned_texts(actuals, "label_available_ts", "correlation_id"), cutoff=ZONED_CUTOFF)
+
+
 @register(
     "f1_quantity_class",
     """

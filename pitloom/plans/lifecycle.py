@@ -156,13 +156,14 @@ def _run_stages(spark, sources, cfg, run_dir, ev, skip_rest):
         seed=cfg.seed, num_trees=cfg.num_trees, max_depth=cfg.max_depth,
     )
     metrics = result.metrics.first()
-    from pitloom.functions.identity import candidate_version
-    from pitloom.plans.quality_queries import candidate_material
-
-    digest_row = snapshot_digest(spine).select(
-        "snapshot_sha256", candidate_version(candidate_material(F.col("snapshot_sha256"))).alias("version")
-    ).first()
-    version = digest_row["version"]
+    from pitloom.functions.identity import candidate_material, candidate_version
+    from pitloom.plans.quality_queries import SPINE_RUN
+
+    material = candidate_material(
+        snapshot_sha256=F.col("snapshot_sha256"), source_cutoff=cfg.cutoff, mapping_version=cfg.contract.mapping_version,
+        random_seed=cfg.seed, **SPINE_RUN,
+    )
+    version = snapshot_digest(spine).select(candidate_version(material)).first()[0]
     ev.append((3, "train", "TRAINED", f"candidate {version}", int(metrics["validation_rows"])))
 
     # 4. register_select: gate the candidate against the champion.

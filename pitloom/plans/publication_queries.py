@@ -13,7 +13,7 @@ from pitloom.operators.reconcile import (
     reconcile,
     reconcile_counts,
 )
-from pitloom.plans.join_queries import training_spine
+from pitloom.plans.join_queries import training_spine, zoned_texts
 from pitloom.plans.quality_queries import provenance
 from pitloom.plans.registry import CONTRACT, fx, register
 from pitloom.session import scratch_path
@@ -57,6 +57,18 @@ def j4_missing_and_extra(spark, sf_dir):
     return missing_and_extra(_matched(spark, sf_dir))
 
 
+@register(
+    "j4_zoned_texts",
+    f"SELECT side, CAST(COUNT(*) AS BIGINT) AS keys, CAST(SUM(GREATEST(delivered_rows - 1, 0)) AS BIGINT) AS duplicate_rows FROM {_MATCHED_SQL} GROUP BY side",
+)
+def j4_zoned_texts(spark, sf_dir):
+    """J4 where the scorer hands back the times as texts with and without offsets."""
+    expected = normalise_keys(fx(spark, sf_dir, "fx_scoring"), ["entity_id", "feature_ts", "source_batch_id", "correlation_id"])
+    texts = zoned_texts(fx(spark, sf_dir, "fx_predictions_broken"), "prediction_ts", "entity_id")
+    delivered = normalise_keys(texts, ["entity_id", "prediction_ts", "source_batch_id", "correlation_id"])
+    return reconcile_counts(reconcile(expected, delivered))
+
+
 # ---------------------------------------------------------------- J5 / J6
 @register(
     "j5_one_to_one",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitloom.functions.identity import (
+    JsonText,
+    candidate_material,
     candidate_version,
     is_blank,
     iso_utc,
@@ -12,6 +14,7 @@ from pitloom.functions.identity import (
     prediction_id,
     retraining_job_name,
     row_hash,
+    utc_ntz,
     version_slug,
 )
 from pitloom.functions.quantity import QUANTITY_RULES, QuantityContract
@@ -356,7 +359,7 @@ RUN = {
 
 def provenance(predictions, run=RUN, *, run_ts: str = RUN_TS, mapping_version: str = MAPPING_VERSION):
     """The 19-column publication frame; ``ACTUAL_*`` null, both stamps = the run time."""
-    ts = F.col("prediction_ts").cast("timestamp_ntz")
+    ts = utc_ntz(F.col("prediction_ts"), predictions.schema["prediction_ts"].dataType)
     pid = prediction_id(
         source_batch_id=F.col("source_batch_id").cast("string"),
         entity_id=F.col("entity_id").cast("string"),
@@ -441,6 +444,29 @@ def f2_prediction_id(spark, sf_dir):
     )
 
 
+# Ids with characters beyond ASCII, beyond 16 bits, and ones that JSON escapes.
+_ODD_ID = "'\u00e9\u6f22\U0001f9d1\"\\' || correlation_id || chr(10) || chr(127)"
+
+
+@register(
+    "f2_prediction_id_any_text",
+    f"""
+SELECT entity_id, source_batch_id, odd_id AS correlation_id, {Q.prediction_id({
+    "source_batch_id": "source_batch_id", "entity_id": "entity_id", "correlation_id": "odd_id", "prediction_ts": Q.iso("prediction_ts"),
+    "model_name": Q.lit(MODEL_NAME), "model_version": "'3'", "mapping_version": Q.lit(MAPPING_VERSION)}, escaped=True)} AS prediction_id
+FROM (SELECT *, {_ODD_ID} AS odd_id FROM fx_predictions) p""",
+)
+def f2_prediction_id_any_text(spark, sf_dir):
+    """F2 over ids of any characters: the JSON text of Python's ``json.dumps``, in every engine."""
+    odd = F.concat(F.lit('\u00e9\u6f22\U0001f9d1"\\'), F.col("correlation_id"), F.lit("\n\x7f"))
+    p = fx(spark, sf_dir, "fx_predictions").withColumn("correlation_id", odd)
+    found = prediction_id(
+        source_batch_id=F.col("source_batch_id"), entity_id=F.col("entity_id"), correlation_id=F.col("correlation_id"),
+        prediction_ts=iso_utc(F.col("prediction_ts")), model_name=F.lit(MODEL_NAME), model_version=F.lit("3"), mapping_version=F.lit(MAPPING_VERSION),
+    )
+    return p.select("entity_id", "source_batch_id", "correlation_id", found.alias("prediction_id"))
+
+
 @register(
     "a14_publication_check",
     f"""
@@ -468,16 +494,22 @@ def f4_retrain_job_name(spark, sf_dir):
     return e.select("event_id", retraining_job_name(F.col("event_id")).alias("job_name"))
 
 
-_FEATURE_KINDS = [("entity_id", "text"), ("feature_ts", "timestamp"), ("signal_a", "double"), ("signal_b", "double")]
+_FEATURE_KINDS = [
+    ("entity_id", "text"), ("feature_ts", "timestamp"), ("signal_a", "double"), ("signal_b", "double"), ("signal_c", "double"),
+]
+# A signal whose values lie below 1e-3 and differ below 1e-6: only an exact text of doubles tells them apart.
+SMALL = 1e-9
 
 
 @register(
     "f5_feature_rows",
-    f"SELECT entity_id, feature_ts, signal_a, signal_b, {Q.row_hash(_FEATURE_KINDS)} AS feature_row_hash FROM fx_features",
+    f"""
+SELECT entity_id, feature_ts, signal_a, signal_b, signal_c, {Q.row_hash(_FEATURE_KINDS)} AS feature_row_hash
+FROM (SELECT *, -(signal_a * {SMALL!r}::DOUBLE) AS signal_c FROM fx_features) f""",
 )
 def f5_feature_rows(spark, sf_dir):
-    """F5 + O1: predictor-only snapshot with a row hash, range-laid-out by (entity, time) on write."""
-    f = fx(spark, sf_dir, "fx_features")
+    """predictor-only snapshot with a hash of each row's exact values."""
+    f = fx(spark, sf_dir, "fx_features").withColumn("signal_c", -(F.col("signal_a") * SMALL))
     return f.withColumn("feature_row_hash", row_hash(kinds(f.schema)))
 
 
@@ -524,26 +556,30 @@ _SPINE_KINDS = [
     ("entity_id", "text"), ("event_ts", "timestamp"), ("label_available_ts", "timestamp"),
     ("actual_quantity", "double"), ("correlation_id", "text"), ("quantity_class", "text"),
     ("quantity_class_mapping_version", "text"), ("feature_ts", "timestamp"), ("signal_a", "double"),
-    ("signal_b", "double"),
+    ("signal_b", "double"), ("signal_c", "double"),
 ]
 _SPINE_SCHEMA = (
     "entity_id:string,event_ts:timestamp_ntz,label_available_ts:timestamp_ntz,actual_quantity:double,"
     "correlation_id:string,quantity_class:string,quantity_class_mapping_version:string,"
-    "feature_ts:timestamp_ntz,signal_a:double,signal_b:double"
+    "feature_ts:timestamp_ntz,signal_a:double,signal_b:double,signal_c:double"
 )
-_SPINE_SQL = f"""(SELECT a.entity_id, a.event_ts, a.label_available_ts, a.actual_quantity, a.correlation_id,
+_SPINE_SQL = f"""(SELECT *, signal_a * {SMALL!r}::DOUBLE AS signal_c FROM (SELECT a.entity_id, a.event_ts, a.label_available_ts, a.actual_quantity, a.correlation_id,
        CAST(CAST(a.actual_quantity AS BIGINT) AS VARCHAR) AS quantity_class, '{MAPPING_VERSION}' AS quantity_class_mapping_version,
        CASE WHEN f.feature_ts >= a.event_ts - INTERVAL 30 DAY THEN f.feature_ts END AS feature_ts,
        CASE WHEN f.feature_ts >= a.event_ts - INTERVAL 30 DAY THEN f.signal_a END AS signal_a,
        CASE WHEN f.feature_ts >= a.event_ts - INTERVAL 30 DAY THEN f.signal_b END AS signal_b
 FROM (SELECT * FROM fx_actuals WHERE label_available_ts <= TIMESTAMP '{CUTOFF}') a
 ASOF LEFT JOIN (SELECT * FROM fx_features WHERE feature_ts <= TIMESTAMP '{CUTOFF}') f
-  ON a.entity_id = f.entity_id AND a.event_ts >= f.feature_ts) spine"""
+  ON a.entity_id = f.entity_id AND a.event_ts >= f.feature_ts) joined) spine"""
+
+
+def _digest_spine(spark, sf_dir):
+    return training_spine(spark, sf_dir).withColumn("signal_c", F.col("signal_a") * SMALL)
 
 
 @register("a15_snapshot_digest", Q.digest_select(_SPINE_SQL, _SPINE_KINDS, _SPINE_SCHEMA))
 def a15_snapshot_digest(spark, sf_dir):
-    return snapshot_digest(training_spine(spark, sf_dir))
+    return snapshot_digest(_digest_spine(spark, sf_dir))
 
 
 # Canonical texts of the three bounded reads (hashed into manifests and versions).
@@ -560,59 +596,63 @@ ACTUALS_QUERY = (
 )
 MODEL_IMPLEMENTATION = "spark-random-forest-1"
 RANDOM_SEED = 17
+#: What all runs over the training spine share.
+SPINE_RUN = {
+    "model_implementation": MODEL_IMPLEMENTATION,
+    "training_features_query": FEATURES_QUERY,
+    "actuals_query": ACTUALS_QUERY,
+    "entity_column": "entity_id",
+    "feature_timestamp_column": "feature_ts",
+    "correlation_column": "correlation_id",
+    "feature_columns": ["signal_a", "signal_b"],
+}
 
 
-def candidate_material(snapshot_sha256):
-    import hashlib
-
-    return {
-        "actuals_query_sha256": F.lit(hashlib.sha256(ACTUALS_QUERY.encode()).hexdigest()),
-        "correlation_column": F.lit("correlation_id"),
-        "entity_column": F.lit("entity_id"),
-        "feature_columns": F.array(F.lit("signal_a"), F.lit("signal_b")),
-        "feature_timestamp_column": F.lit("feature_ts"),
-        "mapping_version": F.lit(MAPPING_VERSION),
-        "model_implementation": F.lit(MODEL_IMPLEMENTATION),
-        "random_seed": F.lit(RANDOM_SEED),
-        "snapshot_sha256": snapshot_sha256,
-        "source_cutoff": F.lit(CUTOFF),
-        "training_features_query_sha256": F.lit(hashlib.sha256(FEATURES_QUERY.encode()).hexdigest()),
-    }
+#: Runs of one snapshot that differ in one input each: (variant, seed, cutoff, mapping).
+F3_RUNS = (
+    ("base", RANDOM_SEED, CUTOFF, MAPPING_VERSION),
+    ("seed", RANDOM_SEED + 1, CUTOFF, MAPPING_VERSION),
+    ("cutoff", RANDOM_SEED, "2000-06-30 00:00:01", MAPPING_VERSION),
+    ("mapping", RANDOM_SEED, CUTOFF, "quantity-v2"),
+)
 
 
 def _f3_sql() -> str:
     import hashlib
 
-    fields = {
-        "actuals_query_sha256": Q.lit(hashlib.sha256(ACTUALS_QUERY.encode()).hexdigest()),
-        "correlation_column": "'correlation_id'",
-        "entity_column": "'entity_id'",
-        "feature_timestamp_column": "'feature_ts'",
-        "mapping_version": Q.lit(MAPPING_VERSION),
-        "model_implementation": Q.lit(MODEL_IMPLEMENTATION),
-        "snapshot_sha256": "d.snapshot_sha256",
-        "source_cutoff": Q.lit(CUTOFF),
-        "training_features_query_sha256": Q.lit(hashlib.sha256(FEATURES_QUERY.encode()).hexdigest()),
-    }
-    parts = []
-    for i, k in enumerate(sorted([*fields, "feature_columns", "random_seed"])):
-        sep = "{" if i == 0 else ","
-        if k == "feature_columns":
-            parts.append(f"'{sep}\"feature_columns\":[\"signal_a\",\"signal_b\"]'")
-        elif k == "random_seed":
-            parts.append(f"'{sep}\"random_seed\":{RANDOM_SEED}'")
-        else:
-            parts.append(f"'{sep}\"{k}\":\"' || {fields[k]} || '\"'")
-    js = " || ".join(parts) + " || '}'"
-    return f"SELECT substr(sha256({js}), 1, 16) AS candidate_version, d.snapshot_sha256 FROM ({Q.digest_select(_SPINE_SQL, _SPINE_KINDS, _SPINE_SCHEMA)}) d"
+    runs = ", ".join(f"({Q.lit(v)}, {seed}, {Q.lit(c)}, {Q.lit(m)})" for v, seed, c, m in F3_RUNS)
+    head = (
+        f"'{{\"actuals_query_sha256\":\"{hashlib.sha256(ACTUALS_QUERY.encode()).hexdigest()}\",\"correlation_column\":\"correlation_id\","
+        "\"entity_column\":\"entity_id\",\"feature_columns\":[\"signal_a\",\"signal_b\"],\"feature_timestamp_column\":\"feature_ts\",\"mapping_version\":\"'"
+    )
+    js = (
+        f"{head} || mapping_version || '\",\"model_implementation\":\"{MODEL_IMPLEMENTATION}\",\"random_seed\":' || random_seed || "
+        "',\"snapshot_sha256\":\"' || d.snapshot_sha256 || '\",\"source_cutoff\":\"' || source_cutoff || "
+        f"'\",\"training_features_query_sha256\":\"{hashlib.sha256(FEATURES_QUERY.encode()).hexdigest()}\"}}'"
+    )
+    return f"""
+SELECT variant, substr(sha256({js}), 1, 16) AS candidate_version, d.snapshot_sha256
+FROM ({Q.digest_select(_SPINE_SQL, _SPINE_KINDS, _SPINE_SCHEMA)}) d,
+     (VALUES {runs}) AS r(variant, random_seed, source_cutoff, mapping_version)"""
 
 
 @register("f3_candidate_version", _f3_sql())
 def f3_candidate_version(spark, sf_dir):
-    d = snapshot_digest(training_spine(spark, sf_dir))
-    return d.select(
-        candidate_version(candidate_material(F.col("snapshot_sha256"))).alias("candidate_version"), "snapshot_sha256"
+    """The version of the run's snapshot under the run's own seed, cutoff and mapping, and under others."""
+    runs = F.array(
+        *[
+            F.struct(F.lit(v).alias("variant"), F.lit(seed).alias("seed"), F.lit(c).alias("cutoff"), F.lit(m).alias("mapping"))
+            for v, seed, c, m in F3_RUNS
+        ]
     )
+    d = snapshot_digest(_digest_spine(spark, sf_dir)).select("snapshot_sha256", F.inline(runs))
+    version = candidate_version(
+        candidate_material(
+            snapshot_sha256=F.col("snapshot_sha256"), source_cutoff=F.col("cutoff"), mapping_version=F.col("mapping"),
+            random_seed=JsonText(F.col("seed").cast("string")), **SPINE_RUN,
+        )
+    )
+    return d.select("variant", version.alias("candidate_version"), "snapshot_sha256")
 
 
 # ---------------------------------------------------------------- S5 S6 S7 S8 O3 U1

@@ -15,9 +15,27 @@ def iso(col: str) -> str:
     return f"(regexp_replace(strftime({col}, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') || '+00:00')"
 
 
+def double_text(col: str) -> str:
+    """Mantissa and exponent of a finite double, as ``pitloom.functions.identity.double_text`` writes them."""
+    size, guess = f"abs({col})", f"floor(log2(abs({col})))"
+    lead = f"({size} / pow(2.0::DOUBLE, {guess}))"
+    exponent = f"({guess} + CASE WHEN {lead} >= 2 THEN 1 WHEN {lead} < 1 THEN -1 ELSE 0 END)"
+    mantissa = f"CAST({size} / pow(2.0::DOUBLE, {exponent}) * 4503599627370496.0::DOUBLE AS BIGINT)"
+    finite = f"CASE WHEN {col} < 0 THEN '-' ELSE '' END || {mantissa} || 'p' || CAST({exponent} - 52 AS BIGINT)"
+    return f"CASE WHEN {col} = 0 THEN '0' WHEN {col} IS NOT NULL THEN {finite} END"
+
+
+def json_string(col: str) -> str:
+    """A JSON string in ASCII: ``\\uXXXX`` (a pair beyond 16 bits) for every other character."""
+    escapes = " ".join(f"WHEN {ord(c)} THEN {lit(e)}" for c, e in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")))
+    wide = "printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024)"
+    other = f"CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) > 65535 THEN {wide} ELSE printf('\\u%04x', unicode(c)) END"
+    return f"('\"' || array_to_string(list_transform(string_split({col}, ''), lambda c: CASE unicode(c) {escapes} ELSE {other} END), '') || '\"')"
+
+
 def render(col: str, kind: str) -> str:
     if kind == "double":
-        text = f"CAST(CAST({col} AS DECIMAL(38,6)) AS VARCHAR)"
+        text = double_text(col)
     elif kind == "timestamp":
         text = iso(col)
     else:
@@ -29,17 +47,21 @@ def row_hash(cols: Sequence[tuple[str, str]]) -> str:
     return "sha256(concat_ws(chr(31), " + ", ".join(render(c, k) for c, k in cols) + "))"
 
 
-def json_object(fields: Mapping[str, str]) -> str:
+def quoted(col: str) -> str:
+    return f"'\"' || {col} || '\"'"
+
+
+def json_object(fields: Mapping[str, str], escaped: bool = False) -> str:
     """Canonical JSON text of string-valued SQL expressions (keys sorted, no spaces)."""
     parts = []
     for i, k in enumerate(sorted(fields)):
         sep = "{" if i == 0 else ","
-        parts.append(f"'{sep}\"{k}\":\"' || {fields[k]} || '\"'")
+        parts.append(f"'{sep}\"{k}\":' || {json_string(fields[k]) if escaped else quoted(fields[k])}")
     return "(" + " || ".join(parts) + " || '}')"
 
 
-def prediction_id(fields: Mapping[str, str]) -> str:
-    return f"('pred_' || substr(sha256({json_object(fields)}), 1, 32))"
+def prediction_id(fields: Mapping[str, str], escaped: bool = False) -> str:
+    return f"('pred_' || substr(sha256({json_object(fields, escaped)}), 1, 32))"
 
 
 def digest_select(source: str, cols: Sequence[tuple[str, str]], schema: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitloom.functions.identity import utc_ntz, utc_text
 from pitloom.schemas import (
     ACTUALS,
     AVAILABLE_TS,
@@ -21,16 +22,26 @@ from pitloom.session import configure
 
 
 def cutoff_literal(cutoff: str):
-    return F.lit(cutoff).cast("timestamp_ntz")
+    """A cutoff, with or without an offset, as a zone-less UTC timestamp."""
+    return F.lit(utc_text(cutoff)).cast("timestamp_ntz")
 
 
 def typed_projection(frame: DataFrame, schema: T.StructType, *, population: str) -> DataFrame:
-    """P1 + P13: lower-case names, require the declared columns, cast to the declared types."""
+    """P1 + P13: lower-case names, require the declared columns, cast to the declared types.
+
+    Times become zone-less UTC: zoned ones, and texts with an offset, as the instant they name.
+    """
     lowered = frame.toDF(*[c.lower() for c in frame.columns])
     missing = [f.name for f in schema.fields if f.name not in lowered.columns]
     if missing:
         raise ValueError(f"{population} is missing columns: {', '.join(missing)}")
-    return lowered.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return lowered.select(*[_typed(lowered, f).alias(f.name) for f in schema.fields])
+
+
+def _typed(frame: DataFrame, field: T.StructField):
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return utc_ntz(F.col(field.name), frame.schema[field.name].dataType)
+    return F.col(field.name).cast(field.dataType)
 
 
 def bounded_scoring_read(source: DataFrame, *, batch_id: str, cutoff: str) -> DataFrame:
