@@ -2,26 +2,27 @@
 
 Semantics (backward as-of, by key): every left row is kept; it is paired with the
 right row of the same key whose time is the latest one at or before the left time
-(exact matches allowed unless ``allow_exact=False``); a pair older than the
-tolerance is dropped (the tolerance is inclusive), leaving the right columns null.
-
-Plan (two levels, public DataFrame API only, no pairs are ever formed):
-
-* Level A. Both sides are unioned and cut into fine time slices. A running
-  ``last(..., ignorenulls)`` window over ``(key, slice)`` ordered by time finds the
-  match inside the left row's own slice. A window group holds one key's rows of a
-  single slice, so a key with a third of all rows is spread over all its slices.
-* Level B. For matches in earlier slices, both sides are reduced to one summary row
-  per ``(key, slice)`` (its last right row, and whether left rows fall in it) by a
-  partial-then-final aggregate, so only partial summaries are shuffled; a running
-  window per key over the summaries carries the latest earlier right row forward. A
-  group holds one row per slice of a key, which is bounded by the time span divided
-  by the slice width, not by data volume.
-
-The full rows are shuffled once (level A). The final left join of level A's output
-with level B's table is on ``(key, slice)``, the partitioning level A already has,
-so only the summary moves. Level B re-reads the inputs with only the key, time and
-right-row columns, which is cheaper than shuffling full rows a second time.
+(exact matches allowed unless ``allow_exact=False``; of right rows at one instant the
+greatest row wins); a pair older than the tolerance is dropped (the tolerance is
+inclusive), leaving the right columns null. Left rows with a null key or time match nothing.
+
+Plan (public DataFrame API only, no pairs are ever formed, no job runs while it is built):
+
+* Instants. Both sides are folded to one row per (key, instant): the winning right row
+  at that instant, and whether left rows ask there. Partial aggregates fold before the
+  shuffle, so a burst of rows at one instant, on either side, is one row afterwards.
+* Level A. Instants are cut into time slices. A running ``last(..., ignorenulls)`` window
+  over ``(key, slice)`` finds the match inside the instant's own slice. A slice with more
+  than ``max_slice_rows`` instants is cut into 2^k equal sub-slices.
+* Level B. For matches in earlier slices, instants are reduced to one summary row per
+  ``(key, slice)``; a running window per key over the summaries carries the latest
+  earlier right row forward. A group holds one row per slice of a key.
+* Labels. The left rows join the instants on (key, instant), which are unique there, so a
+  hot instant is a skew join that Spark splits. Left rows without key or time are spread
+  and join nothing.
+
+Full left rows are shuffled once, by that last join. All else moves keys, times and folded
+right rows; the shuffle of the instants is made once and reused.
 """
 
 from __future__ import annotations
@@ -34,15 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitloom.schemas import ENTITY, FEATURE_TS, LABEL_TS
-from pitloom.session import ensure_checkpoint_dir
 
-_SIDE = "__pl_side"
+_AT = "__pl_at"
+_ROW = "__pl_row"
+_ASKED = "__pl_asked"
 _SLICE = "__pl_slice"
-_KEY_TS = "__pl_key_ts"
-_LROW = "__pl_left"
-_RROW = "__pl_right"
 _MATCH = "__pl_match"
 _PREV = "__pl_prev"
+_TURN = "__pl_turn"
+_TURNS = 1 << 12
 
 
 def interval(text: str) -> Column:
@@ -88,26 +89,52 @@ def interval_micros(text: str) -> int:
 
 
 _FINE_BITS = 20  # sub-slices live on a common grid of 2^20 per slice
-_HOT_BROADCAST_LIMIT = 1_000_000  # hot-group rows; above it the refinement joins by shuffle
 
 
-def _refine_slices(
-    both: DataFrame, hot: DataFrame, n_hot: int, keys: list[str], width: int, ntz: bool
-) -> DataFrame:
-    """Split the (key, slice) groups of ``hot`` (with their ``__pl_k``) into 2^k time sub-slices.
+def _instants(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_at: Column, right_row: Column, row_type) -> DataFrame:
+    """(keys, instant, right row or null, whether left rows ask): one row per key and instant."""
+    asked = left.select(
+        *keys, F.col(left_on).alias(_AT), F.lit(None).cast(row_type).alias(_ROW), F.lit(True).alias(_ASKED)
+    )
+    known = right.select(*keys, right_at.alias(_AT), right_row.alias(_ROW), F.lit(False).alias(_ASKED))
+    both = asked.unionByName(known).where(_present([*keys, _AT]))
+    return both.groupBy(*keys, _AT).agg(F.max(_ROW).alias(_ROW), F.max(_ASKED).alias(_ASKED))
+
+
+def _present(columns: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def _sliced(instants: DataFrame, keys: list[str], width: int, ntz: bool, max_slice_rows: int | None) -> DataFrame:
+    """``instants`` with their slice; slices above the bound are cut into 2^k sub-slices.
 
-    Sub-slice ids stay monotone in time within a key (slice * 2^20 + sub * 2^(20-k)), so
-    level B still orders slices correctly. The hot table has at most rows / max_slice_rows
-    entries; it is broadcast only when its counted size is below ``_HOT_BROADCAST_LIMIT``,
-    and joined by shuffle otherwise.
+    Sub-slice ids stay monotone in time within a key (slice * 2^20 + sub * 2^(20-k)), so level B orders them correctly.
+    The table of slices above the bound has at most instants / ``max_slice_rows`` rows; Spark picks its join when it has
+    counted them (none: the join goes).
     """
-    table = F.broadcast(hot) if n_hot <= _HOT_BROADCAST_LIMIT else hot
+    at = _micros(F.col(_AT), ntz)
+    cut = instants.withColumn(_SLICE, F.floor(at / F.lit(width)).cast("long"))
+    if max_slice_rows is None:
+        return cut
+    hot = (
+        cut.groupBy(*keys, _SLICE)
+        .agg(F.count(F.lit(1)).alias("__pl_n"))
+        .where(F.col("__pl_n") > max_slice_rows)
+        .select(
+            *keys,
+            _SLICE,
+            F.least(F.ceil(F.log2(F.col("__pl_n") / F.lit(float(max_slice_rows)))) + 1, F.lit(_FINE_BITS)).cast("int").alias("__pl_k"),
+        )
+    )
     k = F.coalesce(F.col("__pl_k"), F.lit(0))
-    offset = _micros(F.col(_KEY_TS), ntz) - F.col(_SLICE) * F.lit(width)
+    offset = at - F.col(_SLICE) * F.lit(width)
     sub = F.floor(offset * F.pow(F.lit(2.0), k) / F.lit(float(width))).cast("long")
     step = F.pow(F.lit(2.0), F.lit(_FINE_BITS) - k).cast("long")  # exact: at most 2^20
     refined = F.col(_SLICE) * F.lit(1 << _FINE_BITS).cast("long") + sub * step
-    return both.join(table, [*keys, _SLICE], "left").withColumn(_SLICE, refined).drop("__pl_k")
+    return cut.join(hot, [*keys, _SLICE], "left").withColumn(_SLICE, refined).drop("__pl_k")
 
 
 def asof_join(
@@ -126,9 +153,8 @@ def asof_join(
 ) -> DataFrame:
     """Backward as-of join of ``left`` (labels) to ``right`` (features).
 
-    ``max_slice_rows`` bounds a window group: a ``(key, slice)`` holding more rows (both
-    sides together) is cut into 2^k equal sub-slices, k up to 20. The check reads the
-    level-B summary (checkpointed once); ``None`` turns it off.
+    ``max_slice_rows`` bounds a window group: a ``(key, slice)`` holding more instants is
+    cut into 2^k equal sub-slices, k up to 20; ``None`` turns it off.
 
     ``delay`` shifts the right time to its availability time (``right_on + delay``),
     which is the time compared with ``left_on`` and with ``tolerance``;
@@ -145,96 +171,47 @@ def asof_join(
     if clash:
         raise ValueError(f"columns on both sides besides the key: {', '.join(clash)}")
 
-    width = interval_micros(slice_width)
-    right_key_ts = F.col(right_on) + interval(delay) if delay else F.col(right_on)
+    right_at = F.col(right_on) + interval(delay) if delay else F.col(right_on)
     right_row = F.struct(*[F.col(c) for c in right_cols])
-    right_type = right.select(right_row.alias("r")).schema["r"].dataType
-
-    lhs = left.select(
-        *[F.col(k) for k in keys],
-        F.col(left_on).alias(_KEY_TS),
-        F.lit(1).alias(_SIDE),
-        F.struct(*[F.col(c) for c in left.columns]).alias(_LROW),
-        F.lit(None).cast(right_type).alias(_RROW),
-    )
-    rhs = right.where(F.col(right_on).isNotNull()).select(
-        *[F.col(k) for k in keys],
-        right_key_ts.alias(_KEY_TS),
-        F.lit(0 if allow_exact else 2).alias(_SIDE),
-        F.lit(None).cast(lhs.schema[_LROW].dataType).alias(_LROW),
-        right_row.alias(_RROW),
-    )
-    for k in keys:
-        rhs = rhs.where(F.col(k).isNotNull())
-    both = lhs.unionByName(rhs)
-    ntz = isinstance(both.schema[_KEY_TS].dataType, T.TimestampNTZType)
-    both = both.withColumn(_SLICE, F.floor(_micros(F.col(_KEY_TS), ntz) / F.lit(width)).cast("long"))
-
-    # Level B summary: one row per (key, slice): its last right row, whether left rows fall
-    # in it, and its size. Aggregated map-side first, so only partial summaries shuffle.
-    def summarise(frame: DataFrame) -> DataFrame:
-        is_right = F.col(_SIDE) != 1
-        return frame.groupBy(*keys, _SLICE).agg(
-            F.max_by(F.col(_RROW), F.when(is_right, F.struct(F.col(_KEY_TS), F.col(_RROW)))).alias(_RROW),
-            F.max((~is_right).cast("int")).alias("__pl_has_left"),
-            F.count(F.lit(1)).alias("__pl_n"),
-        )
-
-    summary = summarise(both)
-    if max_slice_rows is not None:
-        # The summary is cut from the lineage into the shared checkpoint folder, so the size
-        # check and level B read it once. Groups above the bound are split into sub-slices;
-        # only then is a refined summary computed.
-        ensure_checkpoint_dir(left.sparkSession)
-        summary = summary.checkpoint(eager=True)
-        hot = summary.where(F.col("__pl_n") > max_slice_rows).select(
-            *keys,
-            _SLICE,
-            F.least(F.ceil(F.log2(F.col("__pl_n") / F.lit(float(max_slice_rows)))), F.lit(_FINE_BITS))
-            .cast("int")
-            .alias("__pl_k"),
-        )
-        n_hot = hot.count()
-        if n_hot:
-            both = _refine_slices(both, hot, n_hot, keys, width, ntz)
-            summary = summarise(both)
-
-    # Level A: matches inside the left row's own slice.
-    order = [F.col(_KEY_TS), F.col(_SIDE), *[F.col(f"{_RROW}.{c}") for c in right_cols]]
-    w_a = (
-        Window.partitionBy(*[F.col(k) for k in keys], F.col(_SLICE))
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    level_a = both.withColumn(_MATCH, F.last(F.col(_RROW), ignorenulls=True).over(w_a)).where(
-        F.col(_SIDE) == 1
-    )
-
-    w_b = (
-        Window.partitionBy(*[F.col(k) for k in keys])
-        .orderBy(F.col(_SLICE))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    row_type = right.select(right_row.alias("r")).schema["r"].dataType
+    instants = _instants(left, right, keys, left_on, right_at, right_row, row_type)
+    ntz = isinstance(instants.schema[_AT].dataType, T.TimestampNTZType)
+    sliced = _sliced(instants, keys, interval_micros(slice_width), ntz, max_slice_rows)
+
+    # Level A: the latest right row inside the instant's own slice.
+    group = Window.partitionBy(*keys, _SLICE).orderBy(_AT)
+    frame_end = Window.currentRow if allow_exact else -1
+    level_a = sliced.withColumn(
+        _MATCH, F.last(_ROW, ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, frame_end))
+    ).where(_ASKED)
+
+    # Level B: the last right row of each slice, carried over the key's later slices.
+    summary = sliced.groupBy(*keys, _SLICE).agg(
+        F.max_by(_ROW, F.when(F.col(_ROW).isNotNull(), F.col(_AT))).alias(_ROW), F.max(_ASKED).alias(_ASKED)
     )
+    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     level_b = (
-        summary.withColumn(_PREV, F.last(F.col(_RROW), ignorenulls=True).over(w_b))
-        .where(F.col("__pl_has_left") == 1)
-        .select(*keys, _SLICE, _PREV)
+        summary.withColumn(_PREV, F.last(_ROW, ignorenulls=True).over(earlier)).where(_ASKED).select(*keys, _SLICE, _PREV)
+    )
+    found = level_a.join(level_b, [*keys, _SLICE], "left").select(
+        *[F.col(k).alias(f"__pl_by_{i}") for i, k in enumerate(keys)], _AT, F.coalesce(_MATCH, _PREV).alias(_MATCH)
     )
 
-    joined = level_a.join(level_b, on=[*keys, _SLICE], how="left")
-    match = F.coalesce(F.col(_MATCH), F.col(_PREV))
-    match_key = match[right_on] + interval(delay) if delay else match[right_on]
-    ok = F.col(_KEY_TS).isNotNull() & match.isNotNull()
-    if not allow_exact:
-        ok = ok & (match_key < F.col(_KEY_TS))
+    # Labels: each left row takes what its instant found. Rows without a key or time match nothing: a turn of their own
+    # spreads them over the tasks, where a null would put them all into one.
+    turn = F.when(_present([*keys, left_on]), F.lit(0)).otherwise(F.monotonically_increasing_id() % _TURNS + 1)
+    same = (F.col(left_on) == F.col(_AT)) & (F.col(_TURN) == F.col("__pl_on"))
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"__pl_by_{i}"))
+    match = F.col(_MATCH)
+    ok = match.isNotNull()
     if tolerance:
-        ok = ok & (match_key >= F.col(_KEY_TS) - interval(tolerance))
+        match_at = match[right_on] + interval(delay) if delay else match[right_on]
+        ok = ok & (match_at >= F.col(left_on) - interval(tolerance))
     if lookback:
-        ok = ok & (match[right_on] >= F.col(_KEY_TS) - interval(lookback))
-    return joined.select(
-        *[F.col(f"{_LROW}.{c}").alias(c) for c in left.columns],
-        *[F.when(ok, match[c]).alias(c) for c in right_cols],
-    )
+        ok = ok & (match[right_on] >= F.col(left_on) - interval(lookback))
+    joined = left.withColumn(_TURN, turn).join(found.withColumn("__pl_on", F.lit(0).cast("long")), same, "left")
+    return joined.select(*left.columns, *[F.when(ok, match[c]).alias(c) for c in right_cols])
 
 
 def asof_coverage(spine: DataFrame, *, right_on: str = FEATURE_TS) -> DataFrame:

@@ -100,42 +100,32 @@ def stratified_split(
     """Exact stratified hold-out; adds ``split`` = 'validation' | 'train'.
 
     Rows of a class are ordered by SHA-256(seed, keys); the first ceil(n * num / den) of
-    them go to validation (none of a class of one row); rows without a label are one class. Skew-safe: rows are bucketed by a 16-bit hash prefix; cumulative
-    bucket counts per class (a table of at most 65,536 rows per class) decide whole
-    buckets, and a window runs only inside the one bucket per class that straddles
-    the cut, i.e. over about 1/65,536 of a class.
+    them go to validation (none of a class of one row); rows without a label are one class.
+
+    Skew-safe, in two phases. Rows are counted by a 16-bit hash prefix; running counts per class (at most 65,536 rows a
+    class) name, for each class, the one bucket that holds the cut and how many of its rows are taken: a table of one row a
+    class. Buckets below it go to validation whole, those above it to training. Only the rows of the cut's bucket, about
+    1/65,536 of a class, are ranked by a window.
     """
     h = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256)
-    hashed = frame.withColumn("__h", h).withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    bucket = F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")
+    hashed = frame.withColumn("__h", h).withColumn("__b", bucket)
     counts = hashed.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
     per_class = Window.partitionBy(label)
-    running = per_class.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = counts.select(
-        label,
-        "__b",
-        F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"),
-        "__n",
-        # A class of one row is for training: a validation class without training rows says nothing.
-        F.when(
-            F.sum("__n").over(per_class) > 1,
-            ((F.sum("__n").over(per_class) * fraction_num + (fraction_den - 1)) / fraction_den).cast("long"),
-        )
-        .otherwise(0)
-        .alias("__k"),
-    )
-    # Rows without a label are a class of their own.
-    cuts = cuts.select(F.col(label).alias("__label"), F.col("__b").alias("__bucket"), "__before", "__n", "__k")
-    same = hashed[label].eqNullSafe(F.col("__label")) & (F.col("__b") == F.col("__bucket"))
-    joined = hashed.join(cuts, same, "inner")
-    straddle = (F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__n") > F.col("__k"))
-    in_bucket = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
-    validation = F.when(F.col("__before") + F.col("__n") <= F.col("__k"), True).when(
-        F.col("__before") >= F.col("__k"), False
-    )
-    marked = joined.withColumn(
-        "__val",
-        F.when(straddle, F.col("__before") + in_bucket <= F.col("__k")).otherwise(validation),
-    )
-    return marked.select(
-        *frame.columns, F.when(F.col("__val"), F.lit("validation")).otherwise(F.lit("train")).alias("split")
+    before = F.coalesce(F.sum("__n").over(per_class.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__n").over(per_class)
+    # A class of one row is for training: a validation class without training rows says nothing.
+    wanted = F.when(total > 1, F.floor((total * fraction_num + (fraction_den - 1)) / fraction_den)).otherwise(0).cast("long")
+    cuts = (
+        counts.select(F.col(label).alias("__label"), "__b", "__n", before.alias("__before"), wanted.alias("__k"))
+        # The first bucket that the cut does not pass: it gives k - before of its rows, fewer than it holds.
+        .where((F.col("__before") <= F.col("__k")) & (F.col("__before") + F.col("__n") > F.col("__k")))
+        .select("__label", F.col("__b").alias("__cut"), (F.col("__k") - F.col("__before")).alias("__take"))
     )
+    placed = hashed.join(cuts, hashed[label].eqNullSafe(F.col("__label")), "left")
+    inside = (F.col("__b") == F.col("__cut")) & (F.col("__take") > 0)
+    nth = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
+    ranked = placed.where(inside).withColumn("__nth", nth).withColumn("__val", F.col("__nth") <= F.col("__take"))
+    whole = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("__val", F.coalesce(F.col("__b") < F.col("__cut"), F.lit(True)))
+    split = F.when(F.col("__val"), F.lit("validation")).otherwise(F.lit("train")).alias("split")
+    return whole.select(*frame.columns, split).unionAll(ranked.select(*frame.columns, split))

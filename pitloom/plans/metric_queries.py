@@ -11,6 +11,7 @@ from pitloom.operators.reconcile import delayed_label_join
 from pitloom.plans.join_queries import training_spine
 from pitloom.plans.quality_queries import candidate_artifacts
 from pitloom.plans.registry import MAPPING_VERSION, MODEL_NAME, fx, register
+from pitloom.session import ensure_checkpoint_dir
 
 SEED = 17
 
@@ -358,4 +359,6 @@ FROM (SELECT a.correlation_id, CAST(CAST(a.actual_quantity AS BIGINT) AS VARCHAR
 )
 def w2_stratified_split(spark, sf_dir):
     spine = training_spine(spark, sf_dir).where(F.col("feature_ts").isNotNull()).select("correlation_id", "quantity_class")
-    return M.stratified_split(spine, "quantity_class", ["correlation_id"], seed=SEED)
+    # The split reads its rows three times (counts, whole buckets, the cut's buckets): the derived spine is written once.
+    ensure_checkpoint_dir(spark)
+    return M.stratified_split(spine.checkpoint(eager=True), "quantity_class", ["correlation_id"], seed=SEED)

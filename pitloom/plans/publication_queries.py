@@ -18,7 +18,7 @@ from pitloom.plans.quality_queries import provenance
 from pitloom.plans.registry import CONTRACT, fx, register
 from pitloom.session import scratch_path
 from pitloom.sources.monitor import monitor_tables
-from pitloom.sources.publish import PredictionTable, stage_rows, upsert
+from pitloom.sources.publish import publish, read_predictions, stage_rows, upsert
 
 # ---------------------------------------------------------------- J4 / U2 / A16
 _MATCHED_SQL = """
@@ -111,11 +111,11 @@ def s13_upsert_predictions(spark, sf_dir):
 def s13_upsert_replay(spark, sf_dir):
     """Publishing the same stage twice equals publishing it once (idempotent replay).
 
-    Runs through the versioned Parquet table: publish the target, the stage, the stage again.
+    Runs through the partitioned Parquet table: publish the target, the stage, the stage again.
     """
     from pitloom.schemas import PREDICTIONS
 
-    table = PredictionTable(spark, scratch_path(spark, "prediction-table"))
+    path = scratch_path(spark, "prediction-table")
     short = ["prediction_id", "source_batch_id", "prediction_class", "actual_quantity", "created_at", "updated_at"]
 
     def widen(frame):
@@ -135,8 +135,8 @@ def s13_upsert_replay(spark, sf_dir):
         return frame.select("*", *fill)
 
     for name in ("fx_target", "fx_stage", "fx_stage"):
-        table.publish(widen(fx(spark, sf_dir, name)))
-    return table.current().select(*short)
+        publish(widen(fx(spark, sf_dir, name)), path)
+    return read_predictions(spark, path).select(*short)
 
 
 @register(

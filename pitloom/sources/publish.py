@@ -6,25 +6,22 @@ stay. With ``scope`` (the batch column) only target rows of the staged batches t
 part in the join; the rest pass through untouched. That is exact when the key is
 derived from the batch, as prediction ids are.
 
-``PredictionTable`` stores immutable data files under
-``data/source_batch_id=<b>/version=<v>/`` and a commit log ``_commits/seq=<n>/``
-holding the full ``(source_batch_id, version)`` map after commit ``n``. A publish
-writes only the staged batches under a fresh version and then appends one commit;
-readers see the newest commit only. A failed or repeated run leaves the visible
-table unchanged or identical.
+``publish`` stages, checks, merges and replaces whole batches by Spark's dynamic
+partition overwrite.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitloom.operators.contracts import prediction_contract_rules
-from pitloom.schemas import PREDICTION_COLUMNS, PREDICTIONS
+from pitloom.schemas import BATCH, PREDICTION_COLUMNS, PREDICTIONS
+from pitloom.session import scratch_path
 
 KEEP = ("prediction_id", "created_at")
 
@@ -90,73 +87,44 @@ def require_valid_predictions(frame: DataFrame) -> DataFrame:
     return upper.toDF(*[c.lower() for c in upper.columns])
 
 
-_COMMIT = T.StructType(
-    [T.StructField("source_batch_id", T.StringType()), T.StructField("version", T.StringType())]
-)
-_DATA = T.StructType([f for f in PREDICTIONS.fields if f.name != "SOURCE_BATCH_ID"])
-
-
-class PredictionTable:
-    """Versioned, batch-partitioned Parquet table of published predictions."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.data = f"{self.root}/data"
-        self.commits = f"{self.root}/_commits"
-
-    def _commit_log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(T.StructType([*_COMMIT.fields, T.StructField("seq", T.LongType())])).json(
-                self.commits
-            )
-        except Exception:  # no commit yet
-            return None
-
-    def head(self) -> tuple[int, DataFrame]:
-        """Latest commit number and its (batch, version) map."""
-        log = self._commit_log()
-        if log is None:
-            return 0, self.spark.createDataFrame([], _COMMIT)
-        seq = log.agg(F.max("seq")).first()[0]
-        if seq is None:
-            return 0, self.spark.createDataFrame([], _COMMIT)
-        return int(seq), log.where(F.col("seq") == seq).select("source_batch_id", "version")
-
-    def current(self) -> DataFrame:
-        """The visible table: data files of the committed version of every batch."""
-        seq, head = self.head()
-        lower = PREDICTIONS.fieldNames()
-        if seq == 0:
-            return self.spark.createDataFrame([], PREDICTIONS).toDF(*[c.lower() for c in lower])
-        data = self.spark.read.schema(
-            T.StructType([T.StructField(f.name.lower(), f.dataType, True) for f in _DATA.fields])
-            .add("source_batch_id", T.StringType())
-            .add("version", T.StringType())
-        ).parquet(self.data)
-        # The commit map has one row per batch; the join on the partition columns prunes files.
-        visible = data.join(head, ["source_batch_id", "version"], "left_semi")
-        return visible.select(*[c.lower() for c in PREDICTION_COLUMNS])
-
-    def publish(self, frame: DataFrame, *, preserve: Sequence[str] = ()) -> dict:
-        """Validate, stage with a completeness check, merge the staged batches, commit."""
-        valid = require_valid_predictions(frame)
-        run = uuid.uuid4().hex[:12]
-        staging = f"{self.root}/_staging/{run}"
-        written, loaded = stage_rows(valid, staging)
-        if written != loaded:
-            raise RuntimeError(f"staging load incomplete: expected {written}, loaded {loaded}")
-        staged = self.spark.read.parquet(staging)
-        seq, head = self.head()
-        batches = staged.select("source_batch_id").distinct()
-        before = self.current().join(batches, "source_batch_id", "left_semi")
-        touched = upsert(before, staged, preserve=preserve)
-        version = f"{seq + 1:08d}-{run}"
-        touched.withColumn("version", F.lit(version)).write.mode("append").partitionBy(
-            "source_batch_id", "version"
-        ).parquet(self.data)
-        new_head = head.join(batches, "source_batch_id", "left_anti").unionByName(
-            batches.withColumn("version", F.lit(version))
-        )
-        new_head.coalesce(1).write.mode("errorifexists").json(f"{self.commits}/seq={seq + 1}")
-        return {"status": "PUBLISHED", "published_rows": loaded, "version": version, "commit": seq + 1}
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The published table by its declared schema; a table that is not there yet is empty, any other failure is one."""
+    fields = [T.StructField(f.name.lower(), f.dataType, True) for f in PREDICTIONS.fields]
+    batch = next(f for f in fields if f.name == BATCH)
+    schema = T.StructType([f for f in fields if f.name != BATCH] + [batch])  # the partition column comes last
+    columns = [c.lower() for c in PREDICTION_COLUMNS]
+    try:
+        return spark.read.schema(schema).parquet(path).select(*columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).select(*columns)
+
+
+def publish(frame: DataFrame, path: str, *, preserve: Sequence[str] = ()) -> dict:
+    """S12 + S13: validate, stage with a completeness check, merge, and replace the staged batches in the table at ``path``.
+
+    The table is plain Parquet partitioned by batch, and each staged batch is replaced as a whole by Spark's dynamic
+    partition overwrite: other batches are neither read nor written, and a replay writes the same rows again. The merged rows
+    are written to the shared folder first, so that nothing is overwritten while it is read, and a run that fails on the way
+    leaves the table as it was or, stopped between two batches of one publication, with the first of them replaced; running
+    it again completes it. (With a catalog whose tables know MERGE INTO, the same statement is one transaction.)
+    """
+    spark = frame.sparkSession
+    valid = require_valid_predictions(frame)
+    staging = scratch_path(spark, "staging")
+    written, loaded = stage_rows(valid, staging)
+    if written != loaded:
+        raise RuntimeError(f"only {loaded} of {written} staged predictions can be read back")
+    staged = spark.read.schema(valid.schema).parquet(staging)
+    batches = staged.select(BATCH).distinct()
+    unnamed = batches.where(F.trim(BATCH) == "").limit(1).count()
+    if unnamed:
+        raise ValueError("a prediction batch needs a name: it is a folder of the table")
+    before = read_predictions(spark, path).join(batches, BATCH, "left_semi")
+    merged_path = scratch_path(spark, "merged")
+    upsert(before, staged, preserve=preserve).write.parquet(merged_path)
+    merged = spark.read.schema(staged.schema).parquet(merged_path)
+    # Rebalancing gathers a batch's rows into few files, and splits a large batch over tasks.
+    merged.hint("rebalance", BATCH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+    return {"status": "PUBLISHED", "published_rows": loaded}

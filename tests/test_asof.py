@@ -133,3 +133,39 @@ def test_slices_do_not_depend_on_the_session_zone(spark):
         assert _run(spark, l, r, tolerance="3 days", slice_width="1 hour") == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_a_hot_instant_is_one_row_of_its_window(spark):
+    """One key, one instant, 3,000 rows on both sides, bound 100: no window group above the bound, results exact."""
+    from pitloom.operators import asof as A
+
+    at = BASE + dt.timedelta(hours=1)
+    l = [("hot", at, i) for i in range(3000)] + [("hot", at + dt.timedelta(seconds=1), 3000)]
+    r = [("hot", at, float(i)) for i in range(3000)]
+    got = _run(spark, l, r, max_slice_rows=100)
+    assert set(got.values()) == {(at, 2999.0)} and len(got) == 3001
+    left, right = spark.createDataFrame(l, L_SCHEMA), spark.createDataFrame(r, R_SCHEMA)
+    row = A.F.struct("feature_ts", "v")
+    instants = A._instants(left, right, ["entity_id"], "event_ts", A.F.col("feature_ts"), row, right.select(row.alias("r")).schema["r"].dataType)
+    sizes = A._sliced(instants, ["entity_id"], interval_micros("1 day"), True, 100).groupBy("entity_id", A._SLICE).count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 100 and instants.count() == 2
+
+
+def test_many_instants_stay_below_the_bound(spark):
+    from pitloom.operators import asof as A
+
+    l = [("hot", BASE + dt.timedelta(seconds=7 * i), i) for i in range(4000)]
+    r = [("hot", BASE + dt.timedelta(seconds=14 * i), float(i)) for i in range(2000)]
+    got = _run(spark, l, r, max_slice_rows=100)
+    assert got == {i: (BASE + dt.timedelta(seconds=14 * (i // 2)), float(i // 2)) for i in range(4000)}
+    left, right = spark.createDataFrame(l, L_SCHEMA), spark.createDataFrame(r, R_SCHEMA)
+    row = A.F.struct("feature_ts", "v")
+    instants = A._instants(left, right, ["entity_id"], "event_ts", A.F.col("feature_ts"), row, right.select(row.alias("r")).schema["r"].dataType)
+    sizes = A._sliced(instants, ["entity_id"], interval_micros("1 day"), True, 100).groupBy("entity_id", A._SLICE).count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 100
+
+
+def test_empty_sides(spark):
+    l, r = _frames(11)
+    assert set(_run(spark, l, []).values()) == {None}
+    assert _run(spark, [], r) == {}

@@ -78,3 +78,21 @@ def test_label_in_scoring_source_blocks(spark):
     )
     rows = run_lifecycle(spark, pops, cfg).orderBy("stage_no").collect()
     assert (rows[1]["status"], rows[1]["reason"]) == ("BLOCK", "scoring:label_leak:actual_class")
+
+
+def test_two_runs_publish_into_one_table(spark):
+    import tempfile
+
+    from pitloom.sources.publish import read_predictions
+
+    table = tempfile.mkdtemp(prefix="pitloom-table-") + "/predictions"
+    cfg = LifecycleConfig(
+        batch_id="b1", cutoff="2030-01-01T00:00:00Z", scoring_cutoff="2030-01-01 00:00:00", contract=QuantityContract("quantity-v1", 0, 5),
+        num_trees=5, max_depth=4, rules=(MetricRule("macro_f1", "maximize", 0.5, 0.0),), table=table, replays=1,
+    )
+    seen = []
+    for _ in range(2):
+        ev = {r["stage"]: r for r in run_lifecycle(spark, _separable(spark), cfg).collect()}
+        assert ev["publish"]["rows"] == 400
+        seen.append(sorted(read_predictions(spark, table).collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 400

@@ -1,4 +1,4 @@
-"""Upsert semantics, the versioned prediction table, replay and staging completeness."""
+"""Upsert semantics, the partitioned prediction table, replay and staging completeness."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from pitloom.sources.publish import PredictionTable, stage_rows, upsert
+from pitloom.sources.publish import publish, read_predictions, stage_rows, upsert
 
 T1, T2 = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1)
 DDL = "prediction_id string, source_batch_id string, prediction_class string, actual_quantity double, created_at timestamp_ntz, updated_at timestamp_ntz"
@@ -49,23 +49,46 @@ def _frame(spark, n, cls, batch="b1"):
     return spark.createDataFrame(rows, schema)
 
 
-def test_table_publish_replay_is_idempotent(spark):
-    table = PredictionTable(spark, tempfile.mkdtemp(prefix="pitloom-table-"))
-    table.publish(_frame(spark, 10, "1"))
-    first = sorted(table.current().collect())
-    table.publish(_frame(spark, 10, "1"))
-    assert sorted(table.current().collect()) == first
-    table.publish(_frame(spark, 5, "2", batch="b2"))
-    cur = table.current()
-    assert cur.count() == 15
-    assert cur.where("source_batch_id = 'b1'").count() == 10
+def test_publish_replaces_only_the_staged_batches(spark):
+    path = tempfile.mkdtemp(prefix="pitloom-table-") + "/t"
+    assert read_predictions(spark, path).count() == 0
+    publish(_frame(spark, 10, "1"), path)
+    first = sorted(read_predictions(spark, path).collect())
+    publish(_frame(spark, 10, "1"), path)
+    assert sorted(read_predictions(spark, path).collect()) == first
+    publish(_frame(spark, 5, "2", batch="007"), path)
+    now = read_predictions(spark, path)
+    assert now.count() == 15 and sorted(now.where("source_batch_id = 'b1'").collect()) == first
+    assert {r.source_batch_id for r in now.collect()} == {"b1", "007"}  # a batch id is text
+
+
+def test_republishing_part_of_a_batch_keeps_the_rest_and_the_first_stamp(spark):
+    path = tempfile.mkdtemp(prefix="pitloom-table-") + "/t"
+    publish(_frame(spark, 6, "1"), path)
+    later = _frame(spark, 3, "9").withColumn("created_at", F.lit(T2)).withColumn("updated_at", F.lit(T2))
+    publish(later, path)
+    got = {r.prediction_id: r for r in read_predictions(spark, path).collect()}
+    assert len(got) == 6 and {r.created_at for r in got.values()} == {T1}
+    assert [got[f"p{i}"].prediction_class for i in range(6)] == ["9"] * 3 + ["1"] * 3
+    assert [got[f"p{i}"].updated_at for i in (0, 5)] == [T2, T1]
 
 
 def test_invalid_frame_refused_before_staging(spark):
-    table = PredictionTable(spark, tempfile.mkdtemp(prefix="pitloom-table-"))
+    path = tempfile.mkdtemp(prefix="pitloom-table-") + "/t"
     bad = _frame(spark, 3, "1").withColumn("prediction_id", F.lit("same"))
     with pytest.raises(ValueError, match="duplicate_prediction_id"):
-        table.publish(bad)
+        publish(bad, path)
+    with pytest.raises(ValueError, match="needs a name"):
+        publish(_frame(spark, 3, "1", batch=" "), path)
+    assert read_predictions(spark, path).count() == 0
+
+
+def test_only_a_missing_table_is_empty(spark):
+    path = tempfile.mkdtemp(prefix="pitloom-table-")
+    with open(f"{path}/part-0.parquet", "w") as file:
+        file.write("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        read_predictions(spark, path).count()
 
 
 def test_staging_counts(spark):
