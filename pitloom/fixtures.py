@@ -100,28 +100,40 @@ SELECT event_id, event_ts,
     WHEN CAST(event_id AS BIGINT) % 79 = 0 THEN '{"id":"' || event_id || '","eventType":"' || event_type || '","data":{"runStatus":"' || run_status || '"}}'
     WHEN CAST(event_id AS BIGINT) % 73 = 0 THEN '{"id":' || event_id || ',"eventType":"' || event_type || '","data":{}}'
     ELSE '{"id":"' || event_id || '","' || CASE WHEN CAST(event_id AS BIGINT) % 2 = 0 THEN 'eventType' ELSE 'EventType' END
-         || '":"' || event_type || '","subject":"runs/' || run_id || '","data":{"'
+         || '":"' || event_type
+         || CASE WHEN CAST(event_id AS BIGINT) % 71 = 0 THEN '' WHEN CAST(event_id AS BIGINT) % 67 = 0 THEN '","eventTime":"yesterday'
+                 WHEN CAST(event_id AS BIGINT) % 5 = 0 THEN '","eventTime":"' || CAST(event_ts + INTERVAL 2 HOUR AS STRING) || '+02:00'
+                 ELSE '","eventTime":"' || CAST(event_ts AS STRING) || 'Z' END
+         || '","subject":"runs/' || run_id || '","data":{"'
          || CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN 'RunId' ELSE 'runId' END || '":"' || run_id
          || '","runStatus":"' || run_status || '","runTags":{"azureml_modelmonitor_threshold_breached":"' || breach_tag || '"}}}'
   END AS body
 FROM {fx_run_events}""",
-    # Deliveries of the event bus (at least once): every event once within minutes, a
-    # quarter once more up to 39 hours later (past the 24-hour lifetime when late).
+    # Deliveries of the event bus (at least once), as raw text: every event once within minutes, a quarter once more up to
+    # 39 hours later (past the 24-hour lifetime when late), some in a thirteenth attempt.
     "fx_deliveries": """
-SELECT event_id, event_ts, event_type, run_id, run_status, breach_tag,
-       event_ts + INTERVAL 1 MINUTE * (CAST(event_id AS BIGINT) % 7) AS delivered_ts, 1 AS attempt
-FROM {fx_run_events}
+SELECT event_id, body, event_ts + INTERVAL 1 MINUTE * CAST(CAST(event_id AS BIGINT) % 7 AS INT) AS delivered_ts, 1 AS attempt FROM {fx_raw_events}
 UNION ALL
-SELECT event_id, event_ts, event_type, run_id, run_status, breach_tag,
-       event_ts + INTERVAL 1 HOUR * (CAST(event_id AS BIGINT) % 40) AS delivered_ts, 2 AS attempt
-FROM {fx_run_events} WHERE CAST(event_id AS BIGINT) % 4 = 0""",
+SELECT event_id, body, event_ts + INTERVAL 1 HOUR * CAST(CAST(event_id AS BIGINT) % 40 AS INT) AS delivered_ts, 2 AS attempt
+FROM {fx_raw_events} WHERE CAST(event_id AS BIGINT) % 4 = 0
+UNION ALL
+SELECT event_id, body, event_ts + INTERVAL 23 HOUR AS delivered_ts, 13 AS attempt
+FROM {fx_raw_events} WHERE CAST(event_id AS BIGINT) % 53 = 0""",
     "fx_job_status": """
 SELECT DISTINCT CAST(user_id AS STRING) AS run_id,
        CASE user_id % 3 WHEN 0 THEN 'Failed' WHEN 1 THEN 'Completed' ELSE 'FAILED' END AS status
 FROM {events}""",
     "fx_drift": """
 SELECT CASE WHEN o_orderdate < CAST('1999-01-01 00:00:00' AS {TS}) THEN 'reference' ELSE 'current' END AS side,
-       o_totalprice AS signal_a, o_orderpriority AS prediction_class
+       o_totalprice AS signal_a, CAST(o_custkey % 97 AS DOUBLE) AS signal_b, o_orderpriority AS prediction_class,
+       CAST(o_orderkey AS BIGINT) AS row_id
+FROM {orders}""",
+    # Scored rows of a model in use: a third of the labels is not known yet, some predictions miss.
+    "fx_monitor": """
+SELECT o_orderdate + INTERVAL 1 HOUR * CAST(o_orderkey % 24 AS INT) AS scored_ts, o_totalprice AS signal_a,
+       CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE CAST(o_custkey % 97 AS DOUBLE) END AS signal_b,
+       o_orderpriority AS prediction_class,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'other' ELSE o_orderpriority END AS actual_class
 FROM {orders}""",
     "fx_scored": """
 SELECT CAST(doc_id AS STRING) AS correlation_id, CAST(n_chars % 2 AS STRING) AS prediction_class,

@@ -14,6 +14,7 @@ the statistic and the threshold. Our definitions (parameters, not hidden choices
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import log, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def binned_shares(frame: DataFrame, side: str, features: Sequence[str], bins: in
     return counts.select("feature", "bin", "side", (F.col("n") / total).alias("share"))
 
 
-def _xlog2(p: Column, m: Column) -> Column:
+def xlog2(p: Column, m: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
 
@@ -61,7 +62,7 @@ def js_distance(
     )
     m = (F.col("p") + F.col("q")) / 2
     return per_bin.groupBy("feature").agg(
-        F.sqrt(F.greatest(F.sum(0.5 * _xlog2(F.col("p"), m) + 0.5 * _xlog2(F.col("q"), m)), F.lit(0.0))).alias(
+        F.sqrt(F.greatest(F.sum(0.5 * xlog2(F.col("p"), m) + 0.5 * xlog2(F.col("q"), m)), F.lit(0.0))).alias(
             "js_distance"
         )
     )
@@ -91,53 +92,54 @@ def chi_squared(frame: DataFrame, side: str, cls: str) -> DataFrame:
     )
 
 
-def chi2_survival_even(stat: Column, df: Column) -> Column:
-    """Upper tail of chi-squared for even df: exp(-x/2) * sum_{i<df/2} (x/2)^i / i!.
+_SERIES, _FRACTION = 60, 100  # terms of the series and depth of the fraction: both below 1e-12
 
-    Each term is taken as exp(i ln(x/2) - ln i! - x/2), so no factor leaves the range of a double, however
-    large x and df are. Null for odd df (use ``chi2_p_value_ml`` there).
-    """
-    half = stat / 2
-    log_half = F.log(F.greatest(half, F.lit(1e-300)))
-    terms = F.aggregate(
-        F.sequence(F.lit(1), F.greatest((df / 2).cast("int") - 1, F.lit(1))),
-        F.struct(F.lit(0.0).alias("log_term"), F.exp(-half).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["log_term"] + log_half - F.log(i.cast("double"))).alias("log_term"),
-            (acc["total"] + F.exp(acc["log_term"] + log_half - F.log(i.cast("double")) - half)).alias("total"),
+
+def _erfc_of_root(y: Column) -> Column:
+    """erfc(sqrt(y)), the upper incomplete gamma Q(1/2, y): a series up to 2, a continued fraction beyond."""
+    term = F.aggregate(
+        F.sequence(F.lit(1), F.lit(_SERIES)),
+        F.struct(F.lit(2.0).alias("term"), F.lit(2.0).alias("total")),
+        lambda acc, n: F.struct(
+            (acc["term"] * y / (n + 0.5)).alias("term"), (acc["total"] + acc["term"] * y / (n + 0.5)).alias("total")
         ),
         lambda acc: acc["total"],
     )
-    total = F.when(df == 2, F.exp(-half)).otherwise(terms)
-    return F.when((df > 0) & (df % 2 == 0), F.least(total, F.lit(1.0)))
+    below = F.aggregate(
+        F.sequence(F.lit(_FRACTION), F.lit(1)), F.lit(0.0), lambda f, i: i * (i - 0.5) / (y + 2 * i + 0.5 - f)
+    )
+    scale = F.exp(-y) * F.sqrt(y) / F.sqrt(F.lit(pi))
+    return F.when(y < 2, 1 - scale * term).otherwise(scale / (y + 0.5 - below))
 
 
-def chi2_p_value_ml(frame: DataFrame, side: str, cls: str) -> DataFrame:
-    """A9 p-value by Spark ML's ``ChiSquareTest`` (any df)."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.stat import ChiSquareTest
+def chi2_survival(stat: Column, df: Column) -> Column:
+    """Upper tail of chi-squared, the regularised incomplete gamma Q(df/2, x/2), for any whole df; null below 1.
 
-    idx = StringIndexer(inputCols=[side, cls], outputCols=["__side_i", "__cls_i"]).fit(frame).transform(frame)
-    vec = VectorAssembler(inputCols=["__cls_i"], outputCol="__features").transform(idx)
-    res = ChiSquareTest.test(vec, "__features", "__side_i", flatten=True)
-    return res.select(
-        F.col("pValue").alias("p_value"), F.col("statistic").alias("statistic"), F.col("degreesOfFreedom").cast("long").alias("df")
+    Q(a + 1, y) = Q(a, y) + y^a e^-y / Gamma(a + 1), from Q(1, y) = e^-y for even df and Q(1/2, y) for odd. Each term is taken
+    as an exponential of logs, so no factor leaves the range of a double, however large x and df are.
+    """
+    y = stat.cast("double") / 2
+    log_y = F.log(F.greatest(y, F.lit(1e-300)))
+    odd = df % 2 == 1
+    start = F.when(odd, 0.5).otherwise(1.0)
+    first = F.when(odd, 0.5 * log_y - y - F.lit(log(sqrt(pi) / 2))).otherwise(log_y - y)
+    steps = F.floor((df - 1) / 2).cast("int")
+    more = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
+        F.struct(first.alias("log_term"), F.lit(0.0).alias("total")),
+        lambda acc, j: F.struct(
+            (acc["log_term"] + log_y - F.log(start + j)).alias("log_term"), (acc["total"] + F.exp(acc["log_term"])).alias("total")
+        ),
+        lambda acc: acc["total"],
     )
+    whole = F.when(odd, _erfc_of_root(y)).otherwise(F.exp(-y)) + F.when(steps > 0, more).otherwise(0.0)
+    return F.when(df > 0, F.greatest(F.least(whole, F.lit(1.0)), F.lit(0.0)))
 
 
 def chi_squared_p_value(frame: DataFrame, side: str, cls: str) -> DataFrame:
-    """(statistic, df, p_value). Closed form for even df; Spark ML's test for odd df.
-
-    Deciding between the two reads one scalar (df) of the one-row statistic table.
-    """
+    """(statistic, df, p_value)."""
     chi = chi_squared(frame, side, cls)
-    df_value = chi.select("df").first()[0]
-    if df_value and df_value % 2 == 1:
-        ml = chi2_p_value_ml(frame, side, cls)
-        return chi.unionByName(ml.select("p_value"), allowMissingColumns=True).agg(
-            F.max("statistic").alias("statistic"), F.max("df").alias("df"), F.max("p_value").alias("p_value")
-        )
-    return chi.withColumn("p_value", chi2_survival_even(F.col("statistic"), F.col("df")))
+    return chi.withColumn("p_value", chi2_survival(F.col("statistic"), F.col("df")))
 
 
 def signal_rows(signals: Mapping[str, DataFrame]) -> DataFrame:

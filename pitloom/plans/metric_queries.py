@@ -8,6 +8,7 @@ from pitloom.operators import drift as D
 from pitloom.operators import gate as G
 from pitloom.operators import metrics as M
 from pitloom.operators.reconcile import delayed_label_join
+from pitloom.plans import sqltext as Q
 from pitloom.plans.join_queries import training_spine
 from pitloom.plans.quality_queries import candidate_artifacts
 from pitloom.plans.registry import MAPPING_VERSION, MODEL_NAME, fx, register
@@ -124,10 +125,12 @@ _JS_SQL = """
  FROM (SELECT feature, bin, SUM(CASE WHEN side = 'reference' THEN share ELSE 0 END) AS p,
               SUM(CASE WHEN side = 'current' THEN share ELSE 0 END) AS q
        FROM (SELECT feature, side, bin, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY feature, side) AS share
-             FROM (SELECT 'signal_a' AS feature, side,
-                          CASE WHEN hi = lo THEN 0 ELSE CAST(LEAST(FLOOR((signal_a - lo) / (hi - lo) * 10), 9) AS INTEGER) END AS bin
-                   FROM fx_drift, (SELECT MIN(signal_a) AS lo, MAX(signal_a) AS hi FROM fx_drift) e
-                   WHERE signal_a IS NOT NULL AND NOT isnan(signal_a)) b
+             FROM (SELECT feature, side,
+                          CASE WHEN hi = lo THEN 0 ELSE CAST(LEAST(FLOOR((value - lo) / (hi - lo) * 10), 9) AS INTEGER) END AS bin
+                   FROM (SELECT *, MIN(value) OVER (PARTITION BY feature) AS lo, MAX(value) OVER (PARTITION BY feature) AS hi
+                         FROM (SELECT side, 'signal_a' AS feature, signal_a AS value FROM fx_drift
+                               UNION ALL SELECT side, 'signal_b', signal_b FROM fx_drift) v
+                         WHERE value IS NOT NULL AND NOT isnan(value)) e) b
              GROUP BY feature, side, bin) s
        GROUP BY feature, bin) pq
  GROUP BY feature) js"""
@@ -136,7 +139,7 @@ _JS_SQL = """
 @register("a8_js_distance", f"SELECT feature, ROUND(js_distance, 9) AS js_distance FROM {_JS_SQL}")
 def a8_js_distance(spark, sf_dir):
     d = fx(spark, sf_dir, "fx_drift")
-    return D.js_distance(d, "side", ["signal_a"]).withColumn("js_distance", F.round("js_distance", 9))
+    return D.js_distance(d, "side", ["signal_a", "signal_b"]).withColumn("js_distance", F.round("js_distance", 9))
 
 
 _CHI_SQL = """
@@ -157,17 +160,38 @@ def a9_chi_squared(spark, sf_dir):
 
 @register(
     "a9_chi_squared_p",
-    f"""
-SELECT ROUND(CASE WHEN df = 4 THEN exp(-statistic / 2) * (1 + statistic / 2) END, 9) AS p_value,
-       ROUND(statistic, 6) AS statistic, df
-FROM {_CHI_SQL}""",
+    f"SELECT ROUND({Q.chi2_survival('statistic', 'df')}, 9) AS p_value, ROUND(statistic, 6) AS statistic, df FROM {_CHI_SQL}",
 )
 def a9_chi_squared_p(spark, sf_dir):
-    """p-value by Spark ML's ChiSquareTest (any df); the oracle uses the closed form for df 4."""
-    r = D.chi2_p_value_ml(fx(spark, sf_dir, "fx_drift"), "side", "prediction_class")
+    r = D.chi_squared_p_value(fx(spark, sf_dir, "fx_drift"), "side", "prediction_class")
     return r.select(F.round("p_value", 9).alias("p_value"), F.round("statistic", 6).alias("statistic"), "df")
 
 
+#: Classes of the drift table with 1, 3, 4 and 7 degrees of freedom.
+_BY_DF = {"parity": "CAST(row_id % 2 AS STRING)", "quarter": "CAST(row_id % 4 AS STRING)", "priority": "prediction_class", "octave": "CAST(row_id % 8 AS STRING)"}
+
+
+def _any_df_sql() -> str:
+    parts = []
+    for subject, cls in _BY_DF.items():
+        chi = _CHI_SQL.replace("FROM fx_drift", f"FROM (SELECT side, {cls.replace('STRING', 'VARCHAR')} AS prediction_class FROM fx_drift) d")
+        parts.append(f"SELECT '{subject}' AS subject, ROUND(statistic, 6) AS statistic, df, ROUND({Q.chi2_survival('statistic', 'df')}, 9) AS p_value FROM {chi}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("a9_chi_squared_p_any_df", _any_df_sql())
+def a9_chi_squared_p_any_df(spark, sf_dir):
+    """The p-value for odd and even degrees of freedom, in the one-row table of each statistic."""
+    out = None
+    for subject, cls in _BY_DF.items():
+        d = fx(spark, sf_dir, "fx_drift").select("side", F.expr(cls).alias("cls"))
+        r = D.chi_squared_p_value(d, "side", "cls").select(
+            F.lit(subject).alias("subject"), F.round("statistic", 6).alias("statistic"), "df", F.round("p_value", 9).alias("p_value")
+        )
+        out = r if out is None else out.unionAll(r)
+    return out
+
+
 @register(
     "a10_delayed_accuracy",
     f"""
@@ -191,7 +215,7 @@ def a10_delayed_accuracy(spark, sf_dir):
 
 def monitor_signals(spark, sf_dir):
     d = fx(spark, sf_dir, "fx_drift")
-    js = D.js_distance(d, "side", ["signal_a"]).select(
+    js = D.js_distance(d, "side", ["signal_a", "signal_b"]).select(
         F.lit("jensen_shannon_distance").alias("signal"), F.col("feature").alias("subject"), F.col("js_distance").alias("value")
     )
     tv = M.total_variation(d, "side", "prediction_class").select(
@@ -222,7 +246,7 @@ FROM (
            SUM(CASE WHEN side = 'current' THEN share ELSE 0 END) AS q FROM {_SHARES_SQL} GROUP BY prediction_class) t
   UNION ALL
   SELECT 'chi_squared_p_value', 'prediction_class',
-         CASE WHEN df = 4 THEN exp(-statistic / 2) * (1 + statistic / 2) END, {D.P_VALUE_THRESHOLD} FROM {_CHI_SQL}
+         {Q.chi2_survival('statistic', 'df')}, {D.P_VALUE_THRESHOLD} FROM {_CHI_SQL}
   UNION ALL
   SELECT 'delayed_accuracy', 'prediction_class', AVG(CASE WHEN prediction_class = actual_class THEN 1.0 ELSE 0.0 END), {D.ACCURACY_THRESHOLD} FROM {_JOINED}
 ) s""",

@@ -72,3 +72,18 @@ def digest_select(source: str, cols: Sequence[tuple[str, str]], schema: str) ->
 SELECT CAST(rows AS BIGINT) AS rows, {lit(schema)} AS schema,
        sha256(concat_ws('|', {lit(schema)}, CAST(rows AS VARCHAR), {folded})) AS snapshot_sha256
 FROM (SELECT COUNT(*) AS rows, {words} FROM (SELECT {row_hash(cols)} AS h FROM {source}) hashed) sums"""
+
+
+def chi2_survival(stat: str, df: str) -> str:
+    """Upper tail of chi-squared by the gamma functions of the engine: a series or a fraction for odd df, then the terms."""
+    y = f"({stat} / 2)"
+    series = f"list_sum(list_transform(range(0, 60), lambda n: exp(n * ln({y}) + lgamma(0.5::DOUBLE) - lgamma(n + 1.5::DOUBLE))))"
+    fraction = (
+        "list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(100, 0, -1), lambda i: i::DOUBLE)), "
+        f"lambda f, i: i * (i - 0.5) / ({y} + 2 * i + 0.5 - f))"
+    )
+    scale = f"(exp(-{y}) * sqrt({y}) / sqrt(pi()))"
+    half = f"CASE WHEN {y} < 2 THEN 1 - {scale} * {series} ELSE {scale} / ({y} + 0.5 - {fraction}) END"
+    start = f"(CASE WHEN {df} % 2 = 1 THEN 0.5 ELSE 1.0 END)::DOUBLE"
+    terms = f"coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda j: exp(({start} + j) * ln({y}) - {y} - lgamma({start} + j + 1)))), 0)"
+    return f"(CASE WHEN {df} % 2 = 1 THEN {half} ELSE exp(-{y}) END + {terms})"

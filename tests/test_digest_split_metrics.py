@@ -64,12 +64,36 @@ def test_total_variation_and_js(spark):
     assert math.isclose(js, math.sqrt(0.5 * kl(p, m) + 0.5 * kl(q, m)))
 
 
-def test_chi_squared_p_value_even_df(spark):
-    rows = [("r", c) for c in "aabbcc"] + [("c", c) for c in "aaabbc"]
+def _by_ml(df):
+    """Spark ML's test of the same table."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+
+    idx = StringIndexer(inputCols=["side", "cls"], outputCols=["s", "c"]).fit(df).transform(df)
+    vec = VectorAssembler(inputCols=["c"], outputCol="v").transform(idx)
+    return ChiSquareTest.test(vec, "v", "s", flatten=True).first()
+
+
+@pytest.mark.parametrize("classes", [2, 3, 4, 6, 8, 9])
+def test_chi_squared_p_value_equals_ml(spark, classes):
+    rows = [("r" if (i * 7) % 13 < 6 else "c", f"k{(i * i) % 101 % classes}") for i in range(400)]
     df = spark.createDataFrame(rows, "side string, cls string")
-    chi = D.chi_squared(df, "side", "cls").select("statistic", "df", D.chi2_survival_even(F.col("statistic"), F.col("df")).alias("p")).first()
-    ml = D.chi2_p_value_ml(df, "side", "cls").first()
-    assert chi["df"] == 2 and math.isclose(chi["statistic"], ml["statistic"]) and math.isclose(chi["p"], ml["p_value"])
+    r, ml = D.chi_squared_p_value(df, "side", "cls").first(), _by_ml(df)
+    assert r["df"] == classes - 1 and math.isclose(r["statistic"], ml["statistic"])
+    assert math.isclose(r["p_value"], ml["pValue"], rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_chi_squared_tail_of_any_df(spark):
+    # Closed forms: erfc for df 1, and the recurrence from it for df 3 and 5.
+    for x in (0.0, 1e-9, 0.3, 1.0, 3.84, 3.99, 4.01, 10.0, 60.0, 700.0):
+        y = x / 2
+        one = math.erfc(math.sqrt(y))
+        three = one + 2 * math.sqrt(y / math.pi) * math.exp(-y)
+        five = three + 4 / 3 * y * math.sqrt(y / math.pi) * math.exp(-y)
+        got = spark.range(1).select(*[D.chi2_survival(F.lit(x), F.lit(d)).alias(f"p{d}") for d in (0, 1, 3, 5)]).first()
+        assert got.p0 is None
+        for have, want in zip(got[1:], (one, three, five), strict=True):
+            assert math.isclose(have, want, rel_tol=1e-9, abs_tol=1e-14), (x, have, want)
 
 
 def test_log_loss_clips(spark):
@@ -89,14 +113,6 @@ def test_row_hash_accepts_extreme_doubles(spark):
     assert snapshot_digest(df).first()["rows"] == 5
 
 
-def test_chi_squared_p_value_odd_df_uses_ml(spark):
-    rows = [("r", "a")] * 30 + [("r", "b")] * 10 + [("c", "a")] * 15 + [("c", "b")] * 25
-    df = spark.createDataFrame(rows, "side string, cls string")
-    r = D.chi_squared_p_value(df, "side", "cls").first()
-    ml = D.chi2_p_value_ml(df, "side", "cls").first()
-    assert r["df"] == 1 and math.isclose(r["p_value"], ml["p_value"])
-
-
 def test_hash_split_is_map_only_and_close(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("key"))
     out = M.hash_split(df, ["key"], seed=17)
