@@ -141,15 +141,22 @@ SELECT CAST(doc_id AS STRING) AS correlation_id, CAST(n_chars % 2 AS STRING) AS
 FROM {documents}""",
     "fx_truth": """
 SELECT CAST(doc_id AS STRING) AS correlation_id, CAST(quality AS STRING) AS actual_class FROM {labels}""",
+    # One candidate a customer, in fifty segments; some lack a metric.
     "fx_candidate_metrics": """
-SELECT n_name AS model_version, n_regionkey AS segment, 'macro_f1' AS metric,
-       CAST(0.60 + 0.01 * n_nationkey AS DOUBLE) AS value FROM {nation}
+SELECT CONCAT('candidate-', CAST(o_custkey AS STRING)) AS model_version, CAST(o_custkey % 50 AS INT) AS segment, 'macro_f1' AS metric,
+       CAST(0.55 + 0.01 * (COUNT(*) % 40) AS DOUBLE) AS value FROM {orders} GROUP BY o_custkey
 UNION ALL
-SELECT n_name, n_regionkey, 'log_loss', CAST(1.00 - 0.02 * n_nationkey AS DOUBLE) FROM {nation} WHERE n_nationkey % 7 <> 0""",
+SELECT CONCAT('candidate-', CAST(o_custkey AS STRING)), CAST(o_custkey % 50 AS INT), 'log_loss',
+       CAST(1.00 - 0.01 * (COUNT(*) % 35) AS DOUBLE) FROM {orders} WHERE o_custkey % 7 <> 0 GROUP BY o_custkey""",
+    # What serves each segment: the last ten have no champion, one champion has an old mapping, four were never measured.
+    "fx_champions": """
+SELECT DISTINCT CAST(o_custkey % 50 AS INT) AS segment, CONCAT('champion-', CAST(o_custkey % 50 AS STRING)) AS champion_version,
+       CASE WHEN o_custkey % 50 = 17 THEN 'quantity-v0' ELSE 'quantity-v1' END AS champion_mapping
+FROM {orders} WHERE o_custkey % 50 < 40""",
     "fx_champion_metrics": """
-SELECT r_regionkey AS segment, 'macro_f1' AS metric, CAST(0.65 + 0.02 * r_regionkey AS DOUBLE) AS value FROM {region} WHERE r_regionkey < 4
+SELECT segment, 'macro_f1' AS metric, CAST(0.60 + 0.004 * segment AS DOUBLE) AS value FROM {fx_champions} WHERE segment % 9 <> 4
 UNION ALL
-SELECT r_regionkey, 'log_loss', CAST(0.85 - 0.05 * r_regionkey AS DOUBLE) FROM {region} WHERE r_regionkey < 4""",
+SELECT segment, 'log_loss', CAST(0.92 - 0.002 * segment AS DOUBLE) FROM {fx_champions} WHERE segment % 9 <> 4 AND segment % 11 <> 5""",
     "fx_rules": """
 SELECT 1 AS rule_no, 'macro_f1' AS metric, 'maximize' AS direction, CAST(0.70 AS DOUBLE) AS threshold, CAST(0.01 AS DOUBLE) AS minimum_delta
 UNION ALL

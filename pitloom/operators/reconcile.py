@@ -76,21 +76,21 @@ def require_complete(matched: DataFrame) -> None:
         F.coalesce(F.sum(F.greatest(F.col("expected_rows") - 1, F.lit(0))), F.lit(0)).alias("expected_dup"),
     ).first()
     if row["expected_dup"]:
-        raise ValueError("scoring features contain duplicate correlation keys")
+        raise ValueError(f"{row['expected_dup']} scoring rows repeat the key of another one")
     if row["dup"]:
-        raise ValueError("batch predictions contain duplicate correlation keys")
+        raise ValueError(f"{row['dup']} predictions were delivered more than once")
     if row["left_only"] or row["right_only"]:
         raise ValueError(
-            f"batch prediction reconciliation failed: left_only={row['left_only']}, right_only={row['right_only']}"
+            f"incomplete delivery: {row['left_only']} rows without a prediction, {row['right_only']} predictions without a row"
         )
 
 
 def one_to_one_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that refuses a key repeated on either side (checked before joining)."""
-    for name, frame in (("left", left), ("right", right)):
-        dup = frame.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count()
-        if dup:
-            raise ContractViolation(f"{name} side repeats a join key; one-to-one join refused")
+    """Inner join that refuses a key repeated on either side (both sides checked by one grouped job before joining)."""
+    sides = left.select(*keys, F.lit("left").alias("__side")).unionByName(right.select(*keys, F.lit("right").alias("__side")))
+    repeated = sides.groupBy(*keys, "__side").count().where(F.col("count") > 1).select("__side").limit(1).collect()
+    if repeated:
+        raise ContractViolation(f"{repeated[0]['__side']} side repeats a join key; one-to-one join refused")
     return left.join(right, list(keys), "inner")
 
 

@@ -20,7 +20,7 @@ from pitloom.functions.quantity import QuantityContract, label_actuals
 from pitloom.operators.asof import asof_join
 from pitloom.operators.contracts import decision
 from pitloom.operators.digest import snapshot_digest
-from pitloom.operators.gate import MetricRule, gate_outcome, gate_reasons
+from pitloom.operators.gate import MetricRule, gate_outcome, gate_reasons, selected_model
 from pitloom.operators.reconcile import normalise_keys, reconcile, require_complete
 from pitloom.operators.scoring import batch_score, constant_baseline, train_classifier
 from pitloom.schemas import SCORING, TRAINING_FEATURES, ACTUALS
@@ -28,11 +28,13 @@ from pitloom.session import configure, scratch_path
 from pitloom.sources.monitor import monitor_tables, write_monitor_tables
 from pitloom.sources.publish import publish, read_predictions
 from pitloom.sources.snapshot import (
+    batch_membership,
     bounded_actuals_read,
     bounded_feature_read,
     bounded_scoring_read,
     read_scorer_csv,
     read_snapshot,
+    stamp_batch,
     write_scorer_csv,
     write_snapshot,
 )
@@ -64,9 +66,12 @@ class LifecycleConfig:
     max_depth: int = 12
     model_name: str = "quantity-classifier"
     champion_class: str | None = None  # constant-class champion (M2); None: no production model
+    champion_mapping: str | None = None  # the mapping the champion was trained with; None: the run's own
+    champion_measured: bool = True  # False: the champion serves, but nothing was measured of it
     run_ts: str = "2026-03-01 00:00:00"
     event_id: str = "manual"
     table: str | None = None  # the published table; None: one of the run's own
+    single_batch: bool = False  # the scoring source holds one batch: stamp it, or refuse rows of another
     replays: int = 0  # publications repeated, as after a lost answer; the table must not change
 
 
@@ -121,7 +126,13 @@ def run_lifecycle(
 
 def _run_stages(spark, sources, cfg, run_dir, ev, skip_rest):
     # 1. pull: bounded reads, immutable snapshots.
-    scoring = bounded_scoring_read(sources.scoring, batch_id=cfg.batch_id, cutoff=cfg.scoring_cutoff)
+    # A source without a batch column holds the requested batch alone; one with it must hold nothing else.
+    source = stamp_batch(sources.scoring, cfg.batch_id) if cfg.single_batch else sources.scoring
+    if cfg.single_batch:
+        strays = batch_membership(source, cfg.batch_id).first()["violations"]
+        if strays:
+            raise ValueError(f"{strays} scoring rows belong to another batch than {cfg.batch_id}")
+    scoring = bounded_scoring_read(source, batch_id=cfg.batch_id, cutoff=cfg.scoring_cutoff)
     training = bounded_feature_read(sources.training, cutoff=cfg.cutoff)
     actuals = bounded_actuals_read(sources.actuals, cutoff=cfg.cutoff)
     for name, frame in (("scoring", scoring), ("training", training), ("actuals", actuals)):
@@ -174,9 +185,13 @@ def _run_stages(spark, sources, cfg, run_dir, ev, skip_rest):
         "model_version string, segment int, metric string, value double",
     )
     champ = spark.createDataFrame([], "segment int, metric string, value double")
-    if cfg.champion_class is not None:
-        champ_metrics = _constant_metrics(spine, cfg.champion_class)
-        champ = champ_metrics.select(F.lit(0).alias("segment"), "metric", "value")
+    champions = spark.createDataFrame(
+        [] if cfg.champion_class is None else [(0, "champion", cfg.champion_mapping or cfg.contract.mapping_version)],
+        "segment int, champion_version string, champion_mapping string",
+    )
+    if cfg.champion_class is not None and cfg.champion_measured:
+        # Both are measured on the same rows: the candidate's hold-out.
+        champ = _constant_metrics(result.holdout, cfg.champion_class).select(F.lit(0).alias("segment"), "metric", "value")
     cands = cand_metrics.select("model_version", "segment").distinct()
     # M4: every candidate is registered with its metrics and mapping before the gate.
     from pitloom.operators.registry import append_registry, registry_rows
@@ -190,8 +205,9 @@ def _run_stages(spark, sources, cfg, run_dir, ev, skip_rest):
         ).withColumn("model_version", F.lit(version)),
         f"{run_dir}/registry",
     )
-    reasons = gate_reasons(cands, cand_metrics, champ, cfg.rules)
-    outcome = gate_outcome(cands, reasons, champ).first()
+    reasons = gate_reasons(cands, cand_metrics, champions, champ, cfg.rules)
+    stated = cands.withColumn("mapping_version", F.lit(cfg.contract.mapping_version))
+    outcome = selected_model(gate_outcome(stated, reasons, champions), champions).first()
     if outcome["outcome"] == "HALT":
         ev.append((4, "register_select", "HALTED", outcome["reasons"], 0))
         return skip_rest(4, "no model selected")
@@ -215,7 +231,7 @@ def _run_stages(spark, sources, cfg, run_dir, ev, skip_rest):
     expected = normalise_keys(scoring, ["entity_id", "feature_ts", "source_batch_id", "correlation_id"])
     delivered = normalise_keys(predictions, ["entity_id", "prediction_ts", "source_batch_id", "correlation_id"])
     require_complete(reconcile(expected, delivered))
-    run = dict(RUN, MODEL_NAME=cfg.model_name, MODEL_VERSION=version if outcome["outcome"] == "PROMOTE" else "champion")
+    run = dict(RUN, MODEL_NAME=cfg.model_name, MODEL_VERSION=version if outcome["outcome"] == "PROMOTE" else outcome["selected_version"])
     frame = provenance(predictions, run, run_ts=cfg.run_ts, mapping_version=cfg.contract.mapping_version)
     target = cfg.table or f"{run_dir}/published"
     for _ in range(1 + cfg.replays):

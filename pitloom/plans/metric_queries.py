@@ -260,9 +260,10 @@ def a11_monitor_verdict(spark, sf_dir):
 def _gate_inputs(spark, sf_dir):
     cand_metrics = fx(spark, sf_dir, "fx_candidate_metrics")
     champ = fx(spark, sf_dir, "fx_champion_metrics")
+    champions = fx(spark, sf_dir, "fx_champions")
     rules = G.rules_from_table(fx(spark, sf_dir, "fx_rules"))
     candidates = candidate_artifacts(spark, sf_dir)
-    return candidates, cand_metrics, champ, rules
+    return candidates, cand_metrics, champions, champ, rules
 
 
 _GATE_REASONS_SQL = """
@@ -272,7 +273,7 @@ _GATE_REASONS_SQL = """
         FROM c CROSS JOIN fx_rules r
         LEFT JOIN fx_candidate_metrics cm ON cm.model_version = c.model_version AND cm.segment = c.segment AND cm.metric = r.metric
         LEFT JOIN fx_champion_metrics ch ON ch.segment = c.segment AND ch.metric = r.metric
-        LEFT JOIN (SELECT DISTINCT segment FROM fx_champion_metrics) hc ON hc.segment = c.segment)
+        LEFT JOIN fx_champions hc ON hc.segment = c.segment)
  SELECT model_version, segment, rule_no, 1 AS seq,
         CASE WHEN cand IS NULL THEN 'missing_candidate_metric:' || metric
              WHEN isnan(cand) OR isinf(cand) THEN 'nonfinite_candidate_metric:' || metric
@@ -294,34 +295,31 @@ _GATE_REASONS_SQL = """
     f"SELECT model_version, segment, rule_no, seq, reason FROM {_GATE_REASONS_SQL} g WHERE reason IS NOT NULL",
 )
 def a12_gate_reasons(spark, sf_dir):
-    candidates, cand_metrics, champ, rules = _gate_inputs(spark, sf_dir)
-    return G.gate_reasons(candidates.select("model_version", "segment"), cand_metrics, champ, rules)
+    candidates, cand_metrics, champions, champ, rules = _gate_inputs(spark, sf_dir)
+    return G.gate_reasons(candidates.select("model_version", "segment"), cand_metrics, champions, champ, rules)
 
 
 _ART_MAPPING = "CASE WHEN segment = 3 THEN 'quantity-v2' WHEN segment = 4 THEN NULL ELSE 'quantity-v1' END"
 _OUTCOME_SQL = f"""
 (SELECT c.model_version, c.segment,
-        CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}') THEN 'HALT'
+        CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM hc.champion_mapping) THEN 'HALT'
              WHEN r.n IS NULL THEN 'PROMOTE' WHEN hc.segment IS NOT NULL THEN 'RETAIN' ELSE 'HALT' END AS outcome,
-        CAST(CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}') THEN 1
+        CAST(CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM hc.champion_mapping) THEN 1
              WHEN r.n IS NULL THEN 0 WHEN hc.segment IS NOT NULL THEN r.n ELSE r.n + 1 END AS BIGINT) AS n_reasons,
-        CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM '{MAPPING_VERSION}') THEN 'mapping_version_mismatch'
+        CASE WHEN (({_ART_MAPPING.replace('segment', 'c.segment')}) IS NULL OR hc.segment IS NOT NULL AND ({_ART_MAPPING.replace('segment', 'c.segment')}) IS DISTINCT FROM hc.champion_mapping) THEN 'mapping_version_mismatch'
              WHEN r.n IS NULL THEN '' WHEN hc.segment IS NOT NULL THEN r.reasons
              ELSE r.reasons || ';no_production_deployment' END AS reasons
  FROM (SELECT DISTINCT model_version, segment FROM fx_candidate_metrics) c
  LEFT JOIN (SELECT model_version, segment, COUNT(*) AS n, string_agg(reason, ';' ORDER BY rule_no, seq) AS reasons
             FROM {_GATE_REASONS_SQL} g WHERE reason IS NOT NULL GROUP BY model_version, segment) r
    ON r.model_version = c.model_version AND r.segment = c.segment
- LEFT JOIN (SELECT DISTINCT segment FROM fx_champion_metrics) hc ON hc.segment = c.segment) o"""
+ LEFT JOIN fx_champions hc ON hc.segment = c.segment) o"""
 
 
 def gate_outcomes(spark, sf_dir):
-    candidates, cand_metrics, champ, rules = _gate_inputs(spark, sf_dir)
-    reasons = G.gate_reasons(candidates.select("model_version", "segment"), cand_metrics, champ, rules)
-    champion_mapping = champ.select("segment").distinct().withColumn("champion_mapping", F.lit(MAPPING_VERSION))
-    return G.gate_outcome(
-        candidates, reasons, champ, candidate_mapping="mapping_version", champion_mapping=champion_mapping
-    )
+    candidates, cand_metrics, champions, champ, rules = _gate_inputs(spark, sf_dir)
+    reasons = G.gate_reasons(candidates.select("model_version", "segment"), cand_metrics, champions, champ, rules)
+    return G.gate_outcome(candidates, reasons, champions)
 
 
 @register("a12_gate_outcome", f"SELECT model_version, segment, outcome, n_reasons, reasons FROM {_OUTCOME_SQL}")
@@ -337,9 +335,8 @@ SELECT model_version, segment, outcome, n_reasons, reasons,
 FROM {_OUTCOME_SQL}""",
 )
 def m5_selected_model(spark, sf_dir):
-    champs = fx(spark, sf_dir, "fx_champion_metrics").select("segment").distinct()
-    champs = champs.withColumn("champion_version", F.concat(F.lit("champion-"), F.col("segment").cast("string")))
-    return G.selected_model(gate_outcomes(spark, sf_dir), champs)
+    champions = fx(spark, sf_dir, "fx_champions").select("segment", "champion_version")
+    return G.selected_model(gate_outcomes(spark, sf_dir), champions)
 
 
 @register(

@@ -43,11 +43,13 @@ from pitloom.sources.snapshot import (
     bounded_feature_read,
     bounded_scoring_read,
     read_scorer_csv,
+    read_scoring_input,
     read_snapshot,
     write_scorer_csv,
     write_snapshot,
+    write_sorted_snapshot,
 )
-from pitloom.schemas import TRAINING_FEATURES
+from pitloom.schemas import ACTUALS, SCORING, TRAINING_FEATURES
 
 # ---------------------------------------------------------------- fault injection
 # Nulls, NaN, blanks and fractions do not occur in the test tables; these projections
@@ -714,6 +716,49 @@ def s8_prediction_csv_roundtrip(spark, sf_dir):
     return read_scorer_csv(spark, path)
 
 
+@register("s9_scoring_input", "SELECT entity_id, feature_ts, signal_a, signal_b, correlation_id, source_batch_id FROM fx_scoring")
+def s9_scoring_input(spark, sf_dir):
+    """The scoring rows handed over as Parquet and as CSV, read back as one population."""
+    scoring = fx(spark, sf_dir, "fx_scoring")
+    odd = F.col("correlation_id").cast("bigint") % 2 == 1
+    paths = [scratch_path(spark, "scoring") + kind for kind in (".parquet", ".csv")]
+    scoring.where(~odd).write.parquet(paths[0])
+    scoring.where(odd).write.option("header", "true").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(paths[1])
+    return read_scoring_input(spark, paths)
+
+
+@register("o1_sorted_snapshot", "SELECT entity_id, feature_ts, signal_a, signal_b FROM fx_features")
+def o1_sorted_snapshot(spark, sf_dir):
+    """The feature snapshot, laid out by key ranges on write and read back."""
+    path = scratch_path(spark, "sorted")
+    write_sorted_snapshot(fx(spark, sf_dir, "fx_features"), path)
+    return read_snapshot(spark, path, TRAINING_FEATURES)
+
+
+@register(
+    "p1_declared_columns",
+    """
+SELECT 'scoring' AS population, CAST(COUNT(*) AS BIGINT) AS rows, 'correlation_id,entity_id,feature_ts,signal_a,signal_b,source_batch_id' AS columns, '' AS label_columns FROM fx_scoring
+UNION ALL SELECT 'training', CAST(COUNT(*) AS BIGINT), 'entity_id,feature_ts,signal_a,signal_b', '' FROM fx_features
+UNION ALL SELECT 'actuals', CAST(COUNT(*) AS BIGINT), 'actual_quantity,correlation_id,entity_id,event_ts,label_available_ts', 'actual_quantity' FROM fx_actuals""",
+)
+def p1_declared_columns(spark, sf_dir):
+    """P1 + P2: every population projected to its declared columns, and the label columns it would leak if it were scored."""
+    declared = {
+        "scoring": (fx(spark, sf_dir, "fx_scoring"), SCORING),
+        "training": (fx(spark, sf_dir, "fx_features"), TRAINING_FEATURES),
+        "actuals": (fx(spark, sf_dir, "fx_actuals"), ACTUALS),
+    }
+    out = None
+    for name, frame in C.require_columns(declared).items():
+        row = frame.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("population"), "rows", F.lit(",".join(sorted(frame.columns))).alias("columns"),
+            F.lit(",".join(C.label_leak(frame.columns))).alias("label_columns"),
+        )
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 @register(
     "o3_input_example",
     "SELECT signal_a, signal_b FROM fx_features ORDER BY entity_id, feature_ts LIMIT 3",

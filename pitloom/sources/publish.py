@@ -82,7 +82,7 @@ def require_valid_predictions(frame: DataFrame) -> DataFrame:
     failing = prediction_contract_rules(frame).where(F.col("violations") > 0).limit(1).collect()
     if failing:
         r = failing[0]
-        raise ValueError(f"prediction frame violates {r['rule']} ({r['violations']} rows)")
+        raise ValueError(f"not published: {r['violations']} row(s) break {r['rule']}")
     upper = frame.toDF(*[c.upper() for c in frame.columns]).select(*PREDICTION_COLUMNS)
     return upper.toDF(*[c.lower() for c in upper.columns])
 

@@ -118,21 +118,27 @@ def write_scorer_csv(frame: DataFrame, path: str) -> None:
 
 
 def read_scorer_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, so that ids such as ``007`` keep their leading zeros."""
-    return spark.read.schema(SCORER_OUTPUT).option("header", "false").csv(path)
+    """All columns as text, so that ids such as ``007`` keep their leading zeros. A row of more or fewer columns fails."""
+    return spark.read.schema(SCORER_OUTPUT).option("header", "false").option("mode", "FAILFAST").csv(path)
 
 
-def read_scoring_input(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Parquet or CSV (with header) by suffix, unioned by name."""
-    frames = []
-    for p in paths:
-        if p.lower().rstrip("/").endswith(".csv"):
-            frames.append(spark.read.option("header", "true").csv(p))
+def read_scoring_input(spark: SparkSession, paths: list[str], schema: T.StructType = SCORING) -> DataFrame:
+    """Parquet or CSV (with header) by suffix, in the declared columns and types, one after another.
+
+    A CSV row of more or fewer columns than its header, or a value that is none of its column's type, fails.
+    """
+    if not paths:
+        raise ValueError("a scoring run needs input files")
+    out = None
+    for path in paths:
+        if path.lower().rstrip("/").endswith(".csv"):
+            header = spark.read.option("header", "true").csv(path).columns
+            texts = T.StructType([T.StructField(c, T.StringType()) for c in header])
+            found = spark.read.schema(texts).option("header", "true").option("enforceSchema", "false").option("mode", "FAILFAST").csv(path)
         else:
-            frames.append(spark.read.parquet(p))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+            found = spark.read.parquet(path)
+        typed = typed_projection(found, schema, population=f"scoring input {path}")
+        out = typed if out is None else out.unionByName(typed)
     return out
 
 

@@ -73,10 +73,18 @@ def test_correlation_ids(spark, ids, blank, dup):
     assert rows == {"blank_correlation_id": blank, "duplicate_correlation_id": dup}
 
 
-def test_required_columns(spark):
-    df = spark.createDataFrame([], "a int")
-    with pytest.raises(ContractViolation, match="no such columns: b"):
-        C.require_columns(df, ["a", "b"], population="scoring")
+def test_required_columns_of_all_populations_at_once(spark):
+    from pyspark.sql import types as T
+
+    want = T.StructType([T.StructField("kiln", T.StringType()), T.StructField("fired_at", T.TimestampNTZType()), T.StructField("heat", T.DoubleType())])
+    good = spark.createDataFrame([], "heat int, fired_at timestamp, kiln string, glaze string")
+    assert C.require_columns({"firings": (good, want)})["firings"].columns == ["kiln", "fired_at", "heat"]
+    bad = spark.createDataFrame([], "kiln array<string>, fired_at double")
+    with pytest.raises(ContractViolation) as error:
+        C.require_columns({"firings": (good, want), "trials": (bad, want), "tests": (good.drop("heat"), want)})
+    assert str(error.value).split("; ") == [
+        "trials.kiln is array<string>, not string", "trials.fired_at is double, not timestamp_ntz", "trials.heat is absent", "tests.heat is absent",
+    ]
 
 
 def _frame(spark, rows):

@@ -96,3 +96,36 @@ def test_two_runs_publish_into_one_table(spark):
         assert ev["publish"]["rows"] == 400
         seen.append(sorted(read_predictions(spark, table).collect()))
     assert seen[0] == seen[1] and len(seen[0]) == 400
+
+
+def _config(**more):
+    return LifecycleConfig(
+        batch_id="b1", cutoff="2030-01-01 00:00:00", scoring_cutoff="2030-01-01 00:00:00", contract=QuantityContract("quantity-v1", 0, 5),
+        num_trees=5, max_depth=4, rules=(MetricRule("macro_f1", "maximize", 0.5, 0.0),), champion_class="1", **more,
+    )
+
+
+def test_champion_facts_reach_the_gate(spark):
+    pops = _separable(spark)
+    kept = {r["stage"]: r for r in run_lifecycle(spark, pops, _config(champion_measured=False)).collect()}
+    assert kept["register_select"]["reason"] == "RETAIN" and kept["publish"]["rows"] == 400
+    halted = {r["stage"]: r for r in run_lifecycle(spark, pops, _config(champion_mapping="quantity-v0")).collect()}
+    assert (halted["register_select"]["status"], halted["register_select"]["reason"]) == ("HALTED", "mapping_version_mismatch")
+
+
+def test_rows_of_another_batch_stop_the_pull(spark):
+    import pytest
+
+    pops = _separable(spark, 40)
+    pops.scoring = pops.scoring.withColumn("source_batch_id", F.when(F.col("correlation_id") == "s7", "b2").otherwise("b1"))
+    with pytest.raises(ValueError, match="1 scoring rows belong to another batch"):
+        run_lifecycle(spark, pops, _config(single_batch=True))
+
+
+def test_training_tasks_follow_the_rows():
+    from pitloom.operators.scoring import training_tasks
+
+    assert training_tasks(2_000, 2, 64 << 20, 20_000) == 8  # several tasks for a small table
+    assert training_tasks(100, 2, 64 << 20, 20_000) == 1
+    assert training_tasks(10**9, 64, 64 << 20, 20_000) == 8583  # by bytes
+    assert training_tasks(10**12, 64, 64 << 20, 20_000) == 20_000  # bounded

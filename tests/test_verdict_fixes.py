@@ -10,25 +10,10 @@ from pitloom.operators import gate as G
 from pitloom.operators import metrics as M
 
 
-def test_gate_holds_an_unmeasured_champion_and_an_unnamed_mapping(spark):
-    rows = [("c1", "north", "map-2"), ("c2", "south", None), ("c3", "west", "map-2")]
-    candidates = spark.createDataFrame(rows, "model_version string, segment string, mapping string")
-    metrics = spark.createDataFrame(
-        [(v, s, "recall", 0.95) for v, s, _ in rows], "model_version string, segment string, metric string, value double"
-    )
-    measured = spark.createDataFrame([], "segment string, metric string, value double")
-    champions = spark.createDataFrame([("north", "map-2")], "segment string, champion_mapping string")
-    rules = [G.MetricRule("recall", "maximize", 0.9)]
-    reasons = G.gate_reasons(candidates, metrics, measured, rules, champions=champions)
-    out = G.gate_outcome(candidates, reasons, measured, candidate_mapping="mapping", champion_mapping=champions)
-    got = {r.model_version: (r.outcome, r.reasons) for r in out.collect()}
-    assert got == {
-        "c1": ("RETAIN", "missing_champion_metric:recall"),
-        "c2": ("HALT", "mapping_version_mismatch"),
-        "c3": ("PROMOTE", ""),
-    }
-    with pytest.raises(ValueError):
-        G.gate_reasons(candidates, metrics, measured, [])
+def test_gate_needs_rules(spark):
+    none = spark.createDataFrame([], "segment string, champion_version string, champion_mapping string")
+    with pytest.raises(ValueError, match="without rules"):
+        G.gate_reasons(none, none, none, none, [])
 
 
 def test_split_keeps_rows_without_a_label_and_trains_on_lone_rows(spark):
