@@ -127,5 +127,5 @@ def test_training_tasks_follow_the_rows():
 
     assert training_tasks(2_000, 2, 64 << 20, 20_000) == 8  # several tasks for a small table
     assert training_tasks(100, 2, 64 << 20, 20_000) == 1
-    assert training_tasks(10**9, 64, 64 << 20, 20_000) == 8583  # by bytes
+    assert training_tasks(10**9, 64, 64 << 20, 20_000) == 8584  # by bytes
     assert training_tasks(10**12, 64, 64 << 20, 20_000) == 20_000  # bounded
