@@ -17,11 +17,11 @@ from pitloom.session import local_session  # noqa: E402
 
 QUERIES = [
     ("s2_bounded_feature_read", "Bounded read: the cutoff reaches the Parquet scan, only four columns are read."),
-    ("j1_asof_tolerance", "As-of join: full rows shuffle once (level A); level B moves per-(key, slice) partial summaries; the final join reuses level A's partitioning."),
+    ("j1_asof_tolerance", "As-of join: both sides folded to one row per (key, instant); windows over (key, slice) and over slice summaries; the labels join the instants last."),
     ("j4_reconcile_counts", "Reconciliation: both sides stacked, one grouped shuffle, no join."),
     ("s13_upsert_predictions", "Upsert scoped to the staged batches: semi/anti joins on the batch column, one full-outer join on the id."),
     ("a15_snapshot_digest", "Digest: map-side hashing, partial sums, one final aggregate (on top of the spine)."),
-    ("w2_stratified_split", "Stratified split: per-(class, 16-bit bucket) counts, windows only inside buckets."),
+    ("w2_stratified_split", "Stratified split over its written spine: per-(class, 16-bit bucket) counts, a window over the rows of the cut's buckets only, a union with the rest."),
     ("a8_js_distance", "Jensen-Shannon: broadcast of one min/max row per feature, then aggregates."),
     ("p10_data_decision", "Data decision: one aggregate per population, one grouped pass per uniqueness rule, one spine."),
 ]
