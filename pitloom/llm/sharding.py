@@ -17,9 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitloom.llm.common import materialise, text_or_empty
-
-ROWS_PER_RANGE = 100_000
+from pitloom.llm.common import materialise, stored, text_or_empty
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 8, order_by: str = "doc_id") -> DataFrame:
@@ -65,13 +63,19 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, order_by: str = "doc_id")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, order_by: str = "doc_id") -> None:
-    """Write the rows to ``path/shard=<n>/``, in slot order inside each file. Needs unique order keys."""
-    places = assign_shards(docs, n_shards, order_by).select(F.col(order_by).alias("_place_key"), "shard", "slot")
-    clash = [c for c in ("shard", "slot") if c in docs.columns]
+    """Write every row once to ``path/shard=<n>/``, in slot order inside each file.
+
+    Rows are placed by their number in a stored copy, so equal and null order keys keep their rows. Columns named ``shard`` or
+    ``slot`` are kept as ``shard_of_row`` and ``slot_of_row``.
+    """
+    own = docs.withColumnsRenamed({c: f"{c}_of_row" for c in ("shard", "slot") if c in docs.columns})
+    key = f"{order_by}_of_row" if order_by in ("shard", "slot") else order_by
+    # Written once: a second evaluation could number otherwise.
+    rows = stored(own.withColumn("_place", F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))), "shards")
+    places = assign_shards(rows, n_shards, "_place").select(F.col("_place.row").alias("_row"), "shard", "slot")
     (
-        docs.drop(*clash)
-        .join(places, F.col(order_by).eqNullSafe(F.col("_place_key")))
-        .drop("_place_key")
+        rows.join(places, F.col("_place.row") == F.col("_row"))
+        .drop("_place", "_row")
         .repartitionByRange("shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")
