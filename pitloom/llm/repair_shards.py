@@ -10,13 +10,15 @@ out): magic ``RPS1``, then five little-endian 64-bit counts (documents, ids, rul
 the arrays: document ids (i8) and whether they are set (u1), each document's end among the symbols (i8) and among the
 ids (i8), rules as pairs (u4), expansion lengths of the rules (u4), symbols (u2 if they fit, else u4).
 
-Defined results: a null text is an empty one (just the end id); null doc_ids come first; equal doc_ids stay together in
-order of text; an empty table gives no shards; other columns are ignored.
+Defined results: a null text is an empty one (just the end id); null doc_ids come first; rows of one doc_id follow each
+other in order of their texts' first 64 characters, then of a hash, over as many tasks as they need; an empty table
+gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -25,6 +27,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,29 +43,65 @@ SHARD_IDS = 1 << 20
 #: Least count of a pair worth a rule, rules of a round, and rules of a shard (symbols then fit 16 bits).
 MIN_COUNT, ROUND_RULES, RULES = 8, 6000, 12_000
 REMEMBERED = 1_000_000
+#: Bytes of text encoded together, of which equal words are looked up once.
+ENCODE_BYTES = 12 << 20
 
 _MAGIC = b"RPS1"
 _HEAD = struct.Struct("<4s5q")
-_ODD = re.compile("[\x1c-\x1f]")
 _MARK = "\x01"
-_SPACE = regex.compile(r"\s+")
+#: Characters up to U+02FF are composed already and have a lower case each of its own, but for U+0130. Control characters
+#: and white space beyond ASCII's are left to the library, too.
+_NOT_PLAIN = "[\x01\x1c-\x1f\x85\xa0\u0130\u0300-\U0010ffff]"
+
+
+def split_pattern(model: dict) -> str | None:
+    """The pattern by which a tokenizer cuts its pieces, if it composes characters, folds white space, lowers case, keeps
+    the pattern's matches as pieces in bytes and ends each piece's last token alike; else null."""
+    normal, pre, bpe = model.get("normalizer") or {}, model.get("pre_tokenizer") or {}, model["model"]
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+    if steps != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]:
+        return None
+    split, *rest = pre.get("pretokenizers") or [{}]
+    matches_only = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
+    in_bytes = [(p["type"], p.get("add_prefix_space"), p.get("use_regex")) for p in rest] == [("ByteLevel", False, False)]
+    pattern = split.get("pattern", {}).get("Regex")
+    if not (matches_only and in_bytes and pattern and bpe.get("end_of_word_suffix") and not bpe.get("dropout")):
+        return None
+    return pattern if regex.compile(pattern).groups == 0 else None
 
 
 class Encoder:
     """A tokenizer that drops white space, with the ids of words met before. White space parts words for good: the
     tokenizer's pieces never span it, so a text's ids are its words' ids end to end. Special strings, which the library
-    reads as their tokens, hold no white space and are cut out inside a word."""
+    reads as their tokens, hold no white space and stay inside a word.
+
+    New words whose characters all are plain are cut into the tokenizer's pieces together, and the library encodes the
+    new ones of these; it reads any other word, and every word of a tokenizer of another kind, as a whole."""
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        model = json.loads(definition)
+        pattern = split_pattern(model)
+        self.cut = regex.compile(f"{pattern}|\n") if pattern else None
+        if pattern:
+            special = [re.escape(t["content"]) for t in model["added_tokens"]]
+            self.not_plain = re.compile("|".join([_NOT_PLAIN, *special]))
+            suffix, vocab = model["model"]["end_of_word_suffix"], model["model"]["vocab"]
+            self.ends_piece = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends_piece[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            model["normalizer"], model["added_tokens"] = None, []
+            model["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+            self.of_pieces = Tokenizer.from_str(json.dumps(model))
         self.forget()
 
     def forget(self) -> None:
         self.words, self.ids = Numbering(), Lists()
+        self.pieces, self.piece_ids = Numbering(), Lists()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: many in one text, parted by a mark that is a token of its own and in none of them."""
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of words: many in one text, parted by a mark that is a token of its own and in none."""
+        done = [(np.empty(0, np.uint32), np.empty(0, np.int64))]
         for start in range(0, len(words), 4000):
             some = [w if _MARK not in w else "" for w in words[start : start + 4000]]
             text = f" {_MARK} ".join(["", *some, ""])
@@ -76,22 +115,53 @@ class Encoder:
                 for i in with_mark:
                     lists[i] = np.array(self.tokenizer.encode(words[start + i], add_special_tokens=False).ids, np.uint32)
                 plain, lengths = np.concatenate(lists), np.array([len(x) for x in lists])
-            self.ids.extend(plain, lengths)
+            done.append((plain, lengths))
+        return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+
+    def _by_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words whose characters are plain, by way of their pieces; a line break ends each word."""
+        found = self.cut.findall("\n".join([*words, ""]).lower())
+        codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        new = list(islice(self.pieces, len(self.piece_ids), None))
+        for start in range(0, len(new), 1000):
+            some = new[start : start + 1000]
+            text = " ".join(some)  # a line break is white space: no token
+            ids = np.array(self.of_pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends_piece[ids]) + 1
+            lengths = np.zeros(len(some), np.int64)
+            lengths[[x != "\n" for x in some]] = np.diff(stops, prepend=0)
+            self.piece_ids.extend(ids, lengths)
+        flat, lengths = self.piece_ids.take(codes)
+        upto = np.cumsum(lengths)[codes == self.pieces["\n"]]
+        return flat, np.diff(upto, prepend=0)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, in the order of their numbers."""
+        if self.cut is None or not words:
+            self.ids.extend(*self._whole(words))
+            return
+        odd = [self.not_plain.search(w) is not None for w in words]
+        flat, lengths = self._by_pieces([w for w, x in zip(words, odd, strict=True) if not x])
+        if any(odd):
+            more, lengths_of_odd = self._whole([w for w, x in zip(words, odd, strict=True) if x])
+            both = Lists()
+            both.extend(np.concatenate([flat, more]), np.concatenate([lengths, lengths_of_odd]))
+            flat, lengths = both.take(np.argsort(np.argsort(odd, kind="stable"), kind="stable"))
+        self.ids.extend(flat, lengths)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text's ids."""
         if len(self.words) > REMEMBERED:
             self.forget()
-        codes: list[int] = []
-        stops = []
-        number = self.words.__getitem__
-        for text in texts:
-            if text:
-                codes += map(number, _SPACE.split(text) if _ODD.search(text) else text.split())
-            stops.append(len(codes))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # an empty word has no ids
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
         self._learn(list(islice(self.words, len(self.ids), None)))
-        flat, lengths = self.ids.take(np.array(codes, np.int64))
-        upto = np.concatenate([[0], np.cumsum(lengths)])[np.array(stops, np.int64)]
+        flat, lengths = self.ids.take(numbers[np.asarray(coded.indices)])
+        stops = np.cumsum(np.asarray(pc.list_value_length(split), np.int64))
+        upto = np.concatenate([[0], np.cumsum(lengths)])[stops]
         return flat, np.diff(upto, prepend=0)
 
 
@@ -107,6 +177,24 @@ def encoder(definition: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def places(chosen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The index of each key among the distinct ``chosen``, or -1, by small hash tables: a chosen key that loses its slot
+    to another, and the keys that met another one there, go on to a table with the next multiplier."""
+    out = np.full(len(keys), -1, np.int64)
+    left, rest, odd = np.arange(len(chosen)), np.arange(len(keys)), 0x9E3779B97F4A7C15
+    while len(left) and len(rest):
+        table = np.full(1 << 16, -1, np.int64)
+        slots = (chosen[left] * np.uint64(odd)) >> np.uint64(48)
+        table[slots] = left
+        at = table[(keys[rest] * np.uint64(odd)) >> np.uint64(48)]
+        rest, at = rest[at >= 0], at[at >= 0]
+        same = chosen[at] == keys[rest]
+        out[rest[same]] = at[same]
+        rest, left = rest[~same], left[table[slots] != left]
+        odd = (odd * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
+    return out
+
+
 def compress(ids: np.ndarray, counts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document ends among the symbols, rules) of documents' ids end to end; rule r is symbol ``first + r``."""
     symbols = ids.astype(np.uint64)
@@ -127,9 +215,8 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int) -> tuple[np.ndarra
         if not len(often):
             break
         chosen = pairs[often]
-        at = np.searchsorted(chosen, keys)
-        at[at == len(chosen)] = 0
-        hit = inside & (chosen[at] == keys)
+        at = places(chosen, keys)
+        hit = inside & (at >= 0)
         # Of pairs that share a symbol every second one, from the first.
         where = np.flatnonzero(hit)
         begins = np.ones(len(where), bool)
@@ -223,6 +310,21 @@ class Shard:
         return self.expand(symbols[a:b])[start - skipped : stop - skipped]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts hold about ``limit`` bytes: small ones joined, large ones sliced (one row at least)."""
+    some: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for piece in batches_by_bytes(batch, "text", limit):
+            some.append(piece)
+            size += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+            if size >= limit:
+                yield pa.concat_batches(some)
+                some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def make_shards(docs: DataFrame, definition: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Shards of all documents in ascending doc_id: part, nth (in the part), n_docs, n_ids, payload."""
     ship(docs.sparkSession)
@@ -244,15 +346,18 @@ def make_shards(docs: DataFrame, definition: str, end_id: int = END_ID, shard_id
                 names=["part", "nth", "n_docs", "n_ids", "payload"],
             )
 
-        for batch in batches:
-            for piece in batches_by_bytes(batch, "text", 2 << 20):
-                flat, n = coder.encode(piece.column("text").to_pylist())
-                ends = np.cumsum(n)
-                with_end = np.insert(flat, ends, end_id)
-                doc_ids += piece.column("doc_id").to_pylist()
-                ids.append(with_end)
-                counts.append(n + 1)
-                size += len(with_end)
+        for piece in gathered(batches, ENCODE_BYTES):
+            flat, n = coder.encode(piece.column("text"))
+            with_end = np.insert(flat, np.cumsum(n), end_id)
+            keys, stops, done = piece.column("doc_id").to_pylist(), np.cumsum(n + 1), 0
+            while done < len(keys):  # the documents that fill the shard, the last one whole
+                start = int(stops[done - 1]) if done else 0
+                upto = min(len(keys), int(np.searchsorted(stops, start + shard_ids - size)) + 1)
+                doc_ids += keys[done:upto]
+                ids.append(with_end[start : stops[upto - 1]])
+                counts.append(n[done:upto] + 1)
+                size += len(ids[-1])
+                done = upto
                 if size >= shard_ids:
                     yield shard()
                     nth += 1
@@ -260,10 +365,15 @@ def make_shards(docs: DataFrame, definition: str, end_id: int = END_ID, shard_id
         if doc_ids:
             yield shard()
 
+    order = [F.col("doc_id").asc_nulls_first(), F.col("head").asc(), F.col("hash").asc(), F.col("row").asc()]
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .withColumns(
+            {"head": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
+        )
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
     )
     return ordered.mapInArrow(run, "part int, nth int, n_docs long, n_ids long, payload binary")
 

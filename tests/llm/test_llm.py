@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -245,7 +246,6 @@ def test_chat_windows_read_back(spark):
 def test_repair_shards_equal_the_library(spark, docs):
     definition = open(public_tokenizers.path(WORD_BPE), encoding="utf-8").read()
     whole = Tokenizer.from_str(definition)
-    whole.encode_special_tokens = True
     rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()))
     want, start = [], 0
     for i, t in rows:
@@ -314,6 +314,51 @@ def test_encoder_marks_and_white_space():
     assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
 
 
+def test_encoder_pieces_equal_the_library_for_any_characters():
+    definition = open(public_tokenizers.path(WORD_BPE), encoding="utf-8").read()
+    whole, e = Tokenizer.from_str(definition), repair_shards.Encoder(definition)
+    assert e.cut is not None
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "'S", "''s", "12", "½", "ª", "ǅ", "İ", "ẞ", "É", "é", " ", "\n", "\r\n", "\x0b"]
+    parts += ["\x1c", "\x85", "\xa0", "\u3000", "\u200b", "\x00", "\x01", "Ⱥ", "</w>", "<", "/", "w", ">", "中文", "🙂", "ʰ", "´", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += ["".join(chr(rng.randint(1, rng.choice([0x2FF, 0xD7FF]))) for _ in range(40)) for _ in range(1500)]
+    texts += [f"x{chr(c)}Y {chr(c)} {chr(c)}1" for c in range(1, 0x300)] + [None, "", "é" * 70_000]
+    flat, counts = e.encode(texts)
+    want = [x.ids for x in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
+    other = json.loads(definition)
+    other["normalizer"] = None  # another kind: words are read as wholes
+    plain = repair_shards.Encoder(json.dumps(other))
+    flat, counts = plain.encode(["Ab cd", "x1"])
+    want = [x.ids for x in plain.tokenizer.encode_batch(["Ab cd", "x1"], add_special_tokens=False)]
+    assert plain.cut is None and [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
+
+
+def test_repair_pair_places():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 60, 50_000).astype(np.uint64))
+    chosen = np.sort(rng.choice(keys, 12_000, replace=False))
+    at, want = repair_shards.places(chosen, np.concatenate([keys, keys])), np.searchsorted(chosen, np.concatenate([keys, keys]))
+    hit = np.isin(np.concatenate([keys, keys]), chosen)
+    assert np.array_equal(at, np.where(hit, want, -1))
+    assert (repair_shards.places(chosen[:0], keys) == -1).all() and len(repair_shards.places(chosen, keys[:0])) == 0
+
+
+def test_repair_shards_split_one_hot_doc_id(spark):
+    definition = open(public_tokenizers.path(WORD_BPE), encoding="utf-8").read()
+    df = spark.range(4000).selectExpr(
+        "cast(if(id % 4 = 0, null, if(id < 3000, 7, id)) as long) AS doc_id", "concat('word ', id % 900) AS text", "1 AS hash", "2 AS row"
+    )
+    shards = repair_shards.make_shards(df, definition, shard_ids=500).collect()
+    assert len({r.part for r in shards}) > 4 and sum(r.n_docs for r in shards) == 4000
+    assert all(r.n_ids < 500 + 10 for r in shards)
+    got = repair_shards.round_trip(df, definition).collect()
+    ends = sorted((r.start, r.start + r.n_tokens, r.doc_id or -1) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] and a[2] <= b[2] for a, b in itertools.pairwise(ends))
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in df.collect())
+
+
 def test_licence_model_finds_families_and_leaves_prose(spark, docs):
     model = licence_scan.fit(docs)
     rng = random.Random(2)
