@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -44,7 +45,9 @@ SHARD_IDS = 1 << 20
 MIN_COUNT, ROUND_RULES, RULES = 8, 6000, 12_000
 REMEMBERED = 1_000_000
 #: Bytes of text encoded together, of which equal words are looked up once.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 6 << 20
+#: Rules of so many ids at most are looked up whole when a shard is decoded.
+SHORT_RULE = 64
 
 _MAGIC = b"RPS1"
 _HEAD = struct.Struct("<4s5q")
@@ -283,13 +286,10 @@ class Shard:
         self.lengths = take(rules, "<u4")
         self.symbols = take(n_symbols, "<u2" if self.first + rules <= 1 << 16 else "<u4")
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for: all nonterminals are opened, level by level."""
+    def _open(self, symbols: np.ndarray, least: int) -> np.ndarray:
+        """Symbols with every rule of ``least`` ids or more replaced by its pair, level by level."""
         out = symbols.astype(np.int64)
-        while len(out):
-            rule = out >= self.first
-            if not rule.any():
-                break
+        while (rule := self.sizes[out] >= least).any():
             size = np.where(rule, 2, 1)
             at = np.cumsum(size) - size
             opened = np.empty(int(size.sum()), np.int64)
@@ -297,12 +297,31 @@ class Shard:
             pair = self.rules[out[rule] - self.first]
             opened[at[rule]], opened[at[rule] + 1] = pair[:, 0], pair[:, 1]
             out = opened
-        return out.astype(np.uint32)
+        return out
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """The number of ids that each symbol stands for."""
+        return np.concatenate([np.ones(self.first, np.int64), self.lengths])
+
+    @cached_property
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of every symbol of few ids, end to end, and where each symbol's begin."""
+        few = np.flatnonzero(self.sizes <= SHORT_RULE)
+        starts = np.zeros(len(self.sizes), np.int64)
+        starts[few] = np.cumsum(self.sizes[few]) - self.sizes[few]
+        return self._open(few, 2).astype(np.uint32), starts
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for: long rules are opened level by level, what remains is looked up."""
+        out = self._open(symbols, SHORT_RULE + 1)
+        ids, starts = self.short
+        return ids[spread(starts[out], self.sizes[out])]
 
     def document(self, nth: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the ``nth`` document; only the symbols that cover them are opened."""
         symbols = self.symbols[self.symbol_ends[nth - 1] if nth else 0 : self.symbol_ends[nth]].astype(np.int64)
-        sizes = np.concatenate([[1], self.lengths.astype(np.int64)])[np.maximum(symbols - self.first + 1, 0)]
+        sizes = self.sizes[symbols]
         upto = np.cumsum(sizes)
         stop = int(upto[-1]) if stop is None and len(upto) else (stop or 0)
         a, b = np.searchsorted(upto, start, "right"), np.searchsorted(upto, stop, "left") + 1
