@@ -16,11 +16,12 @@ other columns of either table are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.llm.common import WORD_BYTES, batches_by_bytes, mix64, ship, stored, words_of
@@ -46,29 +47,42 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of some items: word ids, hashes by window length, and which items hold them."""
+    """The windows of some items, in arrays: word ids, and by window length the sorted hashes of the distinct windows, the
+    place of each among the words, and the items that hold it."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            size = min(n, len(seq))
-            for i in range(len(seq) - size + 1 if size else 0):
-                found = by_length.setdefault(size, {}).setdefault(tuple(seq[i : i + size]), set())
-                if item is not None:
-                    found.add(item)
+        seqs = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        self.words = np.concatenate([np.empty(0, np.int32), *seqs])
+        self.names = [item for item, _ in items]
         self.codes = mix64(np.arange(len(self.ids) + 1, dtype=np.uint64) + np.uint64(1))
+        counts = np.array([len(x) for x in seqs], np.int64)
+        starts, sizes = np.cumsum(counts) - counts, np.minimum(counts, n)
         self.tables = []
-        for size, windows in by_length.items():
-            grams = np.array(list(windows), np.int64).reshape(len(windows), size)
-            with np.errstate(over="ignore"):
-                hashes = (self.codes[grams] * _powers(_BASE, size)).sum(axis=1, dtype=np.uint64)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            which = np.flatnonzero(sizes == size)
+            n_windows = counts[which] - size + 1
+            first = np.cumsum(n_windows) - n_windows
+            at = np.repeat(starts[which] - first, n_windows) + np.arange(n_windows.sum())
+            owner = np.repeat(which, n_windows).astype(np.int32)
+            hashes = np.zeros(len(at), np.uint64)
+            for i, power in enumerate(_powers(_BASE, size)):
+                with np.errstate(over="ignore"):
+                    hashes += self.codes[self.words[at + i]] * power
             order = np.argsort(hashes, kind="stable")
+            hashes, at, owner = hashes[order], at[order], owner[order]
+            # Neighbours with the same words are one window; one hash may still stand for several.
+            new = np.ones(len(at), bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            for i in range(size):
+                new[1:] |= self.words[at[1:] + i] != self.words[at[:-1] + i]
+            group = np.cumsum(new) - 1
+            held = np.unique(group * len(items) + owner)  # each item once a window, if it has a name
+            held = held[np.array([x is not None for x in self.names])[held % len(items)]]
+            upto = np.searchsorted(held // len(items), np.arange(group[-1] + 2))
             bitmap = np.zeros(1 << _BITS, bool)
             bitmap[hashes >> np.uint64(64 - _BITS)] = True
-            owners = [sorted(x) for x in windows.values()]
-            self.tables.append((size, hashes[order], grams[order], [owners[i] for i in order], bitmap))
+            self.tables.append((size, hashes[new], at[new], (held % len(items)).astype(np.int32), upto, bitmap))
 
     def hits(self, seqs: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, list[str]]]:
         """(first position, window length, items) of every occurrence in documents laid end to end."""
@@ -79,7 +93,7 @@ class WindowSet:
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes[seqs] * up, dtype=np.uint64)])
         known = np.concatenate([[0], np.cumsum(seqs > 0)])
-        for size, hashes, grams, owners, bitmap in self.tables:
+        for size, hashes, places, held, upto, bitmap in self.tables:
             if size > len(seqs):
                 continue
             with np.errstate(over="ignore"):
@@ -91,8 +105,8 @@ class WindowSet:
             for p, a, b, d in zip(at.tolist(), lo.tolist(), hi.tolist(), inside.tolist(), strict=True):
                 if p + size <= ends[d]:
                     for i in range(a, b):  # equal hashes: all but the same words are rejected
-                        if np.array_equal(grams[i], seqs[p : p + size]):
-                            out.append((p, size, owners[i]))
+                        if np.array_equal(self.words[places[i] : places[i] + size], seqs[p : p + size]):
+                            out.append((p, size, [self.names[j] for j in held[upto[i] : upto[i + 1]]]))
         return out
 
 
@@ -106,11 +120,28 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"first": a, "last": b} for a, b in merged]
 
 
-def scan(items: list[tuple[str | None, str | None]], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
-    """The map over (key, text) batches that gives ``HITS`` rows for one block of items."""
+_SETS: dict[tuple[str, int], WindowSet] = {}
+
+
+def window_set(key: str, items: list[tuple[str | None, str | None]], n: int) -> WindowSet:
+    """One set a process and block; batches and tasks that follow in the same worker share it, the last two are kept."""
+    if (key, n) not in _SETS:
+        while len(_SETS) > 1:
+            del _SETS[next(iter(_SETS))]
+        _SETS[(key, n)] = WindowSet(items, n)
+    return _SETS[(key, n)]
+
+
+def scan(
+    spark: SparkSession, items: list[tuple[str | None, str | None]], n: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """The map over (key, text) batches that gives ``HITS`` rows for one block of items, which is broadcast: its size is
+    bounded by the caller."""
+    digest = hashlib.sha256(repr(items).encode("utf-8", "replace")).hexdigest()
+    shared = spark.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = WindowSet(items, n)
+        windows = window_set(digest, shared.value, n)
         get = windows.ids.get
         schema = pa.schema(
             [
@@ -182,15 +213,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_byte
     """``HITS`` for ``docs`` (key, text): words, merged hit spans (word positions) and occurring items per key."""
     ship(docs.sparkSession)
     source = docs.select(F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    blocks = _blocks(benchmark, block_bytes)
+    spark, blocks = docs.sparkSession, _blocks(benchmark, block_bytes)
     if len(blocks) == 1:
-        return source.mapInArrow(scan(blocks[0], n), HITS)
+        return source.mapInArrow(scan(spark, blocks[0], n), HITS)
     # Numbers are fixed once stored: every block sees the same.
     rows = stored(source.withColumn(_ROW, F.monotonically_increasing_id()), "decontamination-rows")
     numbered = rows.select(F.col(_ROW).alias("key"), "text")
-    union = numbered.mapInArrow(scan(blocks[0], n), HITS)
+    union = numbered.mapInArrow(scan(spark, blocks[0], n), HITS)
     for block in blocks[1:]:
-        union = union.unionAll(numbered.mapInArrow(scan(block, n), HITS))
+        union = union.unionAll(numbered.mapInArrow(scan(spark, block, n), HITS))
     merged = _merged_spans(union).withColumnRenamed("key", _ROW)
     return rows.select("key", _ROW).join(merged, _ROW).select("key", "n_words", "spans", "items")
 
@@ -218,16 +249,19 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return flat[keep].tobytes().decode("utf-8")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", n: int = WINDOW) -> DataFrame:
-    """``docs`` with its own columns: contaminated documents gone, or (``action='spans'``) the hit words cut out."""
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, action: str = "documents", n: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``docs`` with its own columns: contaminated documents gone, or (``action='spans'``) the hit words cut out, by one
+    block of the benchmark after another (a cut may join words to a window that a later block holds)."""
     if action not in ("documents", "spans"):
         raise ValueError("action is 'documents' or 'spans'")
     ship(docs.sparkSession)
-    blocks = _blocks(benchmark, BLOCK_BYTES)
+    blocks = _blocks(benchmark, block_bytes)
     out = docs
     types = {f.name: f.dataType for f in docs.schema.fields}
     for block in blocks:
-        scanner = scan(block, n)
+        scanner = scan(docs.sparkSession, block, n)
 
         @F.pandas_udf("n_words long, spans array<struct<first:long,last:long>>")
         def hit(texts, scanner=scanner):
