@@ -5,8 +5,10 @@ the merge table (left id, right id, merged id = rank). The pieces that a task ha
 rows, one per byte, and a recursive query contracts, in every word, the leftmost pair of minimum rank until no pair of
 a word is in the merge table. Decoding joins ids to the token bytes and concatenates them by an ordered aggregation.
 
-Long words use the same rule in a second recursive query that contracts, in one step, every non-overlapping pair of the
-minimum rank (left to right) where no pair made with the merged token can have a lower rank; else the leftmost only.
+Long words are first cut wherever no token that occurs in them reaches across, which no contraction can cross. Segments
+that are still long (runs of one character, say) use the same rule in a second recursive query that contracts, in one
+step, every non-overlapping pair of the minimum rank (left to right) where no pair made with the merged token can have a
+lower rank; else all from the left to the first whose token makes such a pair with a neighbour, which is next then.
 Both give tiktoken's ids. A whole piece that is itself a token takes that id at once, as in tiktoken.
 
 Defined results: a null text is encoded as an empty one (no ids); null ids decode to null (and have no id bytes), no ids
@@ -32,11 +34,14 @@ from pyspark.sql import functions as F
 
 from pitloom.llm.common import batches_by_bytes, ship
 
-#: Words up to so many bytes go through the one-contraction-a-step query.
+#: Words and segments up to so many bytes go through the one-contraction-a-step query.
 SHORT = 64
 #: Bytes of new pieces in one recursive query, ids in one decoding query, distinct pieces and units a task remembers.
 QUERY_BYTES, QUERY_IDS, PIECES, UNITS = 1 << 18, 1 << 18, 600_000, 200_000
 
+#: Fixed value: a pattern all of whose pieces start at a single space that stands between two other characters.
+SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _SHORT_SQL = """
 WITH RECURSIVE bpe(w, pos, tok, npos, ntok, live) AS (
   SELECT w, pos, tok, npos, ntok, true FROM seed
@@ -63,17 +68,24 @@ WITH RECURSIVE bpe(w, pos, tok, live) AS (
   FROM (
     SELECT *, lag(hit, 1, false) OVER word AS gone
     FROM (
-      SELECT *, coalesce(rank = best AND CASE
-               WHEN safe THEN (k - coalesce(max(CASE WHEN rank = best THEN NULL ELSE k END)
-                                            OVER (word ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1
-               ELSE k = min(CASE WHEN rank = best THEN k END)
-                        OVER (word ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END, false) AS hit
+      SELECT t.*, turn AND k <= coalesce(min(CASE WHEN x.rank < best OR y.rank < best THEN k END)
+               OVER (word ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), k) AS hit
       FROM (
-        SELECT p.*, rank, safe, row_number() OVER word AS k,
-               min(rank) OVER (word ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best
-        FROM (SELECT *, lead(tok) OVER word AS ntok FROM bpe WHERE live WINDOW word AS (PARTITION BY w ORDER BY pos)) p
-        LEFT JOIN merges ON l = tok AND r = ntok
-        WINDOW word AS (PARTITION BY w ORDER BY pos))
+        SELECT *, CASE WHEN lag(turn, 2, false) OVER word THEN best ELSE lag(tok) OVER word END AS before,
+               lead(tok, 2) OVER word AS behind
+        FROM (
+          SELECT *, coalesce(rank = best AND (k - coalesce(max(CASE WHEN rank = best THEN NULL ELSE k END)
+                                              OVER (word ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1, false) AS turn
+          FROM (
+            SELECT p.*, rank, safe, row_number() OVER word AS k,
+                   min(rank) OVER (word ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best
+            FROM (SELECT *, lead(tok) OVER word AS ntok FROM bpe WHERE live WINDOW word AS (PARTITION BY w ORDER BY pos)) p
+            LEFT JOIN merges ON l = tok AND r = ntok
+            WINDOW word AS (PARTITION BY w ORDER BY pos))
+          WINDOW word AS (PARTITION BY w ORDER BY pos))
+        WINDOW word AS (PARTITION BY w ORDER BY pos)) t
+      LEFT JOIN merges x ON turn AND NOT t.safe AND x.l = before AND x.r = best
+      LEFT JOIN merges y ON turn AND NOT t.safe AND y.l = best AND y.r = behind
       WINDOW word AS (PARTITION BY w ORDER BY pos))
     WINDOW word AS (PARTITION BY w ORDER BY pos))
   WHERE NOT gone)
@@ -125,6 +137,8 @@ class Codec:
     def __init__(self, rank_file: bytes, pattern: str):
         # \s and \S of the pattern mean Unicode white space, as regex has it.
         self.pattern = regex.compile(pattern)
+        #: Texts are cut into units first; under another pattern, into its pieces alone.
+        self.by_units = pattern == SPACE_LED
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.bytes_of = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
@@ -133,6 +147,8 @@ class Codec:
         #: Units by their string behind the leading space; those without one by a tuple of their string.
         self.units, self.unit_ids = Numbering(), Lists()
         self.tables: set[str] = set()
+        #: Proper beginnings of tokens, made when the first long word comes.
+        self.heads: set[bytes] = set()
 
     def _need(self, name: str) -> None:
         """Make the merge table or the vocabulary when it is first used."""
@@ -185,29 +201,51 @@ class Codec:
         out = self.db.sql(_LONG_SQL if long else _SHORT_SQL).fetchnumpy()
         return np.asarray(out["tok"], np.uint32), np.bincount(out["w"], minlength=len(words))
 
+    def _segments(self, word: bytes) -> list[bytes]:
+        """A long word, cut wherever no token that occurs in it reaches across. Every contraction makes a token that
+        stands in the word, so none crosses such a place, and what lies between is contracted on its own."""
+        if not self.heads:
+            self.heads = {t[:n] for t in self.ranks for n in range(1, len(t))}
+        heads, ranks, out, begin, reach = self.heads, self.ranks, [], 0, 0
+        for i in range(len(word)):
+            if i > begin and reach <= i:
+                out.append(word[begin:i])
+                begin = i
+            stop = i + 1
+            while stop < len(word) and word[i:stop] in heads:
+                stop += 1
+                if stop > reach and word[i:stop] in ranks:
+                    reach = stop
+        return [*out, word[begin:]]
+
     def _learn_pieces(self) -> None:
         """Ids of the pieces numbered since the last call, contracted in bounded recursive queries."""
         raw = [x.encode("utf-8", "replace") for x in islice(self.pieces, len(self.piece_ids), None)]
         whole = [self.ranks.get(x) for x in raw]
-        direct = [i for i, x in enumerate(whole) if x is not None]
-        done = [(np.array(direct, np.int64), np.array([whole[i] for i in direct], np.uint32), np.ones(len(direct), np.int64))]
+        # Each piece's segments: a token stands for itself, other pieces are contracted.
+        segments = [[x] if rank is not None or len(x) <= SHORT else self._segments(x) for x, rank in zip(raw, whole, strict=True)]
+        flat_segments = [x for some in segments for x in some]
+        of_piece = np.repeat(np.arange(len(raw)), [len(x) for x in segments])
+        ids_of = np.array([-1 if r is None else r for r in whole], np.int64)
+        direct = np.flatnonzero(ids_of[of_piece] >= 0)
+        done = [(direct, ids_of[of_piece[direct]].astype(np.uint32), np.ones(len(direct), np.int64))]
         for long in (False, True):
             todo, size = [], 0
-            rest = [i for i, x in enumerate(raw) if whole[i] is None and (len(x) > SHORT) == long]
+            rest = [int(i) for i in np.flatnonzero(ids_of[of_piece] < 0) if (len(flat_segments[i]) > SHORT) == long]
             for n, i in enumerate(rest):
                 todo.append(i)
-                size += len(raw[i])
+                size += len(flat_segments[i])
                 if size >= QUERY_BYTES or n == len(rest) - 1:
-                    done.append((np.array(todo, np.int64), *self._contract([raw[j] for j in todo], long)))
+                    done.append((np.array(todo, np.int64), *self._contract([flat_segments[j] for j in todo], long)))
                     todo, size = [], 0
-        lengths = np.zeros(len(raw), np.int64)
+        lengths = np.zeros(len(flat_segments), np.int64)
         for index, _, n in done:
             lengths[index] = n
         starts = np.cumsum(lengths) - lengths
         flat = np.empty(int(lengths.sum()), np.uint32)
         for index, ids, n in done:
             flat[spread(starts[index], n)] = ids
-        self.piece_ids.extend(flat, lengths)
+        self.piece_ids.extend(flat, np.bincount(of_piece, weights=lengths, minlength=len(raw)).astype(np.int64))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text's ids."""
@@ -217,12 +255,15 @@ class Codec:
             self.units, self.unit_ids = Numbering(), Lists()
         codes: list[int] = []
         stops: list[int] = []
-        number = self.units.__getitem__
+        number = self.units.__getitem__ if self.by_units else self.pieces.__getitem__
+        cut = split_units if self.by_units else self.pattern.findall
         for text in texts:
             if text:
-                codes += map(number, split_units(text))
+                codes += map(number, cut(text))
             stops.append(len(codes))
-        if len(self.units) > len(self.unit_ids):
+        if not self.by_units:
+            self._learn_pieces()
+        elif len(self.units) > len(self.unit_ids):
             piece, found, counts = self.pieces.__getitem__, [], []
             findall = self.pattern.findall
             for unit in islice(self.units, len(self.unit_ids), None):
@@ -233,7 +274,7 @@ class Codec:
             flat, lengths = self.piece_ids.take(np.array(found, np.int64))
             upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts, dtype=np.int64)]
             self.unit_ids.extend(flat, np.diff(upto, prepend=0))
-        flat, lengths = self.unit_ids.take(np.array(codes, np.int64))
+        flat, lengths = (self.unit_ids if self.by_units else self.piece_ids).take(np.array(codes, np.int64))
         upto = np.concatenate([[0], np.cumsum(lengths)])[np.array(stops, np.int64)]
         return flat, np.diff(upto, prepend=0)
 
