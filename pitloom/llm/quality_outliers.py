@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitloom.llm.common import materialise, text_or_empty
+from pitloom.llm.common import materialise, stored, text_or_empty
 
 #: Fixed rules: fewest words, and the largest share of repeated words in percent.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -83,12 +83,47 @@ _WINDOWS = """
        ELSE sort_array(transform(sequence(0, size({w}) - 3), i ->
               shiftleft(shiftright(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]), {b}), {b}) | cast(i AS bigint))) END
 """
-#: Words in windows found twice or more: once sorted, equal hashes are neighbours.
+#: Once sorted, windows of equal hashes are neighbours: x and the next one y of a sorted array.
+_SAME_HASH = "shiftright({x} ^ {y}, {b}) = 0"
+_PLACE = "cast({x} & (shiftleft(1L, {b}) - 1) AS int)"
+_SAME_WORDS = "({w}[{p}] = {w}[{q}] AND {w}[{p} + 1] = {w}[{q} + 1] AND {w}[{p} + 2] = {w}[{q} + 2])"
+#: Neighbours of equal hashes whose words differ: where there are none, equal hashes are equal windows.
+_COLLISIONS = """
+  size(filter({s}, (x, k) -> {same_hash} AND NOT {same_words}))
+"""
+#: Places of windows found twice or more, by their hashes, and by their words (words hold no space).
+_BY_HASH = """
+  transform(filter({s}, (x, k) -> {same_hash} OR {same_before}), x -> {place})
+"""
+_BY_WORDS = """
+  flatten(transform(
+    array(sort_array(transform({s}, x -> named_struct(
+      'g', concat_ws(' ', {w}[{place}], {w}[{place} + 1], {w}[{place} + 2]), 'p', {place})))),
+    a -> transform(filter(a, (x, k) -> x.g = get(a, k + 1).g OR x.g = get(a, k - 1).g), x -> x.p)))
+"""
 _REPEATED = """
   cast(size(array_distinct(flatten(transform(
-    filter({s}, (x, k) -> shiftright(x ^ get({s}, k + 1), {b}) = 0 OR shiftright(x ^ get({s}, k - 1), {b}) = 0),
-    x -> transform(sequence(0, 2), j -> (x & (shiftleft(1L, {b}) - 1)) + j))))) AS bigint)
+    CASE WHEN {collisions} = 0 THEN {by_hash} ELSE {by_words} END,
+    p -> array(p, p + 1, p + 2))))) AS bigint)
 """
+
+
+def _repeated(w: str, s: str, b: str) -> Column:
+    """Words in 3-word windows found twice or more, from the words, the sorted window hashes and the bits of a place."""
+    after, before = f"get({s}, k + 1)", f"get({s}, k - 1)"
+    place, place_after = _PLACE.format(x="x", b=b), _PLACE.format(x=after, b=b)
+    parts = {
+        "s": s,
+        "w": w,
+        "place": place,
+        "same_hash": _SAME_HASH.format(x="x", y=after, b=b),
+        "same_before": _SAME_HASH.format(x="x", y=before, b=b),
+        "same_words": _SAME_WORDS.format(w=w, p=place, q=place_after),
+    }
+    made = {"collisions": _COLLISIONS, "by_hash": _BY_HASH, "by_words": _BY_WORDS}
+    return F.expr(_REPEATED.format(**{name: sql.format(**parts) for name, sql in made.items()}))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BASE, _ESTIMATE, _KEPT = "__pitloom_base", "__pitloom_estimate", "__pitloom_kept"
 _GROUP = ("__pitloom_everything", "lang", "source")
@@ -102,7 +137,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_counts(docs: DataFrame, text_col: str = "text", name: str = _BASE) -> DataFrame:
     """``docs`` with a struct column ``name`` of the five counts.
 
-    3-word windows are compared by 64-bit hashes less the bits of a position (54 bits for a text of 1,000 words).
+    3-word windows are found by hashes and compared by their words, so the counts are exact.
     """
     w, s, b = f"{name}_w", f"{name}_s", f"{name}_b"
     text = text_or_empty(text_col)
@@ -121,7 +156,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", name: str = _BASE) -> D
             F.aggregate(
                 F.array(lines), F.lit(0).cast("long"), lambda a, x: a + F.size(x) - F.size(F.array_distinct(x))
             ).alias("n_dup_lines"),
-            F.expr(_REPEATED.format(s=f"`{s}`", b=f"`{b}`")).alias("n_repeat_words"),
+            _repeated(f"`{w}`", f"`{s}`", f"`{b}`").alias("n_repeat_words"),
         ),
     )
     return counted.drop(w, s, b)
@@ -277,9 +312,12 @@ def with_verdict(docs: DataFrame, estimates: DataFrame, tail: float = TAIL) -> D
 
 
 def filter_outliers(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """The rows of ``docs`` (any columns) that pass the base rules and are no outliers."""
-    estimates = estimate(with_counts(docs))
-    return with_verdict(with_counts(docs), estimates, tail).filter(F.col(_KEPT)).drop(_BASE, _KEPT)
+    """The rows of ``docs`` (any columns that Parquet holds) that pass the base rules and are no outliers.
+
+    Rows are stored once with their counts: copying texts costs less than counting them again.
+    """
+    counted = stored(with_counts(docs), "outlier-counts")
+    return with_verdict(counted, estimate(counted), tail).filter(F.col(_KEPT)).drop(_BASE, _KEPT)
 
 
 def outlier_report(docs: DataFrame, tail: float = TAIL) -> DataFrame:
