@@ -1,4 +1,4 @@
-"""Operator 8 on notices it was not trained on, and its scan against plain windows and sets."""
+"""Operator 8 on near-miss, dual and unknown notices, and its scan against plain windows and sets."""
 
 from __future__ import annotations
 
@@ -49,7 +49,7 @@ def model():
     return scan.train(lines)
 
 
-def test_families_of_notices_never_trained_on(model):
+def test_families_of_near_miss_and_dual_notices(model):
     wrong = [(want, got, text) for want, text in NOTICES if (got := [x[1] for x in model.classify([text])[0]]) != want]
     assert not wrong
 
