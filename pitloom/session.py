@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,32 @@ SQL_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+# Shuffled bytes that AQE lays together for one task. They are compressed: sorted and hashed by a join and the
+# aggregates above it, they take up to twenty times as much memory.
+TASK_BYTES = 16 << 20
+# Parts of a shuffle before AQE lays them together. A shuffle of 16 GB is cut into parts of ``TASK_BYTES``.
+SHUFFLE_PARTS = 1000
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_PARTS = "spark.sql.shuffle.partitions"
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a size as Spark's settings write it (``64MB``, ``16m``, ``67108864b``)."""
+    amount, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(amount) << 10 * " kmgtp".index(unit or " ")
+
 
 def configure(spark: SparkSession) -> SparkSession:
+    """The settings above, and tasks of bounded size: a session's own smaller tasks or more parts stay."""
     for key, value in SQL_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if _bytes(spark.conf.get(_ADVISORY)) > TASK_BYTES:
+        spark.conf.set(_ADVISORY, str(TASK_BYTES))
+    parts = spark.conf.get(_INITIAL, None) or spark.conf.get(_PARTS)
+    if int(parts) < SHUFFLE_PARTS:
+        spark.conf.set(_INITIAL, str(SHUFFLE_PARTS))
     return spark
 
 
