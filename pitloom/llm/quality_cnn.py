@@ -42,8 +42,8 @@ CALIBRATION = 5
 _BLOCK = CHUNK // 2
 _STEPS = _BLOCK // STRIDE
 _TAIL = WIDTH // STRIDE
-#: Bytes of text in one matrix product.
-_SLICE = 1 << 19
+#: Bytes of text in one matrix product; its temporary arrays take some 300 times as much.
+_SLICE = 1 << 16
 
 
 class Network:
