@@ -21,13 +21,16 @@ SQL_SETTINGS = {
 }
 
 # Shuffled bytes that AQE lays together for one task. They are compressed: sorted and hashed by a join and the
-# aggregates above it, they take up to twenty times as much memory.
-TASK_BYTES = 16 << 20
-# Parts of a shuffle before AQE lays them together. A shuffle of 16 GB is cut into parts of ``TASK_BYTES``.
+# aggregates above it, they take up to thirty-five times as much memory.
+TASK_BYTES = 10 << 20
+# Parts of a shuffle before AQE lays them together. A shuffle of 10 GB is cut into parts of ``TASK_BYTES``.
 SHUFFLE_PARTS = 1000
+# Bytes of a file that one task scans. The rows it hands to a shuffle stay in its memory, as many as there is room for.
+SCAN_BYTES = 32 << 20
 _ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _PARTS = "spark.sql.shuffle.partitions"
+_SCAN = "spark.sql.files.maxPartitionBytes"
 
 
 def _bytes(text: str) -> int:
@@ -43,6 +46,8 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     if _bytes(spark.conf.get(_ADVISORY)) > TASK_BYTES:
         spark.conf.set(_ADVISORY, str(TASK_BYTES))
+    if _bytes(spark.conf.get(_SCAN)) > SCAN_BYTES:
+        spark.conf.set(_SCAN, str(SCAN_BYTES))
     parts = spark.conf.get(_INITIAL, None) or spark.conf.get(_PARTS)
     if int(parts) < SHUFFLE_PARTS:
         spark.conf.set(_INITIAL, str(SHUFFLE_PARTS))
