@@ -576,7 +576,7 @@ def test_revisits_match_oracle_and_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLE[name])
     columns = sorted(c[0] for c in want.description)
