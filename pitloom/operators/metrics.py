@@ -20,20 +20,29 @@ def class_support(frame: DataFrame, label: str, *, min_rows: int = 12, min_class
     ).withColumn("ok", (F.col("rows") >= min_rows) & (F.col("classes") >= min_classes))
 
 
-def accuracy(frame: DataFrame, prediction: str, actual: str) -> Column:
+def _mean(value: Column, weight: Column | None) -> Column:
+    """The mean over rows, or over as many rows as ``weight`` says each one stands for."""
+    return F.avg(value) if weight is None else F.sum(value * F.when(value.isNotNull(), weight)) / F.sum(F.when(value.isNotNull(), weight))
+
+
+def accuracy(frame: DataFrame, prediction: str, actual: str, weight: Column | None = None) -> Column:
     """A4: share of rows whose predicted class equals the actual one."""
-    return F.avg((F.col(prediction) == F.col(actual)).cast("double"))
+    return _mean((F.col(prediction) == F.col(actual)).cast("double"), weight)
+
 
+def confusion(frame: DataFrame, prediction: str, actual: str, weight: Column | None = None) -> DataFrame:
+    """A5: per class over the union of actual and predicted classes: tp, fp, fn, support.
 
-def confusion(frame: DataFrame, prediction: str, actual: str) -> DataFrame:
-    """A5: per class over the union of actual and predicted classes: tp, fp, fn, support."""
+    ``weight`` is the number of rows that each one stands for.
+    """
     hit = F.col(prediction) == F.col(actual)
+    one, none = (F.lit(1), F.lit(0)) if weight is None else (weight, F.lit(0).cast("long"))
     entries = F.when(
-        hit, F.array(F.struct(F.col(actual).alias("cls"), F.lit(1).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn")))
+        hit, F.array(F.struct(F.col(actual).alias("cls"), one.alias("tp"), none.alias("fp"), none.alias("fn")))
     ).otherwise(
         F.array(
-            F.struct(F.col(prediction).alias("cls"), F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn")),
-            F.struct(F.col(actual).alias("cls"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(1).alias("fn")),
+            F.struct(F.col(prediction).alias("cls"), none.alias("tp"), one.alias("fp"), none.alias("fn")),
+            F.struct(F.col(actual).alias("cls"), none.alias("tp"), none.alias("fp"), one.alias("fn")),
         )
     )
     return (
@@ -56,9 +65,9 @@ def macro_f1(conf: DataFrame) -> DataFrame:
     return conf.agg(F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
 
 
-def log_loss(p_true: Column, eps: float = 1e-15) -> Column:
+def log_loss(p_true: Column, eps: float = 1e-15, weight: Column | None = None) -> Column:
     """Mean negative log of the probability given to the true class, clipped to [eps, 1-eps]."""
-    return F.avg(-F.log(F.greatest(F.least(p_true, F.lit(1 - eps)), F.lit(eps))))
+    return _mean(-F.log(F.greatest(F.least(p_true, F.lit(1 - eps)), F.lit(eps))), weight)
 
 
 def shares(frame: DataFrame, side: str, cls: str) -> DataFrame:
@@ -95,7 +104,7 @@ def hash_split(frame: DataFrame, keys: Sequence[str], *, seed: int, fraction: fl
 
 
 def stratified_split(
-    frame: DataFrame, label: str, keys: Sequence[str], *, seed: int, fraction_num: int = 1, fraction_den: int = 4
+    frame: DataFrame, label: str, keys: Sequence[str], *, seed: int, fraction_num: int = 1, fraction_den: int = 4, few: bool = False
 ) -> DataFrame:
     """Exact stratified hold-out; adds ``split`` = 'validation' | 'train'.
 
@@ -106,6 +115,8 @@ def stratified_split(
     class) name, for each class, the one bucket that holds the cut and how many of its rows are taken: a table of one row a
     class. Buckets below it go to validation whole, those above it to training. Only the rows of the cut's bucket, about
     1/65,536 of a class, are ranked by a window.
+
+    ``few``: the caller knows that the classes are few. Their table is broadcast then, and the rows are not shuffled by class.
     """
     h = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256)
     bucket = F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")
@@ -122,7 +133,7 @@ def stratified_split(
         .where((F.col("__before") <= F.col("__k")) & (F.col("__before") + F.col("__n") > F.col("__k")))
         .select("__label", F.col("__b").alias("__cut"), (F.col("__k") - F.col("__before")).alias("__take"))
     )
-    placed = hashed.join(cuts, hashed[label].eqNullSafe(F.col("__label")), "left")
+    placed = hashed.join(F.broadcast(cuts) if few else cuts, hashed[label].eqNullSafe(F.col("__label")), "left")
     inside = (F.col("__b") == F.col("__cut")) & (F.col("__take") > 0)
     nth = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
     ranked = placed.where(inside).withColumn("__nth", nth).withColumn("__val", F.col("__nth") <= F.col("__take"))

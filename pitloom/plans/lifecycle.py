@@ -4,7 +4,7 @@ pull -> build_features -> train -> register_select -> invoke_batch -> publish ->
 prepare_monitor_data. A stage runs only on the positive status of the one before;
 otherwise it records SKIPPED. Materialisation (Parquet under the shared folder)
 happens only where evidence must be immutable: after pull, after the spine,
-after scoring and at publication. Control leaves the driver only at actions.
+after scoring, with the prediction ids and at publication. Control leaves the driver only at actions.
 """
 
 from __future__ import annotations
@@ -233,6 +233,9 @@ def _run_stages(spark, sources, cfg, run_dir, ev, skip_rest):
     require_complete(reconcile(expected, delivered))
     run = dict(RUN, MODEL_NAME=cfg.model_name, MODEL_VERSION=version if outcome["outcome"] == "PROMOTE" else outcome["selected_version"])
     frame = provenance(predictions, run, run_ts=cfg.run_ts, mapping_version=cfg.contract.mapping_version)
+    # Their ids hash seven fields, and a publication reads the rows several times.
+    write_snapshot(frame, f"{run_dir}/provenance")
+    frame = spark.read.schema(frame.schema).parquet(f"{run_dir}/provenance")
     target = cfg.table or f"{run_dir}/published"
     for _ in range(1 + cfg.replays):
         publish(frame, target)
